@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import secrets
+from . import flac, secrets
 
 
 def op1_secret_spans(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_flac_media(spark, sf_dir):
+    return flac.media_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
+    "op2_flac_media": op2_flac_media,
 }
 ORACLES: dict[str, str] = {}
