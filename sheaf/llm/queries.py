@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import flac, secrets
+from . import flac, packing, secrets
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -15,8 +15,13 @@ def op2_flac_media(spark, sf_dir):
     return flac.media_report(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_packing(spark, sf_dir):
+    return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_flac_media": op2_flac_media,
+    "op4_vector_packing": op4_vector_packing,
 }
 ORACLES: dict[str, str] = {}
