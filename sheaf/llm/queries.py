@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import flac, packing, secrets
+from . import flac, langid, packing, secrets
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -19,9 +19,14 @@ def op4_vector_packing(spark, sf_dir):
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
 
+def op5_language_crf(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_flac_media": op2_flac_media,
     "op4_vector_packing": op4_vector_packing,
+    "op5_language_crf": op5_language_crf,
 }
 ORACLES: dict[str, str] = {}
