@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import flac, langid, packing, secrets
+from . import flac, langid, licenses, packing, secrets
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -23,10 +23,15 @@ def op5_language_crf(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_license_templates(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_flac_media": op2_flac_media,
     "op4_vector_packing": op4_vector_packing,
     "op5_language_crf": op5_language_crf,
+    "op6_license_templates": op6_license_templates,
 }
 ORACLES: dict[str, str] = {}
