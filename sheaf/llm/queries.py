@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import decontam, flac, langid, licenses, packing, pii, secrets
+from . import decontam, flac, langid, licenses, neardup, packing, pii, secrets
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -27,6 +27,10 @@ def op6_license_templates(spark, sf_dir):
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_bayes(spark, sf_dir):
+    return neardup.duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op8_private_terms(spark, sf_dir):
     return pii.private_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_vector_packing": op4_vector_packing,
     "op5_language_crf": op5_language_crf,
     "op6_license_templates": op6_license_templates,
+    "op7_minhash_bayes": op7_minhash_bayes,
     "op8_private_terms": op8_private_terms,
     "op10_spaced_seed_overlaps": op10_spaced_seed_overlaps,
 }
