@@ -24,7 +24,7 @@ from .common import id_type, ids_and_texts
 BLOCK = 1152  # samples in a frame
 UNIT = 192  # payloads are padded to a multiple of this
 RATE = 8000  # nominal, the streams hold no sound
-CHUNK = 2_000_000  # samples handled at once
+CHUNK = 800_000  # samples handled at once
 
 # Fixed values of the format: coefficients of its fixed predictors, sizes of its block size codes, its two CRC polynomials.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -43,7 +43,8 @@ def crc_table(poly: int, bits: int) -> np.ndarray:
     return t
 
 
-T8, T16 = crc_table(CRC8, 8), crc_table(CRC16, 16)
+T16 = crc_table(CRC16, 16)
+T8_LIST = crc_table(CRC8, 8).tolist()
 _REACH = [np.arange(256, dtype=np.uint32) * 0]  # grows on demand: what a byte adds to a CRC-16 when r bytes follow it
 
 
@@ -88,55 +89,75 @@ def utf8_number(n: int) -> bytes:
 _LEADS = (0, 0xC0, 0xE0, 0xF0, 0xF8, 0xFC, 0xFE)
 
 
-def put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
-    for b in range(width):
-        bits[at + b] = value >> (width - 1 - b) & 1
+class Writer:
+    """Collects numbers by the bit they end before, then lays them all out at once; numbers must not overlap."""
 
+    def __init__(self):
+        self.ends, self.values = [], []
 
-def residuals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Best predictor of each row. x: frames by samples. Returns kind (0..4 fixed order, 5 linear), coefficients, residual rows by kind."""
+    def put(self, at: np.ndarray, value: np.ndarray, width: int) -> None:
+        self.ends.append(np.asarray(at + width, np.int64).ravel())
+        self.values.append(np.asarray(value, np.int64).ravel())
+
+    def bytes(self, size: int) -> np.ndarray:
+        end, value = np.concatenate(self.ends) + 31, np.concatenate(self.values)
+        word = end >> 5
+        value = value << (31 - (end & 31))
+        n = size // 4 + 3
+        # sums of disjoint bits of 32-bit words are exact in doubles
+        words = np.bincount(word, value & 0xFFFFFFFF, n) + np.bincount(word - 1, value >> 32, n)
+        return words[1:].astype(">u4").view(np.uint8)[:size]
+
+
+def predict_linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit coefficients (shift 6) of the least-squares predictor of order 4 of each row, and its residuals."""
     n = x.shape[1]
-    out, costs, d = [], [], x.astype(np.int16)
-    for order in range(5):
-        if order:
-            d = np.diff(d, axis=1)
-        out.append(d)
-        mean = np.abs(d, dtype=np.int32).sum(1) * 2 / max(1, n - order)
-        costs.append((n - order) * (np.log2(np.maximum(mean, 1)) + 1.5) + order * 8)
     f = x.astype(np.float32)
     lags = [np.einsum("ij,ij->i", f[:, : n - k], f[:, k:]) for k in range(5)]
     m = np.stack([np.stack([lags[abs(i - j)] for j in range(4)], -1) for i in range(4)], -2).astype(np.float64)
     m += np.eye(4) * (1e-3 * lags[0] + 1)[:, None, None]
     coef = np.linalg.solve(m, np.stack(lags[1:], -1).astype(np.float64)[..., None])[..., 0]
-    q = np.clip(np.rint(coef * 64), -128, 127).astype(np.int32)  # 8-bit coefficients, shift 6
+    q = np.clip(np.rint(coef * 64), -128, 127).astype(np.int32)
     wide = x.astype(np.int32)
-    guess = sum(q[:, j : j + 1] * wide[:, 3 - j : n - 1 - j] for j in range(4)) >> 6
-    lin = wide[:, 4:] - guess
-    out.append(lin)
-    costs.append((n - 4) * (np.log2(np.maximum(np.abs(lin).sum(1) * 2 / (n - 4), 1)) + 1.5) + 4 * 16 + 9)
-    return np.argmin(costs, 0), q, out
+    guess = q[:, :1] * wide[:, 3 : n - 1]
+    for j in range(1, 4):
+        guess += q[:, j : j + 1] * wide[:, 3 - j : n - 1 - j]
+    guess >>= 6
+    return q, np.subtract(wide[:, 4:], guess, out=guess)
 
 
 def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
     """One FLAC frame for each row of samples; all rows have the same length, a multiple of 4 with over 4 in each quarter."""
     f, n = x.shape
-    kind, coef, res = residuals(x)
+    costs, found, d = [], [], x.astype(np.int16)
+    for order in range(5):
+        if order:
+            d = np.diff(d, axis=1)
+        found.append(d)
+        costs.append((n - order) * np.log2(np.maximum(np.abs(d).mean(1, dtype=np.float32), 0.25)) + order * 8)
+    coef, lin = predict_linear(x)
+    costs.append((n - 4) * np.log2(np.maximum(np.abs(lin).mean(1, dtype=np.float32), 0.25)) + 4 * 16 + 9)
+    kind = np.argmin(costs, 0)
+    found.append(lin)
     order = np.minimum(kind, 4)
     folded = np.zeros((f, n), np.int32)
     for k in range(6):
         rows = np.flatnonzero(kind == k)
         if len(rows):
-            r = res[k][rows].astype(np.int32)
-            folded[rows, min(k, 4) :] = np.where(r < 0, -2 * r - 1, 2 * r)
+            r = found[k][rows].astype(np.int32)
+            folded[rows, min(k, 4) :] = (r << 1) ^ (r >> 31)
+    del found, lin, d
     part = n // 4
-    sums = folded.reshape(f, 4, part).sum(2)
-    count = np.full((f, 4), part) - np.where(np.arange(4) == 0, order[:, None], 0)
-    base = np.floor(np.log2(np.maximum(sums / count, 1))).astype(np.int64)
-    best, cost = np.zeros((f, 4), np.int64), np.full((f, 4), 1 << 40)
-    for step in (-1, 0, 1):
+    quarters = folded.reshape(f * 4, part)
+    sums = quarters.sum(1)
+    count = np.where(np.arange(4) == 0, part - order[:, None], part).ravel()
+    base = np.floor(np.log2(np.maximum(sums / count, 1))).astype(np.int32)
+    best, cost = np.zeros(f * 4, np.int64), np.full(f * 4, 1 << 40)
+    for step in (-1, 0):
         k = np.clip(base + step, 0, 14)
-        c = (folded.reshape(f, 4, part) >> k[:, :, None]).sum(2) + count * (k + 1)
+        c = (quarters >> k[:, None]).sum(1) + count * (k + 1)
         best, cost = np.where(c < cost, k, best), np.minimum(c, cost)
+    cost = cost.reshape(f, 4)
     body = order * 8 + np.where(kind == 5, 9 + 32, 0) + 6 + 16 + cost.sum(1)
     constant = (x == x[:, :1]).all(1)
     verbatim = ~constant & (body >= 8 * n)
@@ -144,60 +165,55 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
     body = np.where(constant, 8, np.where(verbatim, 8 * n, body))
     code = next((c for c, s in BLOCK_CODES.items() if s == n), 7)
     heads = []
-    for i in number:
-        h = bytes([0xFF, 0xF8, code << 4, 0x02]) + utf8_number(int(i)) + (struct.pack(">H", n - 1) if code == 7 else b"")
+    for i in number.tolist():
+        h = bytes([0xFF, 0xF8, code << 4, 0x02]) + utf8_number(i) + (struct.pack(">H", n - 1) if code == 7 else b"")
         c = 0
         for b in h:
-            c = int(T8[c ^ b])
+            c = T8_LIST[c ^ b]
         heads.append(h + bytes([c]))
     head = np.array([len(h) for h in heads])
     size = head + (8 + body + 7) // 8 + 2
     start = np.cumsum(size) - size
-    bits = np.zeros(int(size.sum()) * 8, np.uint8)
+    out = Writer()
     at = (start + head) * 8
-    subtype = np.where(constant, 0, np.where(verbatim, 1, np.where(kind == 5, 32 + 3, 8 + order)))
-    put(bits, at + 1, subtype, 6)
+    out.put(at + 1, np.where(constant, 0, np.where(verbatim, 1, np.where(kind == 5, 32 + 3, 8 + order))), 6)
     at = at + 8
-    u8 = x.astype(np.uint8).astype(np.int64)
-    if constant.any():
-        put(bits, at[constant], u8[constant, 0], 8)
-    if verbatim.any():
-        put(bits, (at[verbatim][:, None] + 8 * np.arange(n)).ravel(), u8[verbatim].ravel(), 8)
+    u8 = x.view(np.uint8)
+    out.put(at[constant], u8[constant, 0], 8)
+    out.put(at[verbatim][:, None] + 8 * np.arange(n), u8[verbatim], 8)
     for j in range(4):
         rows = rice & (order > j)
-        put(bits, at[rows] + 8 * j, u8[rows, j], 8)
+        out.put(at[rows] + 8 * j, u8[rows, j], 8)
     at = at + 8 * order
     rows = np.flatnonzero(rice & (kind == 5))
-    put(bits, at[rows], np.full(len(rows), 7), 4)  # precision - 1
-    put(bits, at[rows] + 4, np.full(len(rows), 6), 5)  # shift
+    out.put(at[rows], np.full(len(rows), 7 << 5 | 6), 9)  # precision - 1 and shift
     for j in range(4):
-        put(bits, at[rows] + 9 + 8 * j, coef[rows, j] & 0xFF, 8)
+        out.put(at[rows] + 9 + 8 * j, coef[rows, j] & 0xFF, 8)
     at = np.where(kind == 5, at + 9 + 32, at)
     rows = np.flatnonzero(rice)
     if len(rows):
-        at, order, k4, cost = at[rows], order[rows], best[rows], cost[rows]
-        put(bits, at, np.full(len(rows), 2), 6)  # 4-bit parameters, 2 ** 2 partitions
+        at, order, k4, cost = at[rows], order[rows], best.reshape(f, 4)[rows], cost[rows]
+        out.put(at, np.full(len(rows), 2), 6)  # 4-bit parameters, 2 ** 2 partitions
         pos = at[:, None] + 6 + np.cumsum(4 + cost, 1) - (4 + cost)
-        put(bits, pos.ravel(), k4.ravel(), 4)
-        k = np.repeat(k4, part, 1)
-        u = folded[rows]
-        width = (u >> k) + 1 + k
-        live = np.arange(n) >= order[:, None]
-        width = np.where(live, width, 0)
-        w = width.reshape(len(rows), 4, part)
-        where = (pos[:, :, None] + 4 + np.cumsum(w, 2) - w).reshape(len(rows), n)
-        stop = where + (u >> k)
-        bits[stop[live]] = 1
-        for b in range(int(k4.max())):
-            on = live & (k > b)
-            bits[(stop + 1 + b)[on]] = (u[on] >> (k[on] - 1 - b)) & 1
-    data = np.packbits(bits)
-    for s, h in zip(start, heads, strict=True):
+        out.put(pos, k4, 4)
+        k = k4.reshape(-1, 1).astype(np.int32)
+        u = folded[rows].reshape(-1, part)
+        width = (u >> k) + (1 + k)
+        live = np.ones((len(rows), n), bool)
+        for j in range(4):
+            live[order > j, j] = False
+        width *= live.reshape(width.shape)
+        end = np.cumsum(width, 1, dtype=np.int32) + (pos + 4).reshape(-1, 1)
+        low = (u & ((1 << k) - 1)) | (1 << k)  # the stop bit and what follows it; the zeros before are there already
+        chosen = live.reshape(width.shape)
+        out.put(end[chosen], low[chosen], 0)
+    data = out.bytes(int(size.sum()))
+    for s, h in zip(start.tolist(), heads, strict=True):
         data[s : s + len(h)] = np.frombuffer(h, np.uint8)
     c = crc16(data, start, size - 2)
     data[start + size - 2], data[start + size - 1] = c >> 8, c & 0xFF
     raw = data.tobytes()
-    return [raw[s : s + z] for s, z in zip(start, size, strict=True)]
+    return [raw[s : s + z] for s, z in zip(start.tolist(), size.tolist(), strict=True)]
 
 
 def encode_streams(payloads: list[bytes]) -> list[bytes]:
@@ -277,73 +293,79 @@ def read_header(s: bytes, at: int, info: dict) -> tuple[int, int, int]:
     at2 += 1 if rate == 12 else 2 if rate in (13, 14) else 0
     c = 0
     for b in h[:at2]:
-        c = int(T8[c ^ b])
+        c = T8_LIST[c ^ b]
     if not size or at2 >= len(h) or c != h[at2]:
         raise FlacError(f"bad header of the frame at byte {at}")
     return size, number, at2 + 1
 
 
 class Bits:
-    """Random reads of up to 32 bits and unary codes, for many positions at once."""
+    """Random reads of up to 32 bits and of unary codes, for many positions at once."""
 
     def __init__(self, raw: bytes):
-        self.buf = np.frombuffer(raw + bytes(8), np.uint8)
-        b = self.buf.astype(np.uint64)
-        n = len(b) - 7
-        self.words = b[:n] << np.uint64(56)
-        for i in range(1, 8):
-            self.words |= b[i : n + i] << np.uint64(56 - 8 * i)
-        ones = np.unpackbits(self.buf)
-        at = np.where(ones, np.arange(len(ones), dtype=np.int32), np.int32(len(ones) - 1))
-        self.next = np.minimum.accumulate(at[::-1])[::-1]
+        self.buf = np.frombuffer(raw + bytes(64), np.uint8)
+        n = len(self.buf) - 7
+        self.words = np.zeros(n, np.int64)  # the 56 bits from each byte on
+        for i in range(7):
+            self.words <<= 8
+            self.words |= self.buf[i : n + i]
+        ones = np.flatnonzero(np.unpackbits(self.buf)).astype(np.int32)
+        gaps = np.diff(np.concatenate([[-1], ones]))
+        self.next = np.repeat(ones, gaps)  # the first one bit at or behind each bit, up to the last one
 
     def read(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
-        w = np.asarray(width).astype(np.uint64)
-        v = self.words[np.minimum(at >> 3, len(self.words) - 1)] << (at & 7).astype(np.uint64)
-        return np.where(w > 0, v >> (np.uint64(64) - np.maximum(w, np.uint64(1))), np.uint64(0)).astype(np.int64)
+        return self.words[at >> 3] >> (56 - width - (at & 7)) & ((np.int64(1) << np.asarray(width, np.int64)) - 1)
 
 
 def signed(v: np.ndarray, width) -> np.ndarray:
     return v - ((v >> (width - 1) & 1) << width)
 
 
-def decode_group(bits: Bits, at: np.ndarray, n: int, bps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples (frames by n) of subframes that start at these bits, and the bits where they end. All have n samples."""
-    f = len(at)
+def decode_group(bits: Bits, at: np.ndarray, sizes: np.ndarray, bps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Samples of the subframes that start at these bits and hold `sizes` samples; and the bits where they end."""
+    try:
+        return _decode_group(bits, at.astype(np.int64), sizes.astype(np.int64), bps)
+    except IndexError as e:
+        raise FlacError("codes run beyond the data") from e
+
+
+def _decode_group(bits, at, sizes, bps):
     kind = bits.read(at + 1, 6)
     if (bits.read(at, 1) | bits.read(at + 7, 1)).any():
         raise FlacError("a padding bit is set, or wasted bits, which aren't read")
     at = at + 8
-    out, end = np.zeros((f, n), np.int32), at.copy()
-    rows = np.flatnonzero(kind == 0)
-    out[rows] = signed(bits.read(at[rows], bps), bps)[:, None]
-    end[rows] = at[rows] + bps
-    rows = np.flatnonzero(kind == 1)
-    if len(rows):
-        out[rows] = signed(bits.read(at[rows][:, None] + bps * np.arange(n), bps), bps)
-        end[rows] = at[rows] + bps * n
+    out: list = [None] * len(at)
+    end = at.copy()
+    for i in np.flatnonzero(kind == 0):
+        out[i] = np.full(sizes[i], signed(bits.read(at[i : i + 1], bps), bps)[0], np.int32)
+        end[i] = at[i] + bps
+    for i in np.flatnonzero(kind == 1):
+        out[i] = signed(bits.read(at[i] + bps * np.arange(sizes[i]), bps), bps).astype(np.int32)
+        end[i] = at[i] + bps * sizes[i]
     fixed, linear = (kind >= 8) & (kind <= 12), kind >= 32
     if not (fixed | linear | (kind <= 1)).all():
         raise FlacError("unknown subframe")
     order = np.where(fixed, kind - 8, np.where(linear, kind - 31, 0))
-    if (order > n).any():
+    if (order > sizes).any():
         raise FlacError("more warm-up samples than samples")
     coded = np.flatnonzero(fixed | linear)
     if not len(coded):
         return out, end
-    at, order, kind = at[coded], order[coded], kind[coded]
-    top = int(order.max())
-    x = np.zeros((n + top, len(coded)), np.int32)  # samples by frames, after `top` rows of zeros
+    coded = coded[np.argsort(-sizes[coded], kind="stable")]  # so that those still running are always the first
+    at, order, kind, sizes = at[coded], order[coded], kind[coded], sizes[coded]
+    top, f = int(order.max()), len(coded)
+    x = np.zeros((int(sizes[0]) + top, f), np.int32)  # samples by frames, after `top` rows of zeros
     for j in range(top):
         rows = order > j
         x[top + j, rows] = signed(bits.read(at[rows] + bps * j, bps), bps)
     at = at + bps * order
-    coef, shift = np.zeros((top, len(coded)), np.int64), np.zeros(len(coded), np.int64)
+    coef, shift = np.zeros((top, f), np.int64), np.zeros(f, np.int64)
     for o in range(min(5, top + 1)):
         for j, c in enumerate(FIXED[o]):
-            coef[j, (kind - 8 == o)] = c
+            coef[j, kind - 8 == o] = c
     rows = np.flatnonzero(kind >= 32)
-    if len(rows):
+    some_linear = bool(len(rows))
+    if some_linear:
         precision = bits.read(at[rows], 4) + 1
         shift[rows] = signed(bits.read(at[rows] + 4, 5), 5)
         if (precision > 15).any() or (shift < 0).any():
@@ -353,21 +375,29 @@ def decode_group(bits: Bits, at: np.ndarray, n: int, bps: int) -> tuple[np.ndarr
             on = order[rows] > j
             coef[j, rows[on]] = signed(bits.read(at[rows[on]], precision[on]), precision[on])
             at[rows[on]] += precision[on]
+    if np.abs(coef).sum(0).max(initial=0) << bps < 1 << 31:  # products and sums fit 32 bits
+        coef, shift = coef.astype(np.int32), shift.astype(np.int32)
     long, parts = bits.read(at, 2), 1 << bits.read(at + 2, 4)
-    if (long > 1).any() or (n % parts).any():
+    if (long > 1).any() or (sizes % parts).any():
         raise FlacError("bad residual")
     at = at + 6
-    step = n // parts  # samples in a partition
-    k, raw = np.zeros(len(coded), np.int64), np.zeros(len(coded), bool)
-    changes = {int(i) for s in np.unique(step) for i in range(0, n, s)}
-    limit = len(bits.next) - 1
-    dense = coef.astype(np.int32) if np.abs(coef).max(initial=0) * (1 << bps) < 1 << 26 else coef
-    some_linear, odd = bool(len(rows)), False
-    zero, mask, kshift = None, None, None
-    for i in range(n):
-        if i in changes:
-            on = i % step == 0
-            width = np.where(long == 1, 5, 4)
+    step = sizes // parts  # samples in a partition
+    if (step < order).any():
+        raise FlacError("bad residual")
+    k, raw = np.zeros(f, np.int64), np.zeros(f, bool)
+    steps = np.unique(step).tolist()
+    running = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right").tolist()
+    last, odd, mask, base = 0, False, None, None
+    ends = np.zeros(f, np.int64)
+    nxt, words = bits.next, bits.words
+    for i, m in enumerate(running):
+        if m != last and i:
+            ends[m:last] = at[m:]
+            at, k, raw, mask, base = at[:m], k[:m], raw[:m], mask[:m], base[:m]
+        last = m
+        if any(i % s == 0 for s in steps):
+            on = i % step[:m] == 0
+            width = np.where(long[:m] == 1, 5, 4)
             v = bits.read(at, width)
             esc = v == (1 << width) - 1
             k, raw, at = np.where(on, v, k), np.where(on, esc, raw), at + np.where(on, width, 0)
@@ -375,41 +405,41 @@ def decode_group(bits: Bits, at: np.ndarray, n: int, bps: int) -> tuple[np.ndarr
                 w = bits.read(at, 5)
                 k, at = np.where(on & esc, w, k), at + np.where(on & esc, 5, 0)
             odd = bool(raw.any())
-            zero, mask, kshift = (k == 0).any(), (np.int64(1) << k) - 1, (64 - k).astype(np.uint64)
-        word_at = np.minimum(bits.next[np.minimum(at, limit)], limit).astype(np.int64)
-        low_at = word_at + 1
-        low = bits.words[np.minimum(low_at >> 3, len(bits.words) - 1)] << (low_at & 7).astype(np.uint64)
-        low = (low >> np.minimum(kshift, np.uint64(63))).astype(np.int64) & mask
-        if zero:
-            low = np.where(k == 0, 0, low)
-        u = (word_at - at << k) | low
+            mask, base = (np.int64(1) << k) - 1, 56 - k
+        stop = nxt[at] + np.int64(1)
+        low = (words[stop >> 3] >> (base - (stop & 7))) & mask
+        u = ((stop - at - 1) << k) | low
         r = (u >> 1) ^ -(u & 1)
-        after = low_at + k
+        after = stop + k
         if odd:
             r = np.where(raw, np.where(k > 0, signed(bits.read(at, k), np.maximum(k, 1)), 0), r)
             after = np.where(raw, at + k, after)
         if top:
-            guess = dense[0] * x[top + i - 1]
+            guess = coef[0, :m] * x[top + i - 1, :m]
             for j in range(1, top):
-                guess = guess + dense[j] * x[top + i - 1 - j]
+                guess += coef[j, :m] * x[top + i - 1 - j, :m]
             if some_linear:
-                guess = guess >> shift
-            r = r + guess
+                guess >>= shift[:m]
+            r += guess
         if i < top:
-            live = i >= order
-            x[top + i] = np.where(live, r, x[top + i])
+            live = i >= order[:m]
+            x[top + i, :m] = np.where(live, r, x[top + i, :m])
             at = np.where(live, after, at)
         else:
-            x[top + i] = r
+            x[top + i, :m] = r
             at = after
-    out[coded], end[coded] = x[top:].T, at
+    ends[:last] = at
+    samples = np.ascontiguousarray(x[top:].T)
+    for row, i in enumerate(coded.tolist()):
+        out[i] = samples[row, : sizes[row]]
+    end[coded] = ends
     return out, end
 
 
 def decode_streams(streams: list[bytes]) -> list[tuple[dict, list[tuple[int, np.ndarray]]] | FlacError]:
     """Of each stream: its STREAMINFO and (sample offset, samples) of its frames, or what is wrong with it."""
     out: list = []
-    groups: dict[tuple[int, int], list] = defaultdict(list)
+    groups: dict[int, list] = defaultdict(list)
     for d, s in enumerate(streams):
         try:
             info, first = read_metadata(s)
@@ -423,7 +453,7 @@ def decode_streams(streams: list[bytes]) -> list[tuple[dict, list[tuple[int, np.
                     raise FlacError("the seek table doesn't fit the frames")
                 if marks is None:  # without a seek table, a frame must be read to find the next
                     bits = Bits(s[at : at + 2 * size * info["bits"] + 64])
-                    _, end = decode_group(bits, np.array([head * 8]), size, info["bits"])
+                    _, end = decode_group(bits, np.array([head * 8]), np.array([size]), info["bits"])
                     stop = at + (int(end[0]) + 7) // 8 + 2
                 else:
                     k += 1
@@ -436,25 +466,25 @@ def decode_streams(streams: list[bytes]) -> list[tuple[dict, list[tuple[int, np.
             if at > len(s) or samples != info["samples"]:
                 raise FlacError("cut off")
             for i, x in enumerate(frames):
-                groups[x[3], info["bits"]].append((d, i, x))
+                groups[info["bits"]].append((d, i, x))
             out.append((info, [None] * len(frames)))
         except (FlacError, IndexError) as e:
             out.append(e if isinstance(e, FlacError) else FlacError("cut off"))
-    for (n, bps), members in groups.items():
-        for i in range(0, len(members), max(1, CHUNK // n)):
-            part = members[i : i + max(1, CHUNK // n)]
+    for bps, members in groups.items():
+        for piece in batches_by_size([m[2][3] for m in members], lambda n: n):
+            part = members[piece]
             try:
-                _decode_part(streams, out, part, n, bps)
+                _decode_part(streams, out, part, bps)
             except FlacError:
                 for m in part:  # one damaged frame must not spoil the others
                     try:
-                        _decode_part(streams, out, [m], n, bps)
+                        _decode_part(streams, out, [m], bps)
                     except FlacError as e:
                         out[m[0]] = e
     return [x if isinstance(x, FlacError) or all(f is not None for f in x[1]) else FlacError("cut off") for x in out]
 
 
-def _decode_part(streams, out, part, n, bps) -> None:
+def _decode_part(streams, out, part, bps) -> None:
     raw = b"".join(streams[d][x[0] : x[1]] for d, _, x in part)
     length = np.array([x[1] - x[0] for *_, x in part])
     start = np.cumsum(length) - length
@@ -463,7 +493,7 @@ def _decode_part(streams, out, part, n, bps) -> None:
     good = (bits.buf[start + length - 2].astype(np.uint16) << 8 | bits.buf[start + length - 1]) == c
     if not good.all():
         raise FlacError("a frame's CRC-16 is wrong")
-    x, end = decode_group(bits, (start + np.array([y[2] for *_, y in part])) * 8, n, bps)
+    x, end = decode_group(bits, (start + np.array([y[2] for *_, y in part])) * 8, np.array([y[3] for *_, y in part]), bps)
     if ((end + 7) // 8 + 2 != start + length).any():
         raise FlacError("a frame's length is wrong")
     for row, (d, i, y) in zip(x, part, strict=True):
@@ -471,11 +501,11 @@ def _decode_part(streams, out, part, n, bps) -> None:
             out[d][1][i] = (y[4], row)
 
 
-def batches_by_size(values: list[bytes]) -> Iterator[slice]:
-    """Slices of a list that hold about CHUNK bytes each."""
+def batches_by_size(values: list, size=len) -> Iterator[slice]:
+    """Slices of a list that hold about CHUNK bytes (or samples) each."""
     begin = total = 0
     for i, v in enumerate(values):
-        total += len(v)
+        total += size(v)
         if total >= CHUNK:
             yield slice(begin, i + 1)
             begin, total = i + 1, 0
@@ -483,8 +513,7 @@ def batches_by_size(values: list[bytes]) -> Iterator[slice]:
         yield slice(begin, len(values))
 
 
-def pad(text: str) -> bytes:
-    raw = text.encode("utf-8", "surrogatepass")
+def pad(raw: bytes) -> bytes:
     return raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
@@ -496,10 +525,10 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            padded = [pad(t) for t in b["text"]]
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]]
-            for s in batches_by_size(padded):
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[s].to_numpy(), "n_bytes": sizes[s], "media": encode_streams(padded[s])})
+            texts = b["text"].tolist()
+            for s in batches_by_size(texts):
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts[s]]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[s].to_numpy(), "n_bytes": [len(r) for r in raw], "media": encode_streams([pad(r) for r in raw])})
 
     return ids_and_texts(docs, id_col, text_col).mapInPandas(encode, f"doc_id {id_type(docs, id_col)}, n_bytes bigint, media binary")
 

@@ -13,7 +13,7 @@ TEXTS = [None, "", "a", "word " * 4000, "é😀ß" * 500, "".join(map(chr, RNG.i
 def payloads():
     wave = (np.sin(np.arange(23_040) / 9) * 100 + 128).astype(np.uint8).tobytes()  # smooth: the linear predictor wins
     noise = RNG.integers(0, 256, 2304).astype(np.uint8).tobytes()  # verbatim
-    return [flac.pad(t or "") for t in TEXTS] + [wave, noise, bytes(1152), bytes(range(192))]
+    return [flac.pad((t or "").encode()) for t in TEXTS] + [wave, noise, bytes(1152), bytes(range(192))]
 
 
 def test_round_trip():
@@ -36,10 +36,10 @@ def test_frames_are_found_without_a_seek_table():
 
 @pytest.mark.parametrize("cut", ["flip", "short", "head", "junk"])
 def test_damage_is_reported_and_kept_apart(cut):
-    a, b = flac.encode_streams([flac.pad("hello there " * 400), flac.pad("fine " * 400)])
+    a, b = flac.encode_streams([flac.pad(b"hello there " * 400), flac.pad(b"fine " * 400)])
     bad = {"flip": a[:-40] + bytes([a[-40] ^ 4]) + a[-39:], "short": a[:-30], "head": a[:300] + b"\0\0" + a[302:], "junk": b"RIFF" + a}[cut]
     x, y = flac.decode_streams([bad, b])
-    assert isinstance(x, flac.FlacError) and flac.pcm_of(y)[0] == flac.pad("fine " * 400)
+    assert isinstance(x, flac.FlacError) and flac.pcm_of(y)[0] == flac.pad(b"fine " * 400)
 
 
 def crc16_plain(data):
@@ -63,11 +63,11 @@ def test_report(spark):
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
         text = "a" if r.doc_id is None else TEXTS[r.doc_id] or ""
-        want = flac.pad(text)
+        want = flac.pad(text.encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text.encode()), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
     assert len({tuple(r)[1:] for r in rows if r.doc_id in (None, 2)}) == 1  # equal texts, equal values
     assert flac.media_report(docs.limit(0)).count() == 0
     read = flac.read_media(flac.to_media(docs.where("doc_id = 8")))
     blocks = flac.pcm_blocks(read).orderBy("sample_offset").collect()
-    assert b"".join(bytes(b.block) for b in blocks) == flac.pad(TEXTS[8])
-    assert all(len(b.block) == b.n_samples for b in blocks) and [b.sample_offset for b in blocks] == list(range(0, len(flac.pad(TEXTS[8])), 1152))
+    assert b"".join(bytes(b.block) for b in blocks) == flac.pad(TEXTS[8].encode())
+    assert all(len(b.block) == b.n_samples for b in blocks) and [b.sample_offset for b in blocks] == list(range(0, len(flac.pad(TEXTS[8].encode())), 1152))
