@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import decontam, flac, langid, licenses, neardup, packing, pii, secrets
+from . import decontam, flac, langid, licenses, linededup, neardup, packing, pii, secrets
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -15,6 +15,10 @@ def op2_flac_media(spark, sf_dir):
     return flac.media_report(table(spark, sf_dir, "documents"))
 
 
+def op3_line_winnowing(spark, sf_dir):
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_vector_packing(spark, sf_dir):
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_spaced_seed_overlaps(spark, sf_dir):
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_flac_media": op2_flac_media,
+    "op3_line_winnowing": op3_line_winnowing,
     "op4_vector_packing": op4_vector_packing,
     "op5_language_crf": op5_language_crf,
     "op6_license_templates": op6_license_templates,
@@ -49,4 +54,6 @@ QUERIES = {
     "op8_private_terms": op8_private_terms,
     "op10_spaced_seed_overlaps": op10_spaced_seed_overlaps,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_winnowing": linededup.LINE_SQL,
+}
