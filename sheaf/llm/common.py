@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,31 @@ def checkpoint_dir_set(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sheaf")
+
+
+class Scratch:
+    """Tables between the steps of one operator, as Parquet in the shared folder the cluster names (a default is used where none is
+    set, as in tests). A step's shuffle files go once its table is written: nothing reads them again."""
+
+    CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sheaf"
+        self.folder = f"{top.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(self.CLEAN_UP, "false")
+        self.spark.conf.set(self.CLEAN_UP, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEAN_UP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing will read any more."""
+        jvm = self.spark._jvm
+        for n in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import decontam, flac, langid, licenses, linededup, neardup, packing, pii, secrets
+from . import decontam, flac, langid, licenses, linededup, neardup, packing, pii, secrets, substrings
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -39,6 +39,10 @@ def op8_private_terms(spark, sf_dir):
     return pii.private_report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_automata(spark, sf_dir):
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op10_spaced_seed_overlaps(spark, sf_dir):
     return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,8 +56,10 @@ QUERIES = {
     "op6_license_templates": op6_license_templates,
     "op7_minhash_bayes": op7_minhash_bayes,
     "op8_private_terms": op8_private_terms,
+    "op9_suffix_automata": op9_suffix_automata,
     "op10_spaced_seed_overlaps": op10_spaced_seed_overlaps,
 }
 ORACLES: dict[str, str] = {
     "op3_line_winnowing": linededup.LINE_SQL,
+    "op9_suffix_automata": substrings.REPEAT_SQL,
 }
