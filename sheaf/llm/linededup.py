@@ -118,7 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_emptied(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """dedup_lines(), without the rows of whose text nothing but white space is left, if something was deleted."""
     r = dedup_lines(docs, text_col=text_col, **options)
-    empty = (F.col("_removed") > 0) & (F.trim(F.lit(BLANK), F.col(text_col)) == "")
+    empty = (F.col("_removed") > 0) & (F.trim(F.col(text_col), F.lit(BLANK)) == "")
     return r.where(~empty).drop("_removed")
 
 
