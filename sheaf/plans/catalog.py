@@ -1,18 +1,11 @@
-"""Registry of named queries and their DuckDB SQL."""
+"""Registry of all named queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import analytics  # noqa: F401  registers its queries
+from . import sources  # noqa: F401
+from .retrieval import ORACLES, QUERIES
 
-from sheaf.session import table
+FLAGSHIP = "evidence_gate_select"
 
-FLAGSHIP = "doc_language_counts"
-
-
-def doc_language_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
-
-
-QUERIES = {"doc_language_counts": doc_language_counts}
-ORACLES = {"doc_language_counts": "SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang"}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
