@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir_set, id_type, ids_and_texts
+from .common import Scratch, checkpoint_dir_set, id_type, ids_and_texts
 from .shingles import grams, mix, word_hashes
 
 BANDS, ROWS = 24, 6  # a pair of similarity 0.85 misses all bands with probability 1.2e-5
 BATCH = 24  # hashes compared at once
 MISS = 1e-6  # posterior below which a pair is dropped
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 400_000
 BROADCAST_ROWS = 500_000
 
 _RNG = np.random.default_rng(2024)
@@ -153,8 +153,8 @@ def small(df: DataFrame) -> DataFrame:
 class Linker:
     """Verifies pairs of nodes of one table."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame, words: int, percent: int):
-        self.nodes, self.docs, self.words, self.percent = nodes, docs, words, percent
+    def __init__(self, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch):
+        self.nodes, self.docs, self.words, self.percent, self.scratch, self.calls = nodes, docs, words, percent, scratch, 0
         self.pair = f"a {id_type(docs)}, b {id_type(docs)}"
 
     def sets(self, ids: DataFrame) -> DataFrame:
@@ -170,14 +170,18 @@ class Linker:
         return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, set binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked; checkpointed."""
+        """The pairs (a, b) that are linked; written."""
+        self.calls += 1
+        store = lambda df, name: self.scratch.store(df, f"{name}{self.calls}")
         sig = self.nodes.select("doc_id", "sig")
         with_sig = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-        alive = prune(with_sig, self.percent, self.pair).checkpoint()
-        ids = alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
-        sets = self.sets(ids).checkpoint()
+        alive = store(prune(with_sig, self.percent, self.pair), "alive")
+        ids = alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = store(self.sets(store(ids, "ids")), "sets")
         with_sets = alive.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
-        return exact(with_sets, self.percent, self.pair).distinct().checkpoint()
+        out = store(exact(with_sets, self.percent, self.pair).distinct(), "links")
+        self.scratch.drop(*(f"{n}{self.calls}" for n in ("alive", "ids", "sets")))
+        return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,27 +212,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     checkpoint_dir_set(docs.sparkSession)
     own = ids_and_texts(docs, id_col, text_col)
-    sketches = sketch(docs, words, id_col, text_col).checkpoint()
+    scratch = Scratch(docs.sparkSession)
+    sketches = scratch.store(sketch(docs, words, id_col, text_col), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s")).select("k1", "k2", "doc_id", "s.bands", "s.sig").checkpoint()
-    linker = Linker(nodes, own, words, percent)
+    nodes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s")).select("k1", "k2", "doc_id", "s.bands", "s.sig")
+    nodes = scratch.store(nodes, "nodes")
+    linker = Linker(nodes, own, words, percent, scratch)
 
     in_band = nodes.select("doc_id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select("band", "centre")
-    members = in_band.join(shared, "band").checkpoint()
-    first = members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct().checkpoint()
+    members = scratch.store(in_band.join(shared, "band"), "members")
+    first = members.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    first = scratch.store(first, "first")
     links = linker.links(first)
 
     # what is still apart within a bucket
     labels = components(links)
-    placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("part")).checkpoint()
+    placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("part"))
+    placed = scratch.store(placed, "placed")
     parts = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band").agg(F.count("*").alias("n_parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("n_parts > 1").select("band", "main").checkpoint()
+    main = parts.groupBy("band").agg(F.count("*").alias("n_parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("n_parts > 1").select("band", "main")
+    main = scratch.store(main, "main")
     open_ = placed.join(main, "band")
     rest = open_.where("part <> main").select("band", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
     other = open_.select("band", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), "main")
     cross = rest.join(other, "band").where("part_a <> part_b and (part_b = main or a > b)")
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti").checkpoint()
+    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    cross = scratch.store(cross, "cross")
     links = links.union(linker.links(cross))
 
     same = some.join(nodes.select("k1", "k2", F.col("doc_id").alias("node")), ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
