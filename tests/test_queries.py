@@ -1,0 +1,38 @@
+"""Every query with SQL gives what DuckDB gives, on the smallest tables."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+from sheaf.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        c.sql(f"create view {os.path.basename(f)[:-8]} as from '{f}'")
+    return c
+
+
+def plain(v):
+    return float(f"{v:.9g}") if isinstance(v, float) and not math.isnan(v) else v
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_query(spark, duck, name):
+    df = catalog.QUERIES[name](spark, SF)
+    rows, columns = df.collect(), sorted(df.columns)
+    if name not in catalog.ORACLES:
+        assert columns
+        return
+    r = duck.sql(catalog.ORACLES[name])
+    at = [r.columns.index(c) for c in columns]
+    assert sorted(r.columns) == columns
+    key = lambda t: tuple(map(repr, t))
+    assert sorted((tuple(plain(x[c]) for c in columns) for x in rows), key=key) == sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=key)
