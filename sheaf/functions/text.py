@@ -28,8 +28,9 @@ def tokenize(text: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Light stripping of one ending, the first that leaves three letters; only of ASCII tokens of four or more that aren't numbers."""
-    out = F.when((F.length(token) < 4) | ~token.rlike(r"^[\x00-\x7F]+$") | token.rlike(r"^[0-9]+$"), token)
+    """Light stripping of one ending, the first that leaves three letters; only of ASCII tokens of four or more (numbers have none of
+    these endings). ASCII: as many bytes as characters."""
+    out = F.when((F.length(token) < 4) | (F.octet_length(token) != F.length(token)), token)
     for s in SUFFIXES:
         out = out.when(token.endswith(s) & (F.length(token) - len(s) >= 3), F.left(token, F.length(token) - len(s)))
     return out.otherwise(token)

@@ -7,7 +7,7 @@ probability. Survivors are verified exactly on their full shingle sets. Links ma
 Buckets can hold a third of all rows, so pairs within one are never all made. Texts with equal sets are one node. In a first
 round every member of a bucket is paired with the bucket's smallest; their links give components. In the second round only
 members outside a bucket's largest component are paired, and only with members of other components: what is connected
-already needs no further link.
+already needs no further link. These pairs are close to the threshold more often, so they are compared by longer signatures.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .shingles import grams, mix, word_hashes
 
 BANDS, ROWS = 24, 6  # a pair of similarity 0.85 misses all bands with probability 1.2e-5
 BATCH = 24  # hashes compared at once
+LONG, LONG_BATCH = 512, 64  # one-byte hashes of texts in buckets that the first round leaves apart
 MISS = 1e-6  # posterior below which a pair is dropped
 CHUNK_CHARS = 400_000
 BROADCAST_ROWS = 500_000
@@ -32,6 +33,8 @@ BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(2024)
 MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+LONG_MULTIPLY = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
+LONG_ADD = _RNG.integers(0, 1 << 63, LONG, dtype=np.uint64)
 
 
 def chunks(texts: list[str]) -> Iterator[slice]:
@@ -49,17 +52,17 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash signatures (sets by hashes) of sets that aren't empty."""
-    out = np.empty((len(sets), len(MULTIPLY)), np.uint32)
+def signatures(sets: list[np.ndarray], multiply: np.ndarray = MULTIPLY, add: np.ndarray = ADD) -> np.ndarray:
+    """MinHash values (sets by hashes) of sets that aren't empty."""
+    out = np.empty((len(sets), len(multiply)), np.uint64)
     size = np.array([len(s) for s in sets])
     begin = 0
     while begin < len(sets):
         end = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:]), 60_000, "right")))  # what a core's cache holds
         x = np.concatenate(sets[begin:end])
         first = np.cumsum(size[begin:end]) - size[begin:end]
-        for k, (m, a) in enumerate(zip(MULTIPLY, ADD, strict=True)):
-            out[begin:end, k] = np.minimum.reduceat(x * m + a, first) >> np.uint64(32)
+        for k, (m, a) in enumerate(zip(multiply, add, strict=True)):
+            out[begin:end, k] = np.minimum.reduceat(x * m + a, first)
         begin = end
     return out
 
@@ -76,7 +79,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 n = len(sets)
                 k1, k2, bands, sig = [None] * n, [None] * n, [None] * n, [None] * n
                 if some:
-                    s = signatures([sets[i] for i in some])
+                    s = (signatures([sets[i] for i in some]) >> np.uint64(32)).astype(np.uint32)
                     folded = np.zeros((len(some), BANDS), np.uint64)
                     for r in range(ROWS):
                         folded = mix(folded + s[:, r::ROWS].astype(np.uint64) + np.uint64(r + 1))
@@ -110,14 +113,18 @@ def least_matches(threshold: float, miss: float = MISS, hashes: int = BANDS * RO
     return out
 
 
-def prune(pairs: DataFrame, percent: int, schema: str) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) that no batch rules out, as (a, b)."""
-    bounds = least_matches(percent / 100)
+def prune(pairs: DataFrame, percent: int, schema: str, long: bool) -> DataFrame:
+    """Pairs (a, b, sig_a, sig_b) that no batch rules out, as (a, b).
+
+    One-byte hashes also agree by chance, once in 256 times, so the bounds for whole ones drop no pair more often than wanted.
+    """
+    bounds = least_matches(percent / 100, hashes=LONG, batch=LONG_BATCH) if long else least_matches(percent / 100)
+    kind = np.uint8 if long else np.uint32
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), -1) for c in ("sig_a", "sig_b"))
+                x, y = (np.frombuffer(b"".join(b[c]), kind).reshape(len(b), -1) for c in ("sig_a", "sig_b"))
                 alive, found, at = np.arange(len(b)), np.zeros(len(b), np.int64), 0
                 for n, m in bounds:
                     found[alive] += (x[alive, at:n] == y[alive, at:n]).sum(1)
@@ -169,14 +176,27 @@ class Linker:
 
         return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, set binary")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked; written."""
+    def long_signatures(self, ids: DataFrame) -> DataFrame:
+        """doc_id and sig (LONG one-byte hashes) of the documents named."""
+        words = self.words
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                texts = b["text"].tolist()
+                for part in chunks(texts):
+                    sigs = (mix(signatures(shingle_sets(texts[part], words), LONG_MULTIPLY, LONG_ADD)) & np.uint64(255)).astype(np.uint8)
+                    yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].to_numpy(), "sig": [s.tobytes() for s in sigs]})
+
+        return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, sig binary")
+
+    def links(self, pairs: DataFrame, long: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) that are linked; written. Signatures are the nodes' own, or `long` ones."""
         self.calls += 1
         store = lambda df, name: self.scratch.store(df, f"{name}{self.calls}")
-        sig = self.nodes.select("doc_id", "sig")
+        sig = self.nodes.select("doc_id", "sig") if long is None else long
         with_sig = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-        alive = store(prune(with_sig, self.percent, self.pair), "alive")
-        ids = alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        alive = store(prune(with_sig, self.percent, self.pair, long is not None), "alive")
+        ids = alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct()
         sets = store(self.sets(store(ids, "ids")), "sets")
         with_sets = alive.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
         out = store(exact(with_sets, self.percent, self.pair).distinct(), "links")
@@ -239,7 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = rest.join(other, "band").where("part_a <> part_b and (part_b = main or a > b)")
     cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     cross = scratch.store(cross, "cross")
-    links = links.union(linker.links(cross))
+    ids = cross.select(F.col("a").alias("doc_id")).union(cross.select("b")).distinct()
+    long = scratch.store(linker.long_signatures(scratch.store(ids, "open")), "long")
+    links = links.union(linker.links(cross, long))
 
     same = some.join(nodes.select("k1", "k2", F.col("doc_id").alias("node")), ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     # ids that stand for one set only hang on their node; others would need its label too, so they join as links

@@ -97,14 +97,24 @@ def find_private(
     pairs = one.select("row", "copy", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(terms).alias("term"))
     both = pairs.groupBy("term", "entity").agg(F.count_distinct("copy").alias("n_both")).where(F.col("n_both") >= min_support).checkpoint()
 
-    # what the whole corpus says about those terms and entities
+    # A term in too many texts can't reach the threshold: c(t) <= c(t,e) (N / c(e)) ** (1 - generalise_at) must hold. Texts with
+    # personal data alone give a lower bound of c(t), so most terms needn't be counted in the whole corpus.
     entities = one.select("copy", F.concat_ws(":", "s.kind", "s.value").alias("entity")).groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
-    wanted = both.select("term").distinct()
-    words = all_texts.select("copy", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))).alias("term"))
-    n_term = words.join(small(wanted), "term").groupBy("term").agg(F.count_distinct("copy").alias("n_term"))
     n = all_texts.agg(F.count_distinct("copy").alias("n"))
+    distinct_words = lambda texts: texts.select("copy", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))).alias("term"))
+    held_words = distinct_words(held).join(small(both.select("term").distinct()), "term", "left_semi")
+    at_least = held_words.groupBy("term").agg(F.count_distinct("copy").alias("at_least"))
+    open_ = (
+        both.join(entities, "entity").join(at_least, "term").crossJoin(F.broadcast(n))  # n is a single row
+        .where(F.col("at_least") <= F.col("n_both") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - generalise_at)) + 0.5)
+        .checkpoint()
+    )
+
+    # what the whole corpus says about those that are left
+    words = distinct_words(all_texts).join(small(open_.select("term").distinct()), "term", "left_semi")
+    n_term = words.groupBy("term").agg(F.count_distinct("copy").alias("n_term"))
     told = (
-        both.join(entities, "entity").join(n_term, "term").crossJoin(F.broadcast(n))  # n is a single row
+        open_.join(n_term, "term")
         .select("term", "entity", F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))).alias("pmi"), F.log2(F.col("n") / F.col("n_entity")).alias("ic"))
         .where((F.col("ic") > 0) & (F.col("pmi") >= generalise_at * F.col("ic")))
         .select("term", "entity", (F.col("pmi") >= remove_at * F.col("ic")).alias("remove"))
