@@ -7,7 +7,9 @@ probability. Survivors are verified exactly on their full shingle sets. Links ma
 Buckets can hold a third of all rows, so pairs within one are never all made. Texts with equal sets are one node. In a first
 round every member of a bucket is paired with the bucket's smallest; their links give components. In the second round only
 members outside a bucket's largest component are paired, and only with members of other components: what is connected
-already needs no further link. These pairs are close to the threshold more often, so they are compared by longer signatures.
+already needs no further link. Of two linked sets, most shingles stand in both; a member too many of whose shingles stand in
+no other open text is linked with none, and makes no pairs. Those left are close to the threshold more often, so they are
+compared by longer signatures.
 """
 
 from __future__ import annotations
@@ -189,6 +191,35 @@ class Linker:
 
         return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, sig binary")
 
+    def shared(self, ids: DataFrame) -> DataFrame:
+        """doc_id, n (size of its set) and n_shared (shingles that another of the documents named has too)."""
+        words = self.words
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                texts = b["text"].tolist()
+                for part in chunks(texts):
+                    sets = shingle_sets(texts[part], words)
+                    x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                    yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].iloc[part].to_numpy(), [len(s) for s in sets]), "shingle": x.view(np.int64)})
+
+        rows = self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, shingle bigint")
+        one = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+        lonely = one.groupBy("doc_id").agg(F.count("*").alias("lonely"))
+        n = self.nodes.join(small(ids), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"))
+        return n.join(lonely, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("n_shared"))
+
+    def able(self, open_: DataFrame, step: int) -> DataFrame:
+        """Rows (band, doc_id, part, main) of `open_`, with n and n_shared, whose text can be linked within its bucket.
+
+        A link needs percent / (100 + percent) of both sizes' sum in common: who can't reach that with the bucket's smallest goes.
+        """
+        ids = self.scratch.store(open_.select("doc_id").distinct(), f"open_ids{step}")
+        with_n = open_.select("band", "doc_id", "part", "main").join(self.scratch.store(self.shared(ids), f"shared{step}"), "doc_id")
+        least = with_n.groupBy("band").agg(F.min("n").alias("least"))
+        need = self.percent * (F.col("n") + F.greatest("least", F.col("n") * (self.percent / 100) - 1e-6))
+        return with_n.join(least, "band").where(F.col("n_shared") * (100 + self.percent) >= need).drop("least")
+
     def links(self, pairs: DataFrame, long: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that are linked; written. Signatures are the nodes' own, or `long` ones."""
         self.calls += 1
@@ -235,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     sketches = scratch.store(sketch(docs, words, id_col, text_col), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s")).select("k1", "k2", "doc_id", "s.bands", "s.sig")
+    nodes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("s")).select("k1", "k2", "doc_id", "s.n_shingles", "s.bands", "s.sig")
     nodes = scratch.store(nodes, "nodes")
     linker = Linker(nodes, own, words, percent, scratch)
 
@@ -253,14 +284,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy("band").agg(F.count("*").alias("n_parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("n_parts > 1").select("band", "main")
     main = scratch.store(main, "main")
-    open_ = placed.join(main, "band")
-    rest = open_.where("part <> main").select("band", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
-    other = open_.select("band", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), "main")
-    cross = rest.join(other, "band").where("part_a <> part_b and (part_b = main or a > b)")
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = scratch.store(placed.join(main, "band"), "open")
+    for step in (1, 2):  # the second time, what only those that went have counts as shared no more
+        open_ = scratch.store(linker.able(open_, step), f"able{step}")
+    # texts may meet in many bands; the pair is made in the least of them
+    bands = open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))  # at most one entry for each band
+    able = open_.join(bands, "doc_id")
+    side = lambda x: ["band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "n_shared", "bands"))]
+    met = able.where("part <> main").select(side("a")).join(able.select(*side("b"), "main"), "band")
+    met = met.where("part_a <> part_b and (part_b = main or doc_id_a > doc_id_b)").where(F.least("n_shared_a", "n_shared_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    met = met.where(F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))
+    cross = met.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).join(first, ["a", "b"], "left_anti")
     cross = scratch.store(cross, "cross")
     ids = cross.select(F.col("a").alias("doc_id")).union(cross.select("b")).distinct()
-    long = scratch.store(linker.long_signatures(scratch.store(ids, "open")), "long")
+    long = scratch.store(linker.long_signatures(scratch.store(ids, "cross_ids")), "long")
     links = links.union(linker.links(cross, long))
 
     same = some.join(nodes.select("k1", "k2", F.col("doc_id").alias("node")), ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
