@@ -71,6 +71,28 @@ def made_up():
     return rows
 
 
+def test_a_group_around_the_threshold(spark):
+    """Copies of one text, most too far from each other to be linked, and close copies of some of those."""
+    rng = random.Random(9)
+    word = lambda: "w" + str(rng.randrange(5_000))
+    base = [word() for _ in range(150)]
+
+    def altered(text, n):
+        t = list(text)
+        for k in rng.sample(range(len(t)), n):
+            t[k] = word()
+        return t
+
+    texts = [altered(base, rng.randrange(8)) for _ in range(160)]
+    texts += [altered(t, 1) for t in texts[:40]] + [altered(t[: rng.randrange(120, 150)], 1) for t in texts[40:60]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute(rows)
+    assert got == want
+    assert 20 < len(set(want.values())) < 150
+
+
 def test_against_all_pairs(spark):
     rows = made_up()
     docs = spark.createDataFrame([(d, t, 1, "q") for d, t in rows] + [(None, "short one", 1, "q"), (103, "short one", 2, "q")], "doc_id long, text string, n_shingles int, sig string")
