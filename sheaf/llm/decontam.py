@@ -2,19 +2,25 @@
 
 A mask names which words of a stretch count ('1') and which may differ ('0'). Hashes of the counting words are made at each
 place of test items and documents and joined. A hit fixes how an item lies over a document (a diagonal); there the aligned
-words are compared one by one, so substituted words cost only themselves. Items shorter than a mask get a mask of their own
-length without gaps.
+words are compared one by one, so substituted words cost only themselves. The masks are lossless: however the words that may
+differ lie in a stretch, one mask misses them all. Where the masks given can't promise that (short items, other shares), a run
+of words takes their place: of w words with k that differ, some run of (w - k) / (k + 1), rounded up, is whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint_dir_set
 
-# Two masks of span 11 and weight 8.
-MASKS = ("11101101011", "11011010111")
+# Two masks of weight 4 that together hit 16 words of which any 4 differ, and 11 to 15 words at the same share.
+MASKS = ("11101", "100111")
+MOST_PATTERNS = 20_000  # masks are checked against at most so many ways in which words may differ
 
 BROADCAST_ROWS = 500_000  # a side of at most so many (narrow) rows is broadcast, a larger one is shuffled
 
@@ -32,10 +38,29 @@ def seeds(hashes: Column, mask: str, number: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.lit(number), *(F.get(hashes, i + k) for k in ones)))
 
 
-def seed_rows(table: DataFrame, keys: list[str], masks: list[str]) -> DataFrame:
+def may_differ(width: int, min_share: float) -> int:
+    """How many of `width` words may differ so that the share that agrees still reaches min_share."""
+    return max((k for k in range(width) if (width - k) / width >= min_share), default=0)
+
+
+def lossless(masks: tuple[str, ...], width: int, differ: int) -> bool:
+    """Whether some mask hits a stretch of `width` words whichever `differ` of them differ; False if there are too many ways to see."""
+    if comb(width, differ) > MOST_PATTERNS:
+        return False
+    needed = [{p + k for k, c in enumerate(m) if c == "1"} for m in masks for p in range(width - len(m) + 1)]
+    return all(any(n.isdisjoint(d) for n in needed) for d in combinations(range(width), differ))
+
+
+def masks_for(width: int, min_share: float, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """Masks that hit every stretch of `width` words that min_share accepts: those given, or a run that is always whole."""
+    k = may_differ(width, min_share)
+    return tuple(masks) if lossless(masks, width, k) else ("1" * -(-(width - k) // (k + 1)),)
+
+
+def seed_rows(table: DataFrame, keys: list[str], masks: dict[str, int]) -> DataFrame:
     """Keys, place and seed. The table has `word_hashes`. Only hashes are exploded, never words."""
     # each mask's number is in the hash, so one column holds them all; a place's masks stand together
-    per_mask = [F.transform(seeds(F.col("word_hashes"), m, k), lambda h, i: F.struct(i.alias("place"), h.alias("seed"))) for k, m in enumerate(masks)]
+    per_mask = [F.transform(seeds(F.col("word_hashes"), m, k), lambda h, i: F.struct(i.alias("place"), h.alias("seed"))) for m, k in masks.items()]
     flat = table.select(*keys, F.explode(F.concat(*per_mask)).alias("s"))
     return flat.select(*keys, F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
 
@@ -52,7 +77,7 @@ def find_overlaps(
     """Contaminated pairs: doc_id, item_id, matched_words, item_words, best_share, doc_word (where the item begins, may be negative).
 
     A pair counts if some stretch of min(window, words of the item) aligned words agrees in at least `min_share` of them;
-    its best diagonal is reported (ties: the smallest). Null and empty texts or items match nothing; copies of an item or of
+    its best diagonal is reported (ties: the smallest). No such pair is missed: `masks` only steer the search. Null and empty texts or items match nothing; copies of an item or of
     a document are reported each; rows that repeat a doc_id count as that document; a null doc_id matches nothing; empty
     tables give no pairs; other columns are ignored.
     """
@@ -60,20 +85,18 @@ def find_overlaps(
     checkpoint_dir_set(spark)
     items = benchmark.select(benchmark[item_col].alias("item_id"), words(benchmark[item_text_col]).alias("item")).where("item_id is not null and size(item) > 0")
     by_words = items.groupBy("item").agg(F.min("item_id").alias("key")).checkpoint()  # equal items are looked for once
-    span = max(len(m) for m in masks)
-    short = [r[0] for r in by_words.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().orderBy("n").collect()]  # fewer than span numbers
-    all_masks = [*masks, *("1" * n for n in short)]
-    hashed = by_words.select("key", F.transform("item", lambda w: F.xxhash64(w)).alias("word_hashes"))
-    # a gapless mask belongs to items of just its length; the others' places under it are of no use
-    length = F.size("word_hashes")
-    item_seeds = seed_rows(hashed.where(length >= span), ["key"], list(masks))
-    if short:
-        parts = [seed_rows(hashed.where(length == n), ["key"], all_masks[: len(masks)] + [m if len(m) == n else "1" * 10_000 for m in all_masks[len(masks) :]]) for n in short]
-        for p in parts:
-            item_seeds = item_seeds.union(p)
+    width = F.least(F.size("item"), F.lit(window))
+    widths = [r[0] for r in by_words.select(width.alias("n")).distinct().orderBy("n").collect()] or [window]  # at most `window` numbers
+    by_masks: dict[tuple[str, ...], list[int]] = {}
+    for n in widths:
+        by_masks.setdefault(masks_for(n, min_share, masks), []).append(n)
+    number = {m: k for k, m in enumerate(dict.fromkeys(m for ms in by_masks for m in ms))}
+    hashed = by_words.select("key", width.alias("width"), F.transform("item", lambda w: F.xxhash64(w)).alias("word_hashes"))
+    # a mask's seeds belong only to the items of its widths
+    item_seeds = reduce(DataFrame.union, (seed_rows(hashed.where(F.col("width").isin(ns)), ["key"], {m: number[m] for m in ms}) for ms, ns in by_masks.items()))
     item_seeds = item_seeds.distinct().checkpoint()
     own = docs.select(docs[id_col].alias("doc_id"), words(docs[text_col]).alias("words")).where("doc_id is not null")
-    doc_seeds = seed_rows(own.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes")), ["doc_id"], all_masks)
+    doc_seeds = seed_rows(own.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes")), ["doc_id"], number)
     i = small(item_seeds.withColumnRenamed("place", "item_place"), item_seeds.count())
     hits = doc_seeds.join(i, "seed").select("doc_id", "key", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct().checkpoint()
     n_hits = hits.count()

@@ -1,7 +1,7 @@
 import random
 import re
 
-from sheaf.llm.decontam import MASKS, decontaminate, find_overlaps
+from sheaf.llm.decontam import MASKS, decontaminate, find_overlaps, lossless, masks_for, may_differ
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -72,3 +72,45 @@ def test_no_python_in_the_plan(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     plan = find_overlaps(docs, items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def all_alignments(docs, items, window=16, share=0.75):
+    """Every diagonal of every pair, without masks."""
+    out = {}
+    for d, t in docs:
+        for i, b in items:
+            w, v = t.split(), b.split()
+            n, best = min(window, len(v)), None
+            for g in range(-len(v) + 1, len(w)):
+                same = [w[g + x] == v[x] for x in range(max(0, -g), min(len(v), len(w) - g))]
+                sums = [sum(same[k : k + n]) / n for k in range(len(same) - n + 1)]
+                if sums and max(sums) >= share:
+                    best = max(best or (-1,), (sum(same), max(sums), -g))
+            if best:
+                out[d, i] = best
+    return out
+
+
+def test_no_accepted_alignment_is_missed(spark):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 40)]
+    docs = []
+    for n, t in items:
+        passages = [[w if k % 4 != r else "other" for k, w in enumerate(t.split())] for r in range(4)]  # every fourth word replaced
+        for _ in range(12):
+            passages.append(t.split())
+            for k in rng.sample(range(n), may_differ(min(n, 16), 0.75) + rng.randrange(2) if n > 1 else 0):
+                passages[-1][k] = "other"
+        docs += [(len(docs) + k, "begin here " + " ".join(p) + " and end") for k, p in enumerate(passages)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for share in (0.75, 0.6):
+        got = {(r.doc_id, r.item_id): (r.matched_words, r.best_share, -r.doc_word) for r in find_overlaps(d, b, min_share=share).collect()}
+        want = all_alignments(docs, items, share=share)
+        assert got == want and len(want) > 100
+
+
+def test_masks_are_lossless():
+    for n in range(1, 17):
+        assert lossless(masks_for(n, 0.75), n, may_differ(n, 0.75))
+    assert all(masks_for(n, 0.75) == MASKS for n in range(11, 17))
+    assert not lossless(("11101101011", "11011010111"), 16, 2)
