@@ -39,6 +39,13 @@ LONG_MULTIPLY = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
 LONG_ADD = _RNG.integers(0, 1 << 63, LONG, dtype=np.uint64)
 
 
+def family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of so many hashes; up to BANDS * ROWS they are the fixed ones."""
+    rng, more = np.random.default_rng(2025), max(0, hashes - BANDS * ROWS)
+    multiply = rng.integers(1, 1 << 63, more, dtype=np.uint64) | np.uint64(1)
+    return np.concatenate([MULTIPLY, multiply])[:hashes], np.concatenate([ADD, rng.integers(0, 1 << 63, more, dtype=np.uint64)])[:hashes]
+
+
 def chunks(texts: list[str]) -> Iterator[slice]:
     begin = total = 0
     for i, t in enumerate(texts):
@@ -69,7 +76,7 @@ def signatures(sets: list[np.ndarray], multiply: np.ndarray = MULTIPLY, add: np.
     return out
 
 
-def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, words: int, id_col: str, text_col: str, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set, the hashes of its bands, its signature. Without words: 0 and nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,11 +88,11 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 n = len(sets)
                 k1, k2, bands, sig = [None] * n, [None] * n, [None] * n, [None] * n
                 if some:
-                    s = (signatures([sets[i] for i in some]) >> np.uint64(32)).astype(np.uint32)
-                    folded = np.zeros((len(some), BANDS), np.uint64)
-                    for r in range(ROWS):
-                        folded = mix(folded + s[:, r::ROWS].astype(np.uint64) + np.uint64(r + 1))
-                    folded = mix(folded ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                    s = (signatures([sets[i] for i in some], *family(n_bands * n_rows)) >> np.uint64(32)).astype(np.uint32)
+                    folded = np.zeros((len(some), n_bands), np.uint64)
+                    for r in range(n_rows):
+                        folded = mix(folded + s[:, r::n_rows].astype(np.uint64) + np.uint64(r + 1))
+                    folded = mix(folded ^ np.arange(n_bands, dtype=np.uint64)).view(np.int64)
                     for row, i in enumerate(some):
                         x = sets[i]
                         k1[i] = int(np.add.reduce(mix(x)).view(np.int64))
@@ -115,12 +122,12 @@ def least_matches(threshold: float, miss: float = MISS, hashes: int = BANDS * RO
     return out
 
 
-def prune(pairs: DataFrame, percent: int, schema: str, long: bool) -> DataFrame:
+def prune(pairs: DataFrame, percent: int, schema: str, long: bool, hashes: int = BANDS * ROWS) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) that no batch rules out, as (a, b).
 
     One-byte hashes also agree by chance, once in 256 times, so the bounds for whole ones drop no pair more often than wanted.
     """
-    bounds = least_matches(percent / 100, hashes=LONG, batch=LONG_BATCH) if long else least_matches(percent / 100)
+    bounds = least_matches(percent / 100, hashes=LONG, batch=LONG_BATCH) if long else least_matches(percent / 100, hashes=hashes)
     kind = np.uint8 if long else np.uint32
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,8 +169,8 @@ def small(df: DataFrame) -> DataFrame:
 class Linker:
     """Verifies pairs of nodes of one table."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch):
-        self.nodes, self.docs, self.words, self.percent, self.scratch, self.calls = nodes, docs, words, percent, scratch, 0
+    def __init__(self, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, hashes: int = BANDS * ROWS):
+        self.nodes, self.docs, self.words, self.percent, self.scratch, self.hashes, self.calls = nodes, docs, words, percent, scratch, hashes, 0
         self.pair = f"a {id_type(docs)}, b {id_type(docs)}"
 
     def sets(self, ids: DataFrame) -> DataFrame:
@@ -226,7 +233,7 @@ class Linker:
         store = lambda df, name: self.scratch.store(df, f"{name}{self.calls}")
         sig = self.nodes.select("doc_id", "sig") if long is None else long
         with_sig = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-        alive = store(prune(with_sig, self.percent, self.pair, long is not None), "alive")
+        alive = store(prune(with_sig, self.percent, self.pair, long is not None, self.hashes), "alive")
         ids = alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct()
         sets = store(self.sets(store(ids, "ids")), "sets")
         with_sets = alive.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
@@ -254,21 +261,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity >= percent / 100).
 
     Null, empty and blank texts have no shingles and are linked with nothing; a text of fewer words than a shingle is one shingle.
     Rows that repeat a doc_id are one node. A row without doc_id stays out: its component is null. An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored. A link of similarity s is no candidate with probability (1 - s ** n_rows) ** n_bands:
+    a lower percent needs more bands or fewer rows.
     """
     checkpoint_dir_set(docs.sparkSession)
     own = ids_and_texts(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
-    sketches = scratch.store(sketch(docs, words, id_col, text_col), "sketches")
+    sketches = scratch.store(sketch(docs, words, id_col, text_col, n_bands, n_rows), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     nodes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("s")).select("k1", "k2", "doc_id", "s.n_shingles", "s.bands", "s.sig")
     nodes = scratch.store(nodes, "nodes")
-    linker = Linker(nodes, own, words, percent, scratch)
+    linker = Linker(nodes, own, words, percent, scratch, n_bands * n_rows)
 
     in_band = nodes.select("doc_id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select("band", "centre")

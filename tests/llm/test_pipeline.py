@@ -6,6 +6,7 @@ from sheaf.llm import langid
 from .test_decontam import brute as overlaps
 from .test_linededup import brute as repeated
 from .test_neardup import brute as groups
+from .test_neardup import shingles
 from .test_packing import Encoder
 
 
@@ -58,3 +59,20 @@ def test_run_is_the_stages_in_turn(spark):
     assert rows.count() > 0 and set(rows.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id" and len(corpus_pipeline.STAGES) == 5
     assert langid.BITS  # trained here, on a bounded sample
+
+
+def test_near_duplicates_from_four_fifths_on_go(spark):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    rows, sim = [(1, " ".join(base))], {}
+    for d in range(2, 42):  # each resembles only the first
+        words = list(base)
+        for k in rng.sample(range(10, 290), 6):
+            words[k] = f"x{d}y{k}"
+        rows.append((d, " ".join(words)))
+        a, b = shingles(rows[0][1]), shingles(rows[-1][1])
+        sim[d] = len(a & b) / len(a | b)
+    assert any(0.8 <= x < 0.85 for x in sim.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, "").collect()}
+    assert kept == {1} | {d for d, x in sim.items() if x < 0.8}
