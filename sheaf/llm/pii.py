@@ -1,6 +1,6 @@
 """Personal data: patterns, and terms that give protected entities away; in DataFrame functions only.
 
-The values the patterns find are the protected entities. Terms near them are weighed by what the corpus says: with N texts,
+The values the patterns find are the protected entities. Terms of the texts that hold them, wherever they stand there, are weighed by what the corpus says: with N texts,
 the pointwise mutual information of term and entity, log2(c(t,e) N / (c(t) c(e))), as a share of what the entity's name itself
 would tell, log2(N / c(e)). Where a term of enough support reaches `remove_at` of that share it is removed from texts that
 hold the entity, from `generalise_at` on it is generalised to its first letters. Counts are of distinct texts, all of them.
@@ -71,7 +71,7 @@ def base_spans(text: Column) -> Column:
 
 
 def find_private(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 80, min_letters: int = 4, min_support: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_letters: int = 4, min_support: int = 3,
     generalise_at: float = 0.8, remove_at: float = 0.95,
 ) -> DataFrame:
     """One row per input row: doc_id, spans (kind, start, end, value; by kind, then start) and actions (term -> generalise or remove).
@@ -87,61 +87,59 @@ def find_private(
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")).checkpoint()
     held = rows.where(F.col("text").isNotNull()).select("row", "text", F.xxhash64("text").alias("copy"), "spans")
 
-    # terms near each entity: whole words, none of an address
-    one = held.select("row", "copy", "text", F.explode("spans").alias("s"))
-    before = F.regexp_replace(F.expr(f"substring(text, cast(greatest(s.start - {reach}, 0) + 1 as int), cast(least(s.start, {reach}) as int))"), F.when(F.col("s.start") > reach, F.lit(r"^\S+")).otherwise(F.lit(r"^\b$")), F.lit(""))
-    after = F.expr(f"substring(text, cast(s.end + 1 as int), {reach})")
-    after = F.when(F.length(after) == reach, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    near = F.regexp_replace(F.concat_ws(" ", before, after), r"\S*@\S*", " ")
-    terms = F.array_distinct(F.regexp_extract_all(near, F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))
-    pairs = one.select("row", "copy", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(terms).alias("term"))
-    both = pairs.groupBy("term", "entity").agg(F.count_distinct("copy").alias("n_both")).where(F.col("n_both") >= min_support).checkpoint()
-
-    # A term in too many texts can't reach the threshold: c(t) <= c(t,e) (N / c(e)) ** (1 - generalise_at) must hold. Texts with
-    # personal data alone give a lower bound of c(t), so most terms needn't be counted in the whole corpus.
-    entities = one.select("copy", F.concat_ws(":", "s.kind", "s.value").alias("entity")).groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
-    n = all_texts.agg(F.count_distinct("copy").alias("n"))
-    distinct_words = lambda texts: texts.select("copy", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))).alias("term"))
-    held_words = distinct_words(held).join(small(both.select("term").distinct()), "term", "left_semi")
-    at_least = held_words.groupBy("term").agg(F.count_distinct("copy").alias("at_least"))
-    open_ = (
-        both.join(entities, "entity").join(at_least, "term").crossJoin(F.broadcast(n))  # n is a single row
-        .where(F.col("at_least") <= F.col("n_both") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - generalise_at)) + 0.5)
-        .checkpoint()
-    )
+    # one row for each distinct text, and the entities of enough texts: a term can't share more texts with an entity than there are
+    first = held.groupBy("copy").agg(F.min("row").alias("row")).select("row").checkpoint()
+    single = held.join(small(first), "row", "left_semi")
+    named = lambda spans: F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    holds = single.select("copy", F.explode(named(F.col("spans"))).alias("entity"))
+    n = all_texts.agg(F.count_distinct("copy")).first()[0]
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support)
+    # A term in too many texts can't reach the threshold: c(t) <= c(t,e) (N / c(e)) ** (1 - generalise_at) must hold, and c(t,e) <= c(e).
+    # Texts with personal data alone give a lower bound of c(t), so most terms needn't be counted in the whole corpus.
+    widening = F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - generalise_at))
+    entities = entities.withColumn("most", F.col("n_entity") * widening + 0.5).checkpoint()
+    holds = holds.join(small(entities), "entity").checkpoint()
+    most = entities.agg(F.max("most")).first()[0] or 0.0
+
+    # terms of the texts that hold each entity: whole words, none of an address
+    word_runs = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))
+    distinct_words = lambda texts: texts.select("copy", F.explode(word_runs(F.col("text"))).alias("term"))
+    at_least = distinct_words(single).groupBy("term").agg(F.count("*").alias("at_least")).where(F.col("at_least").between(min_support, most)).checkpoint()
+    plain = F.regexp_replace(F.regexp_replace("text", EMAIL, " "), r"(?<!\S)\S*@\S*", " ")
+    able = single.join(small(holds.select("copy").distinct().checkpoint()), "copy", "left_semi")
+    terms = able.select("copy", F.explode(word_runs(plain)).alias("term")).join(small(at_least), "term")
+    both = (
+        terms.join(small(holds), "copy").where(F.col("at_least") <= F.col("most"))
+        .groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("at_least").alias("at_least"))
+        .where(F.col("n_both") >= min_support)
+    )
+    open_ = both.where(F.col("at_least") <= F.col("n_both") * widening + 0.5).checkpoint()
 
     # what the whole corpus says about those that are left
     words = distinct_words(all_texts).join(small(open_.select("term").distinct()), "term", "left_semi")
     n_term = words.groupBy("term").agg(F.count_distinct("copy").alias("n_term"))
     told = (
         open_.join(n_term, "term")
-        .select("term", "entity", F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))).alias("pmi"), F.log2(F.col("n") / F.col("n_entity")).alias("ic"))
+        .select("term", "entity", F.log2(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity"))).alias("pmi"), F.log2(F.lit(n) / F.col("n_entity")).alias("ic"))
         .where((F.col("ic") > 0) & (F.col("pmi") >= generalise_at * F.col("ic")))
         .select("term", "entity", (F.col("pmi") >= remove_at * F.col("ic")).alias("remove"))
         .checkpoint()
     )
 
     # their places in the texts that hold the entity
-    own = held.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    marked = own.join(small(told), "entity").groupBy("row", "term").agg(F.max("remove").alias("remove")).checkpoint()
-    at = held.join(small(marked), "row")
-    whole_word = F.concat(F.lit(r"(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
+    own = held.select("row", F.explode(named(F.col("spans"))).alias("entity"))
+    marked = own.join(small(told), "entity").groupBy("row", "term").agg(F.max("remove").alias("remove"))
+    marked = marked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("remove"), "remove").otherwise("generalise")))).alias("actions")).checkpoint()  # terms of one text
+    whole_word = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("actions"), "|"), F.lit(r")(?!\p{L})"))
     places = F.filter(
         matches(F.col("text"), whole_word, "term"),
         lambda p: ~F.exists("spans", lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"])),
     )
-    found = (
-        at.select("row", "term", "remove", places.alias("places"))
-        .where(F.size("places") > 0)
-        .groupBy("row")
-        .agg(
-            F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))))).alias("places"),
-            F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("remove"), "remove").otherwise("generalise")))).alias("actions"),
-        )  # a text's own terms: bounded by the reach around its own spans
-        .checkpoint()
-    )
-    added = F.transform(F.coalesce("places", F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")), lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")).cast(SPAN))
-    return rows.select("row", "doc_id", "spans").join(small(found), "row", "left").select("doc_id", F.concat("spans", added).alias("spans"), F.coalesce("actions", F.create_map().cast("map<string,string>")).alias("actions"))
+    found = held.join(small(marked), "row").select("row", "actions", places.alias("places")).where(F.size("places") > 0).checkpoint()
+    values = F.array_distinct(F.transform("places", lambda p: p["value"]))
+    found = found.select("row", "places", F.map_filter("actions", lambda term, _: F.array_contains(values, term)).alias("actions"))
+    added = F.coalesce("places", F.array().cast(f"array<{SPAN}>"))
+    return rows.select("row", "doc_id", "spans").join(found, "row", "left").select("doc_id", F.concat("spans", added).alias("spans"), F.coalesce("actions", F.create_map().cast("map<string,string>")).alias("actions"))
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_letters: int = 2) -> DataFrame:

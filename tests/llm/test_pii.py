@@ -78,3 +78,17 @@ def test_sanitised_text(spark):
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
     assert not re.search("PythonUDF|Pandas|ArrowEval", find_private(docs)._jdf.queryExecution().toString())
+
+
+def test_terms_far_from_the_entity(spark):
+    filler = lambda i: " ".join(f"{w} clouds" for w in ["over", "under", "near"] * 20) + f" number {i} "
+    texts = [f"The weather report number {i} speaks of clouds over under near" for i in range(60)]
+    texts += [f"From Zanzibarian. {filler(i)} sent by <bob@evil.com>" for i in range(4)]  # in the heading, the address in the signature
+    texts += [f"Quixotically near al@evil.com number {i}" for i in range(2)] + [f"Quixotically {filler(i)} al@evil.com" for i in range(2)]  # near in some
+    texts += [f"Seldomly {filler(i)} eve@evil.com" for i in range(2)]  # too few texts
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {s.value for s in r.spans if s.kind == "term"} for r in find_private(docs).collect()}
+    assert all("Zanzibarian" in got[i] for i in range(60, 64)) and all("Quixotically" in got[i] for i in range(64, 68))
+    assert not any(got[i] for i in [*range(60), 68, 69]) and not any("clouds" in g for g in got.values())
+    clean = sanitise(docs, find_private(docs)).where("doc_id between 60 and 63").collect()
+    assert clean and not any("Zanzibarian" in r.text or "bob@" in r.text for r in clean)
