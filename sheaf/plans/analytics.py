@@ -48,6 +48,7 @@ GUARDED = {
     "revenue_by_region": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "total": ("SELECT l_returnflag, round(total(l_tax), 4) AS t FROM lineitem WHERE l_quantity > 49 GROUP BY l_returnflag", "SELECT l_returnflag, round(sum(l_tax), 4) AS t FROM lineitem WHERE l_quantity > 49 GROUP BY l_returnflag"),
     "iif": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS class FROM orders WHERE o_orderkey < 500", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS class FROM orders WHERE o_orderkey < 500"),
+    "iif_all_orders": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS class FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS class FROM orders"),
     "log": ("SELECT p_partkey, round(log(p_retailprice), 6) AS l, round(ln(p_retailprice), 6) AS n FROM part", "SELECT p_partkey, round(log10(p_retailprice), 6) AS l, round(ln(p_retailprice), 6) AS n FROM part"),
     "power": "SELECT n_nationkey, round(sqrt(n_nationkey), 6) AS r, power(n_nationkey, 2) AS p, mod(n_nationkey, 7) AS m FROM nation",
 }
@@ -263,6 +264,15 @@ def decompose_question(spark, sf_dir):
     return d.where("n > 1 and n <= 3").select("item_id", F.size("p").cast("long").alias("n_parts"), F.get("p", F.lit(0)).alias("first_part"))
 
 
+@query(r"""
+WITH s AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '(?i)\s+(?:and|also|plus|as well as)\s+'), lambda x: trim(x) <> '') AS p FROM benchmark),
+d AS (SELECT item_id, CASE WHEN len(p) <= 1 THEN [text] ELSE list_transform(p[1:3], lambda x: trim(x, ' ?.')) END AS p FROM s)
+SELECT item_id, len(p)::BIGINT AS n_parts, array_to_string(p, '|') AS parts FROM d""")
+def decompose_all_questions(spark, sf_dir):
+    d = table(spark, sf_dir, "benchmark").select("item_id", dialogue.decompose(F.col("text")).alias("p"))
+    return d.select("item_id", F.size("p").cast("long").alias("n_parts"), F.array_join("p", "|").alias("parts"))
+
+
 @query()
 def numeric_conflicts(spark, sf_dir):
     return dialogue.conflicts(table(spark, sf_dir, "documents"))

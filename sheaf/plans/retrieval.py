@@ -137,6 +137,14 @@ def paragraphs_of_documents(spark, sf_dir):
     return lifecycle.paragraphs(d).select("doc_id", F.col("ordinal").cast("long"), F.length("paragraph").cast("long").alias("n_chars"))
 
 
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10)), '\n\s*\n') AS a FROM documents),
+p AS (SELECT doc_id, regexp_replace(unnest(a), '^\s+|\s+$', '', 'g') AS p, generate_subscripts(a, 1) AS i FROM a)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS ordinal, length(p)::BIGINT AS n_chars FROM p WHERE p <> ''""")
+def paragraphs_of_all_documents(spark, sf_dir):
+    return lifecycle.paragraphs(table(spark, sf_dir, "documents")).select("doc_id", F.col("ordinal").cast("long"), F.length("paragraph").cast("long").alias("n_chars"))
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS ordinal FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE source = 'src3') WHERE line <> ''),
 n AS (SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
