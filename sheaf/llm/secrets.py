@@ -3,7 +3,7 @@
 Three pattern kinds come first (assignments, access keys, long hex runs). The method then looks at every long run of
 key-like characters: under a byte-pair vocabulary, words take few tokens for their length, random strings take many. A run
 whose characters per token stay under `max_ratio` is reported as kind `random`, unless it is a known digest (hex of a digest
-length) or a known identifier (UUID, number, date-like, all letters of one case, i.e. a word).
+length) or a known identifier (UUID, number, date-like). Letters of one case are words only if their tokens say so.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ STARTS = ("passw", "secret", "token", "apikey", "api_key")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-ONE_CASE = re.compile(r"[A-Z]?[a-z]+([-_/+]+[A-Z]?[a-z]+)*|[A-Z]+([-_/+]+[A-Z]+)*|[^A-Za-z]+")
+NO_LETTER = re.compile(r"[^A-Za-z]+")
 
 SCHEMA = "doc_id {id}, spans array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -46,7 +46,7 @@ def load_vocabulary(path: str | None = None):
 
 def known(s: str) -> bool:
     """Digests and identifiers, which look random but are no secrets by themselves."""
-    if UUID.fullmatch(s) or ONE_CASE.fullmatch(s):
+    if UUID.fullmatch(s) or NO_LETTER.fullmatch(s):
         return True
     return len(s) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) is not None
 

@@ -37,3 +37,11 @@ def test_token_efficiency():
     assert kinds("my 9fQ2xLr7TgZp4KvW1sYb key") == ["random"]
     assert kinds("hash 24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == ["hex"]  # a digest isn't random
     assert kinds("123e4567-e89b-12d3-a456-426614174000 internationalization_of_things CamelCaseNameOfThings") == []
+
+
+def test_random_letters_of_one_case():
+    e = load_vocabulary()
+    for key in ("kqzvxjwtrplmncbdfghsqwzx", "QZXJKVWPRTMBNDFGHLCY", "kqzvxj-wtrplm-ncbdfg-hsqwzx"):
+        assert [key[a - 3 : b - 3] for a, b, k in find_secrets(f"my {key} key", e, 2.2) if k == "random"] == [key]
+    for name in ("internationalization", "well-known-side-effects", "INTERNATIONAL_SETTINGS", "input/output/directories", "2024-01-15/2024-02-16", "0123-4567-8901-2345"):
+        assert find_secrets(f"the {name} here", e, 2.2) == []
