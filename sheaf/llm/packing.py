@@ -10,6 +10,8 @@ documents are packed on their own, so a task holds a block, whatever the table's
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -43,9 +45,10 @@ class WordIds(dict):
 
 class Encoder:
     """The ids that the `tokenizers` file gives, by its rank-file twin; texts are split at single blanks first, where the
-    pattern always splits, so that frequent words are looked up. Texts with other white space are encoded whole."""
+    pattern always splits, so that frequent words are looked up. Texts with other white space are encoded whole. With `added`,
+    texts that hold the string of an added token, which that library takes for the token, are encoded by the library itself."""
 
-    def __init__(self, vocabulary: str | None = None):
+    def __init__(self, vocabulary: str | None = None, added: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -54,11 +57,25 @@ class Encoder:
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain = encoding.encode_ordinary
         self.words = WordIds(self.plain)
+        self.twin = public_tokenizers.path("byte_bpe_50k.json") if vocabulary is None else re.sub(r"(\.tiktoken)?$", ".json", vocabulary, count=1)
+        self.added, self.library = [], None
+        if added and os.path.exists(self.twin):  # a rank file alone has no added tokens
+            with open(self.twin, encoding="utf-8") as f:
+                self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    def whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.twin)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         if WHITE_PAIR.search(text):
             return np.array(self.plain(text), "<u4").tobytes()
         words = text.replace("\n", " \n ").split(" ")
@@ -165,7 +182,7 @@ def pack(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, block = Encoder(vocabulary), []
+        encode, block = Encoder(vocabulary, added=True), []
         next_id = TaskContext.get().partitionId() << 33
         for b in batches:
             starts = b["loss_from"] if loss_from_col else [None] * len(b)

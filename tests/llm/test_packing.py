@@ -87,3 +87,16 @@ def test_prompts_bear_no_loss(spark):
     assert sum(r.length for r in rows) > sum(r.loss_tokens for r in rows) > 0
     with pytest.raises(ValueError):
         pack(docs, max_segments=0)
+
+
+def test_added_tokens_in_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is, added tokens found in text
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "x<|endoftext|>\n<|endoftext|> y", "<|endoftext| >", "plain words here", "two  blanks <|endoftext|>"]
+    assert loaded.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+    rows = {r.doc_id: r for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = loaded.encode(t, add_special_tokens=False).ids + [0]
+        assert np.frombuffer(rows[i].ids, "<u4").tolist() == ids and rows[i].doc_tokens == len(ids)
