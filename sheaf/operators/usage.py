@@ -93,6 +93,9 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+RANGES = 200  # of values, of about equal numbers of distinct ones
+
+
 def rates(outcomes: DataFrame, by: str | None = None) -> DataFrame:
     """Passed, failed, skipped and the pass rate of cases that weren't skipped (columns status and `by`)."""
     g = outcomes.groupBy(by) if by else outcomes.groupBy()
@@ -101,8 +104,20 @@ def rates(outcomes: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def p95(outcomes: DataFrame, seconds: str = "seconds") -> DataFrame:
-    """The value at place int(0.95 n) of the sorted values, by counts per value, so no list is collected."""
+    """The value at place int(0.95 n) of the sorted values, by counts per value, so no list is collected.
+
+    Counts are summed by ranges of values; only the range that holds the place is ranked, so no task takes all values.
+    """
     counts = outcomes.where(F.col(seconds).isNotNull()).groupBy(F.col(seconds).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    ranked = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))  # distinct values only
-    return ranked.crossJoin(F.broadcast(total)).where(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.lit(0.95) * F.col("n")))).agg(F.min("v").alias("p95"))
+    bounds = sorted(set(counts.approxQuantile("v", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    counts = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("v"))))
+    parts = counts.groupBy("part").agg(F.sum("c").alias("c")).orderBy("part").collect()  # at most RANGES rows
+    n = sum(r.c for r in parts)
+    place, before, part = min(n - 1, int(0.95 * n)), 0, None
+    for r in parts:
+        if before + r.c > place:
+            part = r.part
+            break
+        before += r.c
+    ranked = counts.where(F.col("part") == F.lit(part)).withColumn("upto", F.lit(before) + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    return ranked.where(F.col("upto") > place).agg(F.min("v").alias("p95"))
