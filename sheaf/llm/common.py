@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
     return docs.schema[id_col].dataType.simpleString()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have (in any case), made of `name`."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in the array's order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -26,23 +35,68 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names. Without one, a local master (as in tests) gets a default; a cluster's executors share none."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (top or "/tmp/checkpoints/sheaf").rstrip("/")
+
+
 def checkpoint_dir_set(spark: SparkSession) -> None:
-    """Reliable checkpoints go to the shared folder the cluster names; a default is set only where none is (tests)."""
+    """Reliable checkpoints go to the shared folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sheaf")
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def slices(sizes: Iterable[int], most: int) -> Iterator[slice]:
+    """Cuts a batch into runs of rows that end as soon as their sizes (characters, say) reach `most`."""
+    begin = total = at = 0
+    for at, n in enumerate(sizes, 1):
+        total += n
+        if total >= most:
+            yield slice(begin, at)
+            begin, total = at, 0
+    if at > begin:
+        yield slice(begin, at)
+
+
+HOT_SHARE, HOT_SALTS = 512, 64
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+    """Inner join of many rows with one row for each key, where `count` says how many rows have the key.
+
+    Keys of over 1 / HOT_SHARE of all counted rows are dealt to HOT_SALTS tasks each, by `spread`. There are at most HOT_SHARE
+    of them, so the list of hot keys is broadcast whatever the input's size. `counted` should be written before: it is read
+    three times.
+    """
+    total = counted.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = counted.where(F.col(count) * HOT_SHARE > total).select(*keys, F.lit(True).alias("hot__"))
+    is_hot = F.col(count) * HOT_SHARE > total
+    salt = F.when(F.col("hot__"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("bigint")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt__", salt).drop("hot__")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    return salted.join(counted.withColumn("salt__", F.explode(salts)), [*keys, "salt__"]).drop("salt__")
 
 
 class Scratch:
-    """Tables between the steps of one operator, as Parquet in the shared folder the cluster names (a default is used where none is
-    set, as in tests). A step's shuffle files go once its table is written: nothing reads them again."""
+    """Tables between the steps of one operator, as Parquet in the shared folder; they go when the application ends. A step's
+    shuffle files go once its table is written: nothing reads them again."""
 
     CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, kind: str = "tables"):
         self.spark = spark
-        top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sheaf"
-        self.folder = f"{top.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        path, files = self._path("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         before = self.spark.conf.get(self.CLEAN_UP, "false")
@@ -55,7 +109,6 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing will read any more."""
-        jvm = self.spark._jvm
         for n in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(n)
+            files.delete(path, True)

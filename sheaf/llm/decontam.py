@@ -16,7 +16,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir_set
+from .common import checkpoint_dir_set, unused
 
 # Two masks of weight 4 that together hit 16 words of which any 4 differ, and 11 to 15 words at the same share.
 MASKS = ("11101", "100111")
@@ -126,5 +126,6 @@ def find_overlaps(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of `docs`, all columns, without the documents that overlap with an item."""
     id_col = options.get("id_col", "doc_id")
-    bad = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct().checkpoint()
-    return docs.join(small(bad, bad.count()), docs[id_col] == F.col("_bad"), "left_anti")
+    name = unused(docs, "bad")
+    bad = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct().checkpoint()
+    return docs.join(small(bad, bad.count()), docs[id_col] == bad[name], "left_anti")

@@ -15,14 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ids_and_texts
+from .common import id_type, ids_and_texts, slices
 
 BITS = 16  # log2 of the number of hashed features
 MIX = np.uint32(0x9E3779B1)
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 300_000  # a chunk's arrays take some fifty bytes a character
+
+SAMPLE_DOCS = 800  # labelled rows a model is fitted on, whole texts
 
 SCHEMA = "doc_id {id}, lang_pred string, score double, n_words bigint, words_by_lang map<string,bigint>"
 
@@ -30,9 +33,10 @@ _LETTERS: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """True at each code point that is a letter or a combining mark; made once in a process."""
+    """1 at each code point that is a letter, 2 at a combining mark, else 0; made once in a process."""
     if not _LETTERS:
-        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
+        kinds = (unicodedata.category(chr(c))[0] for c in range(0x110000))
+        _LETTERS.append(np.fromiter((1 if k == "L" else 2 if k == "M" else 0 for k in kinds), np.uint8, 0x110000))
     return _LETTERS[0]
 
 
@@ -45,17 +49,19 @@ class Model:
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words (runs of letters) of many texts: code points of all words, where each begins, and each one's text number.
+    """Lower-cased words (runs of letters and their marks) of many texts: code points of all words, where each begins, and each one's text number.
 
     The first array has one code point more than the words need (a stop), and the second one entry more.
     """
     lower = [t.lower() for t in texts]
     sizes = np.array([len(t) for t in lower], np.int64)
     flat = np.frombuffer(" ".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = np.concatenate([[False], letter_table()[flat], [False]])
-    edge = np.flatnonzero(is_letter[1:] != is_letter[:-1])
+    kind = np.concatenate([[0], letter_table()[flat], [0]]).astype(np.uint8)
+    edge = np.flatnonzero((kind[1:] > 0) != (kind[:-1] > 0))
     begin, end = edge[::2], edge[1::2]
-    # a run of combining marks alone is no word
+    letters = np.concatenate([[0], np.cumsum(kind[1:] == 1)])
+    some = letters[end] > letters[begin]  # a run of combining marks alone is no word
+    begin, end = begin[some], end[some]
     first = np.cumsum(sizes + 1) - (sizes + 1)
     text_of = np.searchsorted(first, begin, "right") - 1
     length = end - begin
@@ -72,31 +78,27 @@ def hashed(kind: int, *parts: np.ndarray) -> np.ndarray:
     return h & np.uint32((1 << BITS) - 1)
 
 
-def features(chars: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """Feature groups: (hashes at characters, number of the word of each) or (one hash for each word, None)."""
+def features(chars: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Feature groups, one after the other: (hashes at characters, number of the word of each) or (one hash for each word, None)."""
     n = len(starts) - 1
     length = np.diff(starts)
     word = np.repeat(np.arange(n), length)
     left = np.arange(len(chars)) - starts[word]
     right = length[word] - 1 - left
-    at = lambda k: chars[np.minimum(np.arange(len(chars)) + k, max(len(chars) - 1, 0))]
-    one = chars
-    groups = [(hashed(1, one), word)]
-    pair = right >= 1
-    a, b, c = one, at(1), at(2)
-    groups.append((hashed(2, a[pair], b[pair]), word[pair]))
-    three = right >= 2
-    groups.append((hashed(3, a[three], b[three], c[three]), word[three]))
+    yield hashed(1, chars), word
+    for kind in (2, 3):  # n-grams of two and three characters
+        inside = np.flatnonzero(right >= kind - 1)
+        yield hashed(kind, *(chars[inside + k] for k in range(kind))), word[inside]
+    del word, right
     first, last = starts[:-1], starts[1:] - 1
     for k in (2, 3):  # affixes; a short word gives what it has
-        groups.append((hashed(10 + k, *(chars[np.minimum(first + i, last)] for i in range(k))), None))
-        groups.append((hashed(20 + k, *(chars[np.maximum(last - i, first)] for i in range(k))), None))
-    # the word itself: a sum of its hashed characters by position
+        yield hashed(10 + k, *(chars[np.minimum(first + i, last)] for i in range(k))), None
+        yield hashed(20 + k, *(chars[np.maximum(last - i, first)] for i in range(k))), None
+    # the lexicon: the word itself, as a sum of its hashed characters by position
     mixed = (chars * MIX) ^ (left.astype(np.uint32) * np.uint32(0x85EBCA6B) + np.uint32(77))
     mixed = (mixed ^ mixed >> np.uint32(13)) * np.uint32(0xC2B2AE35)
     form = np.add.reduceat(mixed, first, dtype=np.uint32) if n else np.zeros(0, np.uint32)
-    groups.append((hashed(30, form, length.astype(np.uint32)), None))
-    return groups
+    yield hashed(30, form, length.astype(np.uint32)), None
 
 
 def emissions(model_weights: np.ndarray, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -146,9 +148,9 @@ def posteriors(emit: np.ndarray, text_of: np.ndarray, model: Model) -> np.ndarra
     return p / p.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], sequence_words: int = 24, max_words: int = 400, rounds: int = 3, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fits the field by stochastic gradient on the log-likelihood. Sequences are cut from the texts; every second one is spliced
-    from two texts, so that the transitions learn that languages switch."""
+def train(texts: list[str], labels: list[str], sequence_words: int = 24, rounds: int = 3, rate: float = 0.5, seed: int = 7) -> Model:
+    """Fits the field by stochastic gradient on the log-likelihood. Whole texts are cut into sequences; every second one is spliced
+    from two, so that the transitions learn that languages switch."""
     langs = sorted(set(labels))
     k = len(langs)
     model = Model(langs, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
@@ -158,14 +160,11 @@ def train(texts: list[str], labels: list[str], sequence_words: int = 24, max_wor
     number = {v: i for i, v in enumerate(langs)}
     chars, starts, text_of = words_of(texts)
     y_of = np.array([number[v] for v in labels])
-    spans = []  # (first word, last word + 1) of up to max_words spread over the text in whole sequences
     bounds = np.searchsorted(text_of, np.arange(len(texts) + 1))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        cuts = np.arange(a, b, sequence_words)
-        if len(cuts) > max_words // sequence_words:
-            cuts = np.sort(rng.choice(cuts, max_words // sequence_words, False))
-        spans += [(c, min(c + sequence_words, b)) for c in cuts]
-    grams = features(chars, starts)
+    spans = [(c, min(c + sequence_words, b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for c in range(a, b, sequence_words)]
+    if not spans:
+        return model
+    grams = list(features(chars, starts))
     length = np.diff(starts).astype(np.float32)
     by_word = [np.searchsorted(w, np.arange(len(starts))) if w is not None else None for _, w in grams]
     g_sum = np.full(model.weights.shape, 1e-6, np.float32)
@@ -269,7 +268,7 @@ def training_sample(docs: DataFrame, most: int, id_col: str = "doc_id", text_col
     return [(r.t, r.l) for r in got.orderBy("h", F.xxhash64("t"), "l").limit(most).collect()]
 
 
-def fit(docs: DataFrame, sample_docs: int = 1200, **cols) -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, **cols) -> Model:
     """Trains on a bounded sample of labelled rows; sample_docs is the bound."""
     sample = training_sample(docs, sample_docs, **cols)
     return train([t for t, _ in sample], [v for _, v in sample])
@@ -279,17 +278,12 @@ def score_texts(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray,
     """Per text: its words, each language's share of the posterior mass, and its words by most likely language."""
     k = max(1, len(model.langs))
     count, share, by_word = np.zeros(len(texts), np.int64), np.zeros((len(texts), k)), np.zeros((len(texts), k), np.int64)
-    begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= CHUNK_CHARS or i == len(texts) - 1:
-            n, part = i + 1 - begin, slice(begin, i + 1)
-            if model.langs:
-                post, text_of = label_words(texts[part], model)
-                count[part] = np.bincount(text_of, minlength=n)
-                share[part] = np.stack([np.bincount(text_of, post[:, j], n) for j in range(k)], 1) / np.maximum(count[part], 1)[:, None]
-                by_word[part] = np.bincount(text_of * k + post.argmax(1), minlength=n * k).reshape(n, k)
-            begin, total = i + 1, 0
+    for part in slices(map(len, texts), CHUNK_CHARS) if model.langs else ():
+        n = part.stop - part.start
+        post, text_of = label_words(texts[part], model)
+        count[part] = np.bincount(text_of, minlength=n)
+        share[part] = np.stack([np.bincount(text_of, post[:, j], n) for j in range(k)], 1) / np.maximum(count[part], 1)[:, None]
+        by_word[part] = np.bincount(text_of * k + post.argmax(1), minlength=n * k).reshape(n, k)
     return count, np.clip(share, 0, 1), by_word
 
 
@@ -319,7 +313,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def language_report(docs: DataFrame, sample_docs: int = 1200) -> DataFrame:
+def language_report(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     model = fit(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True))), sample_docs)
     p = predict(docs, model)
     return p.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
@@ -333,7 +327,10 @@ def keep_known_languages(docs: DataFrame, model: Model, min_score: float = 0.4,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count, share, _ = score_texts([t or "" for t in b.column(text_col).to_pylist()], model)
-            yield b.filter(pa.array((count > 0) & (share.max(1, initial=0) >= min_score)))
+            texts = b.column(b.schema.get_field_index(text_col))
+            for part in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist(), CHUNK_CHARS):
+                rows = b.slice(part.start, part.stop - part.start)
+                count, share, _ = score_texts([t or "" for t in texts.slice(part.start, len(rows)).to_pylist()], model)
+                yield rows.filter(pa.array((count > 0) & (share.max(1, initial=0) >= min_score)))
 
     return docs.mapInArrow(run, docs.schema)

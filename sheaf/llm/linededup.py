@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_dir_set, id_type
+from .common import Scratch, checkpoint_dir_set, id_type, join_counted, slices, unused
 
 # What a blank line holds.
 BLANK = " \t\n\x0b\x0c\r"
 
 BROADCAST_LINES = 1_000_000
+CHUNK_CHARS = 400_000
 
 
 def winnow(values: list[int], window: int) -> list[int]:
@@ -68,13 +69,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "version", "print", "numbers", "one", "two", "at", "minimum", "long"]
         for b in batches:
-            rows = [(d, v, *f) for d, v, t in zip(b["doc_id"], b["version"], b["text"], strict=True) for f in fingerprints(t, window, long_line)]
-            yield pd.DataFrame(rows, columns=columns)
+            for part in slices(b["text"].str.len(), CHUNK_CHARS):
+                p = b.iloc[part]
+                rows = [(d, v, *f) for d, v, t in zip(p["doc_id"], p["version"], p["text"], strict=True) for f in fingerprints(t, window, long_line)]
+                yield pd.DataFrame(rows, columns=columns)
 
     schema = f"doc_id {id_type(docs, id_col)}, version bigint, print bigint, numbers array<int>, one array<bigint>, two array<bigint>, at int, minimum boolean, long boolean"
-    prints = own.mapInPandas(run, schema).checkpoint()
-    again = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    held = prints.join(again, "print")
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.store(own.mapInPandas(run, schema), "prints")
+    again = scratch.store(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    held = join_counted(prints, again, ["print"], "n", F.col("doc_id")).drop("n")
 
     # extend both ways: every window around the fingerprint, and the long line alone
     starts = F.when(
@@ -85,10 +89,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = F.transform(starts, lambda i: cut(i, F.lit(window)))
     single = F.when(F.col("long"), F.array(cut(F.col("at"), F.lit(1)))).otherwise(F.array().cast("array<struct<numbers:array<int>,one:array<bigint>,two:array<bigint>>>"))
     spread = held.select("doc_id", "version", F.explode(F.concat(windows, single)).alias("w"))
-    spread = spread.select("doc_id", "version", "w.numbers", F.xxhash64("w.one", "w.two").alias("k1"), F.xxhash64(F.lit(1), "w.two", "w.one").alias("k2")).distinct().checkpoint()
+    spread = spread.select("doc_id", "version", "w.numbers", F.xxhash64("w.one", "w.two").alias("k1"), F.xxhash64(F.lit(1), "w.two", "w.one").alias("k2")).distinct()
+    spread = scratch.store(spread, "spread")
+    scratch.drop("prints", "again")
     place = F.struct("doc_id", F.get("numbers", F.lit(0)).alias("line"))
-    first = spread.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first")
-    later = spread.join(first, ["k1", "k2"]).where(place > F.col("first"))
+    first = scratch.store(spread.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "first")
+    later = join_counted(spread, first, ["k1", "k2"], "n", F.col("doc_id")).where(place > F.col("first"))
     return later.select("doc_id", "version", F.explode("numbers").alias("line")).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
@@ -105,28 +111,31 @@ def without_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with the repeated lines deleted from its texts, and how many in `_removed`; no row goes."""
-    found = repeated_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("lines").alias("_lines")).checkpoint()
-    n = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0]
+    """`docs` with the repeated lines deleted from its texts, and how many in a last column, `removed` (or unused(docs, "removed"))."""
+    found = repeated_lines(docs, id_col, text_col, **options)
+    renamed = {c: unused(docs, c) for c in found.columns}
+    found = found.withColumnsRenamed(renamed).checkpoint()
+    at, version, lines = (found[renamed[c]] for c in ("doc_id", "version", "lines"))
+    n = found.agg(F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()[0]
     small = F.broadcast(found) if n <= BROADCAST_LINES else found
-    both = docs.join(small, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_version")), "left")
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("_lines")))
-    columns = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
-    return both.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).alias("_removed"))
+    both = docs.join(small, (docs[id_col] == at) & (F.xxhash64(docs[text_col]) == version), "left")
+    text = F.when(lines.isNull(), docs[text_col]).otherwise(without_lines(docs[text_col], lines))
+    columns = [docs[c] if c != text_col else text.alias(c) for c in docs.columns]
+    return both.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias(unused(docs, "removed")))
 
 
 def drop_emptied(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """dedup_lines(), without the rows of whose text nothing but white space is left, if something was deleted."""
     r = dedup_lines(docs, text_col=text_col, **options)
-    empty = (F.col("_removed") > 0) & (F.trim(F.col(text_col), F.lit(BLANK)) == "")
-    return r.where(~empty).drop("_removed")
+    empty = (F.col(r.columns[-1]) > 0) & (F.trim(F.col(text_col), F.lit(BLANK)) == "")
+    return r.where(~empty).drop(r.columns[-1])
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """Per document: its lines (null text: none), those deleted, and a digest of what is left."""
     n = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n_lines"), "text")
     r = dedup_lines(n, **options)
-    return r.select("doc_id", F.col("n_lines").cast("long"), F.col("_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return r.select("doc_id", F.col("n_lines").cast("long"), F.col("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 LINE_SQL = r"""

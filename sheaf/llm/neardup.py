@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpoint_dir_set, id_type, ids_and_texts
+from .common import Scratch, checkpoint_dir_set, id_type, ids_and_texts, slices, unused
 from .shingles import grams, mix, word_hashes
 
 BANDS, ROWS = 24, 6  # a pair of similarity 0.85 misses all bands with probability 1.2e-5
@@ -46,15 +46,6 @@ def family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([MULTIPLY, multiply])[:hashes], np.concatenate([ADD, rng.integers(0, 1 << 63, more, dtype=np.uint64)])[:hashes]
 
 
-def chunks(texts: list[str]) -> Iterator[slice]:
-    begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= CHUNK_CHARS or i == len(texts) - 1:
-            yield slice(begin, i + 1)
-            begin, total = i + 1, 0
-
-
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, sorted."""
     h, starts = grams(*word_hashes(texts), words)
@@ -82,7 +73,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str, n_bands: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            for part in chunks(texts):
+            for part in slices(map(len, texts), CHUNK_CHARS):
                 sets = shingle_sets(texts[part], words)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 n = len(sets)
@@ -143,22 +134,11 @@ def prune(pairs: DataFrame, percent: int, schema: str, long: bool, hashes: int =
     return pairs.mapInPandas(run, schema)
 
 
-def exact(pairs: DataFrame, percent: int, schema: str) -> DataFrame:
-    """Pairs (a, b, set_a, set_b) whose similarity reaches the threshold, as (a, b)."""
-
-    def linked(p: bytes, q: bytes) -> bool:
-        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = [linked(p, q) for p, q in zip(b["set_a"], b["set_b"], strict=True)]
-            yield b.loc[keep, ["a", "b"]]
-
-    return pairs.mapInPandas(run, schema)
+def exact(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, set_a, set_b) whose similarity reaches the threshold, as (a, b); row by row, so long sets don't add up."""
+    m, n = F.size("set_a"), F.size("set_b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.where(100 * F.least(m, n) >= percent * F.greatest(m, n)).where(both * (100 + percent) >= percent * (m + n)).select("a", "b")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -174,16 +154,16 @@ class Linker:
         self.pair = f"a {id_type(docs)}, b {id_type(docs)}"
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """doc_id and set (sorted 64-bit hashes) of the documents named."""
+        """doc_id and set (64-bit hashes) of the documents named."""
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 texts = b["text"].tolist()
-                for part in chunks(texts):
-                    yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].to_numpy(), "set": [s.tobytes() for s in shingle_sets(texts[part], words)]})
+                for part in slices(map(len, texts), CHUNK_CHARS):
+                    yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].to_numpy(), "set": [s.view(np.int64) for s in shingle_sets(texts[part], words)]})
 
-        return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, set binary")
+        return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, set array<bigint>")
 
     def long_signatures(self, ids: DataFrame) -> DataFrame:
         """doc_id and sig (LONG one-byte hashes) of the documents named."""
@@ -192,7 +172,7 @@ class Linker:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 texts = b["text"].tolist()
-                for part in chunks(texts):
+                for part in slices(map(len, texts), CHUNK_CHARS):
                     sigs = (mix(signatures(shingle_sets(texts[part], words), LONG_MULTIPLY, LONG_ADD)) & np.uint64(255)).astype(np.uint8)
                     yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].to_numpy(), "sig": [s.tobytes() for s in sigs]})
 
@@ -205,7 +185,7 @@ class Linker:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 texts = b["text"].tolist()
-                for part in chunks(texts):
+                for part in slices(map(len, texts), CHUNK_CHARS):
                     sets = shingle_sets(texts[part], words)
                     x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                     yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].iloc[part].to_numpy(), [len(s) for s in sets]), "shingle": x.view(np.int64)})
@@ -237,7 +217,7 @@ class Linker:
         ids = alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct()
         sets = store(self.sets(store(ids, "ids")), "sets")
         with_sets = alive.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
-        out = store(exact(with_sets, self.percent, self.pair).distinct(), "links")
+        out = store(exact(with_sets, self.percent).distinct(), "links")
         self.scratch.drop(*(f"{n}{self.calls}" for n in ("alive", "ids", "sets")))
         return out
 
@@ -328,5 +308,6 @@ def duplicate_report(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs`, all columns, whose document is the smallest of its component; rows without doc_id stay."""
     id_col = options.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct().checkpoint()
-    return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().checkpoint()
+    return docs.join(small(gone), docs[id_col] == gone[name], "left_anti")
