@@ -1,10 +1,16 @@
 """Substring dedup with suffix automata of reference shards.
 
-The reference holds every passage that stands elsewhere too, once, taken from the document of smallest id. Finding it needs
-no pairs: winnowed 5-word hashes that occur in several documents name the places worth a look, and of the 13-word windows
-there the smallest document per window is kept. Passages are put into shards of bounded size by their document; each shard's
-suffix automaton goes to all the tasks that hold runs for it (a busy shard to several), which stream the runs for matching
-statistics: words in maximal spans of at least `window` matched words are removed.
+Which documents need which shard is told by fingerprints: in each window of 13 words the smallest 5-word hash is its
+fingerprint, so equal windows have equal ones. Only windows whose fingerprint stands in several documents are looked at, and
+all windows of one fingerprint go to one shard. Fingerprints say where to look, not what repeats: the same five words stand
+in many windows that differ.
+
+A shard's stretches of text (distinct ones, each with the smallest document that has it) make a suffix automaton whose states
+know the smallest document of their run of words. The stretches are streamed through it for matching statistics: where at least
+13 words match, the state of the last 13 tells the first document that has them, and a document with a larger id loses them.
+
+Shards are bounded. A document's fingerprints keep together (so stretches stay long) unless they stand at more than GROUP_PLACES
+places; then each fingerprint is by itself, and one of more than GROUP_PLACES places is dealt out by whole windows.
 
 Exact copies of a text skip all that: a window of theirs always starts in the first copy.
 """
@@ -15,29 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import Scratch, id_type
-from .shingles import grams, word_hashes
+from .common import Scratch, id_type, join_counted, slices
+from .shingles import grams, mix, word_hashes
 
 GRAM = 5  # words of a fingerprint
-SHARD_WORDS = 60_000  # reference words in one automaton
-RUN_WORDS = 400_000  # words streamed against one copy of an automaton
+GROUP_PLACES = 4_000  # places of fingerprints that share a key
+SHARD_WORDS = 40_000  # words of one automaton, besides its largest key
 CHUNK_CHARS = 400_000
 BROADCAST_ROWS = 500_000
 
 
-def chunks(texts: list[str]) -> Iterator[slice]:
-    begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= CHUNK_CHARS or i == len(texts) - 1:
-            yield slice(begin, i + 1)
-            begin, total = i + 1, 0
-
-
 def window_minima(g: np.ndarray, g_starts: np.ndarray, w_starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window (in order): its text's number, and the place (index into g) of the smallest of its `span` fingerprints, the last of equal ones."""
     text = np.repeat(np.arange(len(w_starts) - 1), np.diff(w_starts))
@@ -63,10 +60,12 @@ class Windows:
 
 
 def prints(docs: DataFrame, window: int) -> DataFrame:
+    """g (fingerprint), doc_id, version and at (its word), of every window; one row where neighbouring windows share it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, ids, versions = b["text"].tolist(), b["doc_id"].to_numpy(), b["version"].to_numpy()
-            for part in chunks(texts):
+            for part in slices(map(len, texts), CHUNK_CHARS):
                 w = Windows(texts[part], window)
                 chosen = np.flatnonzero(np.r_[True, w.place[1:] != w.place[:-1]]) if len(w.place) else np.zeros(0, np.int64)
                 t, p = w.text[chosen], w.place[chosen]
@@ -75,91 +74,71 @@ def prints(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "version", "text").mapInPandas(run, f"g bigint, doc_id {id_type(docs)}, version bigint, at int")
 
 
-def regions(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, version, start and words (hashes) of the stretches whose windows' fingerprints are among `places`."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for part in chunks(texts):
-                w = Windows(texts[part], window)
-                rows = b.iloc[part]
-                out = []
-                for i, (d, v, places) in enumerate(zip(rows["doc_id"], rows["version"], rows["places"], strict=True)):
-                    own = w.place[w.w_starts[i] : w.w_starts[i + 1]] - w.g_starts[i]
-                    held = np.flatnonzero(np.isin(own, places))
-                    if not len(held):
-                        continue
-                    cut = np.flatnonzero(np.diff(held) > 1)
-                    words = w.words[w.starts[i] : w.starts[i + 1]]
-                    for a, z in zip(held[np.r_[0, cut + 1]].tolist(), held[np.r_[cut, len(held) - 1]].tolist(), strict=True):
-                        out.append((d, v, a, words[a : z + window].tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "version", "start", "words"])
+def keyed(p: DataFrame) -> DataFrame:
+    """Fingerprints of several documents: g, key (of its shard), single (is it dealt out by windows) and n (its places)."""
+    several = p.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    together = F.sum("n").over(Window.partitionBy("lo"))  # at most the fingerprints of one document
+    key = F.when(together <= GROUP_PLACES, F.xxhash64("lo")).otherwise(F.xxhash64(F.lit(1), "g"))
+    return several.select("g", key.alias("key"), ((together > GROUP_PLACES) & (F.col("n") > GROUP_PLACES)).alias("single"), "n")
 
-    return docs.select("doc_id", "version", "text", "places").mapInPandas(run, f"doc_id {id_type(docs)}, version bigint, start int, words binary")
 
+def stretches(docs: DataFrame, window: int) -> DataFrame:
+    """key, doc_id, version, start (word) and words (hashes) of the runs of windows whose fingerprints have one key.
 
-def window_rows(stretches: DataFrame, window: int) -> DataFrame:
-    """w (hash), doc_id, version, start (of the stretch) and k (the window's place in it)."""
+    `docs` has, of each document, at, keys and single: lists of the places, keys and kinds of its fingerprints.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sizes = np.array([len(x) // 8 for x in b["words"]], np.int64)
-            begin = 0
-            while begin < len(b):
-                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 200_000, "right")))
-                s = np.concatenate([[0], np.cumsum(sizes[begin:end])])
-                w, ws = grams(np.frombuffer(b"".join(b["words"].iloc[begin:end]), np.uint64), s, window, short=False)
-                row = np.repeat(np.arange(end - begin), np.diff(ws))
-                part = b.iloc[begin:end]
-                yield pd.DataFrame({
-                    "w": w.view(np.int64), "doc_id": part["doc_id"].to_numpy()[row], "version": part["version"].to_numpy()[row],
-                    "start": part["start"].to_numpy()[row], "k": (np.arange(len(w)) - ws[row]).astype(np.int32),
-                })
-                begin = end
-
-    return stretches.mapInPandas(run, f"w bigint, doc_id {id_type(stretches)}, version bigint, start int, k int")
-
-
-def runs(stretches: DataFrame, window: int) -> DataFrame:
-    """Stretches cut into runs of windows with the same first document: owner, doc_id, version, at (word), words, reference (is it the owner's own)."""
+    def cut(w: Windows, i: int, at, key, single) -> Iterator[tuple[int, int, int]]:
+        """(key, first window, last window) of one text."""
+        own = w.place[w.w_starts[i] : w.w_starts[i + 1]] - w.g_starts[i]
+        order = np.argsort(at)
+        at, key, single = np.asarray(at)[order], np.asarray(key, np.int64)[order], np.asarray(single, bool)[order]
+        found = np.minimum(np.searchsorted(at, own), len(at) - 1)
+        held = np.flatnonzero(at[found] == own)
+        k, alone = key[found[held]], single[found[held]]
+        if alone.any():  # the window itself is the key
+            h, _ = grams(w.words[w.starts[i] : w.starts[i + 1]], np.array([0, w.starts[i + 1] - w.starts[i]]), window, short=False)
+            k = np.where(alone, mix(h[held]).view(np.int64), k)
+        ends = np.flatnonzero((np.diff(held) > 1) | (k[1:] != k[:-1]) | alone[1:] | alone[:-1])
+        for a, z in zip(np.r_[0, ends + 1].tolist(), np.r_[ends, len(held) - 1].tolist(), strict=True):
+            yield int(k[a]), int(held[a]), int(held[z])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, v, start, words, ks, firsts in zip(b["doc_id"], b["version"], b["start"], b["words"], b["ks"], b["firsts"], strict=True):
-                order = np.argsort(ks, kind="stable")
-                k, f = np.asarray(ks)[order], np.asarray(firsts)[order]
-                cut = np.flatnonzero((np.diff(k) > 1) | (f[1:] != f[:-1]))
-                for x, y in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(k) - 1].tolist(), strict=True):
-                    a, z = int(k[x]), int(k[y])
-                    out.append((f[x], d, v, int(start) + a, words[8 * a : 8 * (z + window)], bool(f[x] == d)))
-            yield pd.DataFrame(out, columns=["owner", "doc_id", "version", "at", "words", "reference"])
+            texts = b["text"].tolist()
+            for part in slices(map(len, texts), CHUNK_CHARS):
+                w = Windows(texts[part], window)
+                rows, out = b.iloc[part], []
+                for i, (d, v, *places) in enumerate(zip(*(rows[c] for c in ("doc_id", "version", "at", "keys", "single")), strict=True)):
+                    words = w.words[w.starts[i] : w.starts[i + 1]]
+                    out += [(k, d, v, a, words[a : z + window].tobytes()) for k, a, z in cut(w, i, *places)]
+                yield pd.DataFrame(out, columns=["key", "doc_id", "version", "start", "words"])
 
-    kind = id_type(stretches)
-    return stretches.mapInPandas(run, f"owner {kind}, doc_id {kind}, version bigint, at int, words binary, reference boolean")
+    return docs.select("doc_id", "version", "text", "at", "keys", "single").mapInPandas(run, f"key bigint, doc_id {id_type(docs)}, version bigint, start int, words binary")
 
 
-def match(references: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """k1, k2 of wanted contents, and spans (from, to) of words that its shard's automaton matches in runs of at least `window`."""
+def match(contents: DataFrame, window: int) -> DataFrame:
+    """Of each content (shard, k1, k2, words, first): the spans (begin, end, first) in which at least `window` words match its shard's
+    automaton, with the smallest document that has them. Neighbouring spans with one first document are one."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        sequences = [np.frombuffer(x, np.uint64).tolist() for x in shard["words"]]
         automaton = SuffixAutomaton()
-        for words in left["words"]:
-            automaton.add(np.frombuffer(words, np.uint64).tolist())
+        for words, first in zip(sequences, shard["first"], strict=True):
+            automaton.add(words, first)
+        automaton.settle()
         out = []
-        for k1, k2, words in zip(right["k1"], right["k2"], right["words"], strict=True):
-            spans: list[list[int]] = []
-            for i, n in enumerate(automaton.statistics(np.frombuffer(words, np.uint64).tolist()), 1):
-                if n >= window:
-                    if spans and i - n <= spans[-1][1]:
-                        spans[-1] = [min(spans[-1][0], i - n), i]
-                    else:
-                        spans.append([i - n, i])
-            out.append((k1, k2, [a for a, _ in spans], [z for _, z in spans]))
-        return pd.DataFrame(out, columns=["k1", "k2", "begins", "ends"])
+        for k1, k2, words in zip(shard["k1"], shard["k2"], sequences, strict=True):
+            spans: list[list] = []
+            for end, first in automaton.firsts(words, window):
+                if spans and spans[-1][2] == first and end - window <= spans[-1][1]:
+                    spans[-1][1] = end
+                else:
+                    spans.append([end - window, end, first])
+            out.append((k1, k2, [dict(zip(("begin", "end", "first"), x, strict=True)) for x in spans]))
+        return pd.DataFrame(out, columns=["k1", "k2", "spans"])
 
-    return references.groupBy("shard", "salt").cogroup(wanted.groupBy("shard", "salt")).applyInPandas(run, "k1 bigint, k2 bigint, begins array<int>, ends array<int>")
+    return contents.groupBy("shard").applyInPandas(run, f"k1 bigint, k2 bigint, spans array<struct<begin:int,end:int,first:{id_type(contents, 'first')}>>")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -169,45 +148,39 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def find_repeats(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, version, text): spans to remove (doc_id, version, begins, ends), and the copies (doc_id, version) of earlier texts."""
     texts = docs.select("doc_id", "version", F.xxhash64(F.lit(1), "text").alias("k2"))
-    first = texts.groupBy("version", "k2").agg(F.min("doc_id").alias("first"))
-    copies = scratch.store(texts.join(first, ["version", "k2"]).where("doc_id > first").select("doc_id", "version").distinct(), "copies")
-    key = ["doc_id", "version"]
-    own = docs.join(small(copies, copies.count()), key, "left_anti")
+    first = scratch.store(texts.groupBy("version", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copies = join_counted(texts, first, ["version", "k2"], "n", F.col("doc_id")).where("doc_id > first").select("doc_id", "version").distinct()
+    copies = scratch.store(copies, "copies")
+    own = docs.join(small(copies, copies.count()), ["doc_id", "version"], "left_anti")
 
     p = prints(own, window)
-    several = p.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")
-    held = scratch.store(p.join(several, "g").groupBy(*key).agg(F.collect_set("at").alias("places")), "places")  # of one document
-    weight = held.agg(F.coalesce(F.sum(F.size("places") + 10), F.lit(0))).first()[0]
-    stretches = scratch.store(regions(own.join(small(held, weight), key), window), "stretches")
-    scratch.drop("places")
-
-    w = window_rows(stretches, window)
-    firsts = w.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
-    told = w.join(firsts, "w").groupBy(*key, "start").agg(F.collect_list("k").alias("ks"), F.collect_list("first").alias("firsts"))  # both lists in one order; of one stretch
-    cut = scratch.store(runs(stretches.join(told, [*key, "start"]), window), "runs")
-    scratch.drop("stretches")
-
-    # shards by owner; the sizes measured say how many, and how many copies of each
-    n_words = F.length("words") / 8
-    total = cut.where("reference").agg(F.sum(n_words)).first()[0] or 0
-    shards = int(total // SHARD_WORDS) + 1
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
-    cut = cut.withColumn("k1", F.xxhash64("owner", "words")).withColumn("k2", F.xxhash64(F.lit(1), "words", "owner"))
-    later = cut.where(~F.col("reference"))
-    # equal runs for one owner are streamed once
-    contents = later.groupBy("k1", "k2").agg(F.first("shard").alias("shard"), F.first("words").alias("words"))
+    told = scratch.store(keyed(p), "keyed")
+    place = F.struct("at", "key", "single").alias("place")
+    held = join_counted(p, told, ["g"], "n", F.col("doc_id")).select("doc_id", "version", place)
+    held = held.groupBy("doc_id", "version").agg(F.collect_set("place").alias("p"))  # of one document
+    held = held.select("doc_id", "version", F.col("p.at").alias("at"), F.col("p.key").alias("keys"), F.col("p.single").alias("single"))
+    held = scratch.store(held, "places")
+    weight = held.agg(F.coalesce(F.sum(F.size("at") + 10), F.lit(0))).first()[0]
+    cut = scratch.store(stretches(own.join(small(held, weight), ["doc_id", "version"]), window), "stretches")
+    scratch.drop("places", "keyed", "firsts")
+
+    # equal stretches of a key are one content
+    names = [F.xxhash64("key", "words").alias("k1"), F.xxhash64(F.lit(1), "words", "key").alias("k2")]
+    contents = cut.groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("key", "words", "first", "n", *names)
     contents = scratch.store(contents, "contents")
-    load = contents.groupBy("shard").agg((F.floor(F.sum(n_words) / RUN_WORDS) + 1).cast("int").alias("salts"))
-    load = scratch.store(load, "load")  # a row for each shard
-    load = small(load, shards)
-    wanted = contents.join(load, "shard").withColumn("salt", F.pmod(F.col("k1"), F.col("salts")).cast("int")).select("shard", "salt", "k1", "k2", "words")
-    references = cut.where("reference").join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "words")
-    found = match(references, wanted, window)
-    spans = later.join(found, ["k1", "k2"]).select(*key, F.transform("begins", lambda x: x + F.col("at")).alias("begins"), F.transform("ends", lambda x: x + F.col("at")).alias("ends"))
-    spans = spans.groupBy(*key).agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))  # of one document
-    spans = scratch.store(spans, "spans")
-    scratch.drop("runs", "contents", "load")
-    return spans, copies
+    total = contents.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
+    shards = int(total // SHARD_WORDS) + 1
+    found = match(contents.withColumn("shard", F.pmod("key", F.lit(shards))), window)
+    found = scratch.store(found.join(contents.select("k1", "k2", "n"), ["k1", "k2"]), "found")
+    places = cut.select("doc_id", "version", "start", *names)
+    gone = join_counted(places, found, ["k1", "k2"], "n", F.struct("doc_id", "start")).select("doc_id", "version", "start", F.filter("spans", lambda x: x["first"] < F.col("doc_id")).alias("spans"))
+    gone = gone.where(F.size("spans") > 0).groupBy("doc_id", "version").agg(
+        F.flatten(F.collect_list(F.transform("spans", lambda x: x["begin"] + F.col("start")))).alias("begins"),
+        F.flatten(F.collect_list(F.transform("spans", lambda x: x["end"] + F.col("start")))).alias("ends"),
+    )  # spans of one document
+    gone = scratch.store(gone, "spans")
+    scratch.drop("stretches", "contents", "found")
+    return gone, copies
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -230,7 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part in chunks(b["text"].tolist()):
+            for part in slices(b["text"].str.len(), CHUNK_CHARS):
                 n, removed, kept = [], [], []
                 rows = b.iloc[part]
                 for t, copy, begins, ends in zip(rows["text"], rows["copy"], rows["begins"], rows["ends"], strict=True):

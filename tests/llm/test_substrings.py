@@ -24,6 +24,38 @@ def test_matching_statistics(sequences, text):
     assert len(a.next) <= 2 * sum(map(len, sequences)) + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", max_size=14), st.integers(0, 5)), max_size=6), st.text("abc", max_size=20), st.integers(1, 4))
+def test_first_owners(sequences, text, window):
+    a = SuffixAutomaton()
+    for s, owner in sequences:
+        a.add(s, owner)
+    a.settle()
+    want = []
+    for end in range(window, len(text) + 1):
+        held = [o for s, o in sequences if text[end - window : end] in s]
+        if held:
+            want.append((end, min(held)))
+    assert list(a.firsts(text, window)) == want
+
+
+def test_the_automata_decide(spark, monkeypatch):
+    """Fingerprints alone would remove more: with spans of whole stretches in place of the matches, the result is wrong."""
+    rng = random.Random(3)
+    rows = [(d, " ".join(rng.choice("abc") for _ in range(60))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: n for d, (_, n, _) in brute(rows, 7).items()}
+    assert {r.doc_id: r.n_removed for r in substrings.repeat_report(docs, window=7).collect()} == want
+
+    def all_of_it(contents, window):
+        span = substrings.F.expr("array(struct(0 as begin, cast(length(words) / 8 as int) as end, cast(-1 as bigint) as first)) as spans")
+        return contents.select("k1", "k2", span)
+
+    monkeypatch.setattr(substrings, "match", all_of_it)
+    got = {r.doc_id: r.n_removed for r in substrings.repeat_report(docs, window=7).collect()}
+    assert got != want and sum(got.values()) > sum(want.values())
+
+
 def brute(rows, window):
     words = {d: WORD.findall(t or "") for d, t in rows if d is not None}
     first = {}
@@ -44,7 +76,7 @@ def brute(rows, window):
 @pytest.mark.parametrize("window", [13, 6])
 def test_against_brute_force(spark, monkeypatch, window):
     monkeypatch.setattr(substrings, "SHARD_WORDS", 200)
-    monkeypatch.setattr(substrings, "RUN_WORDS", 150)
+    monkeypatch.setattr(substrings, "GROUP_PLACES", 12)  # all three kinds of keys
     rng = random.Random(window)
     word = lambda: rng.choice("abcdefgh") + rng.choice(["", "", "é", "1"])
     passages = [[word() for _ in range(rng.randrange(5, 40))] for _ in range(12)]
