@@ -56,12 +56,19 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain = encoding.encode_ordinary
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
         self.words = WordIds(self.plain)
         self.twin = public_tokenizers.path("byte_bpe_50k.json") if vocabulary is None else re.sub(r"(\.tiktoken)?$", ".json", vocabulary, count=1)
         self.added, self.library = [], None
         if added and os.path.exists(self.twin):  # a rank file alone has no added tokens
             with open(self.twin, encoding="utf-8") as f:
-                self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+                tokens = json.load(f)["added_tokens"]
+            self.added = [t["content"] for t in tokens]
+            self.lengths = np.pad(self.lengths, (0, max([0, *(t["id"] + 1 - len(self.lengths) for t in tokens)])))
+            for t in tokens:
+                self.lengths[t["id"]] = len(t["content"].encode())
 
     def whole(self, text: str) -> bytes:
         if self.library is None:
@@ -90,6 +97,13 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, lead))
 
 
+def loss_counts(ids: bytes, lengths: np.ndarray, prompt_bytes: int) -> np.ndarray:
+    """Cumulated loss-bearing tokens before each token and at the end: those that begin at or behind the prompt's last byte."""
+    n = lengths[np.frombuffer(ids, "<u4")]
+    bears = np.concatenate([np.cumsum(n) - n >= prompt_bytes, [True]])  # the closing id too
+    return np.concatenate([[0], np.cumsum(bears)])
+
+
 def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple[int, int, int], order: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Packs documents of a block. Returns (document, start, length, sequence, offset) of each piece.
 
@@ -170,8 +184,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), loss_tokens, doc_tokens, sequence_id, offset.
 
-    loss_from_col names a column with the code point at which a row's loss-bearing text begins (a prompt stands before it);
-    without it every token bears loss. Null text counts as empty and gives one piece with the closing id; repeated rows are
+    loss_from_col names a column with the code point at which a row's loss-bearing text begins (a prompt stands before it): tokens
+    that begin there or later bear loss. Without it every token does. Null text counts as empty and gives one piece with the closing id; repeated rows are
     packed each; an empty table gives no pieces; other columns are ignored. Map-only: sequence ids hold the task's number
     above 2**33, so they are unique, and the same again if a lost task is repeated.
     """
@@ -187,12 +201,10 @@ def pack(
         for b in batches:
             starts = b["loss_from"] if loss_from_col else [None] * len(b)
             for d, text, at in zip(b["doc_id"], b["text"], starts, strict=True):
+                ids, loss = encode(text), None
                 if loss_from_col and at is not None and at == at and at > 0:
-                    head = encode(text[: int(at)])
-                    ids, loss = head + encode(text[int(at) :]) + END, len(head) // 4
-                else:
-                    ids, loss = encode(text) + END, 0
-                block.append((d, ids, loss))
+                    loss = loss_counts(ids, encode.lengths, len(text[: int(at)].encode("utf-8", "surrogatepass")))
+                block.append((d, ids + END, loss))
                 if len(block) == block_items:
                     next_id, frame = emit(block, next_id)
                     yield frame
@@ -202,7 +214,7 @@ def pack(
 
     def emit(block, next_id):
         sizes = np.array([len(i) // 4 for _, i, _ in block])
-        losses = [np.maximum(np.arange(n + 1) - l, 0) if l else None for (_, _, l), n in zip(block, sizes.tolist(), strict=True)]
+        losses = [loss for *_, loss in block]
         pieces = pack_block(sizes, losses, limits, np.arange(len(block)))
         rows = [
             (block[d][0], a, n, block[d][1][4 * a : 4 * (a + n)], n if losses[d] is None else int(losses[d][a + n] - losses[d][a]), int(sizes[d]), next_id + s, o)
@@ -217,6 +229,29 @@ def pack(
     return rows.mapInPandas(run, SCHEMA.format(id=id_type(docs, id_col)))
 
 
-def packing_report(docs: DataFrame, **options) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
-    return pack(docs, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+def packing_report(docs: DataFrame, max_segments: int = 8, **options) -> DataFrame:
+    """The pieces with a checksum in place of their ids. A text's first line, its heading, is prompt: it bears no loss."""
+    text = F.col("text").cast("string")
+    own = docs.select("doc_id", text.alias("text"), F.instr(text, "\n").alias("loss_from"))  # behind the first line break; 0 without one
+    r = pack(own, loss_from_col="loss_from", max_segments=max_segments, **options)
+    return r.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def instruction_examples(turns: DataFrame) -> DataFrame:
+    """One example for each assistant turn: id (conversation:turn), text (the turn before it, a line break, the reply) and loss_from.
+
+    A reply without a turn before it is an example without a prompt; null texts count as empty. The turn before is found by a
+    join on conversation and number, so no conversation is gathered in one place.
+    """
+    said = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    replies = turns.where("role = 'assistant'").select("conv_id", "turn", said.alias("reply"))
+    prompts = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat(said, F.lit("\n")).alias("prompt"))
+    both = replies.join(prompts, ["conv_id", "turn"], "left")
+    prompt = F.coalesce("prompt", F.lit(""))
+    return both.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(prompt, "reply").alias("text"), F.length(prompt).alias("loss_from"))
+
+
+def conversation_report(turns: DataFrame, max_loss_tokens: int = 512, max_segments: int = 16, **options) -> DataFrame:
+    """Packs instruction examples under three limits that all bind: of a full sequence at most half may bear loss."""
+    r = pack(instruction_examples(turns), id_col="id", loss_from_col="loss_from", max_loss_tokens=max_loss_tokens, max_segments=max_segments, **options)
+    return r.select(F.col("doc_id").alias("example_id"), "start", "length", "loss_tokens", "doc_tokens", "sequence_id", "offset")

@@ -23,6 +23,10 @@ def op4_vector_packing(spark, sf_dir):
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
 
+def packed_conversations(spark, sf_dir):
+    return packing.conversation_report(table(spark, sf_dir, "conversations"))
+
+
 def op5_language_crf(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
@@ -47,12 +51,6 @@ def op10_spaced_seed_overlaps(spark, sf_dir):
     return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def pipeline(spark, sf_dir):
-    import corpus_pipeline  # it imports this subpackage's operators
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_flac_media": op2_flac_media,
@@ -64,7 +62,7 @@ QUERIES = {
     "op8_private_terms": op8_private_terms,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_spaced_seed_overlaps": op10_spaced_seed_overlaps,
-    "pipeline": pipeline,
+    "packed_conversations": packed_conversations,
 }
 ORACLES: dict[str, str] = {
     "op3_line_winnowing": linededup.LINE_SQL,

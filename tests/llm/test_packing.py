@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sheaf.llm.packing import Encoder, pack, pack_block, packing_report
+from sheaf.llm.packing import Encoder, conversation_report, pack, pack_block, packing_report
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +100,25 @@ def test_added_tokens_in_text(spark):
     for i, t in enumerate(texts):
         ids = loaded.encode(t, add_special_tokens=False).ids + [0]
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == ids and rows[i].doc_tokens == len(ids)
+
+
+def test_three_limits_bind_on_instruction_data(spark, tokenizer):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    said = {(r.conv_id, r.turn): (r.role, r.text or "") for r in turns.collect()}
+    want = {}
+    for (c, t), (role, text) in said.items():
+        if role == "assistant":
+            prompt = said[c, t - 1][1] + "\n" if (c, t - 1) in said else ""
+            ids = tokenizer.encode(prompt + text, add_special_tokens=False)
+            want[f"{c}:{t}"] = (len(ids.ids) + 1, sum(a >= len(prompt) for a, _ in ids.offsets) + 1)
+    rows = conversation_report(turns.coalesce(1)).collect()
+    got, by = {}, {}
+    for r in rows:
+        n, loss = got.get(r.example_id, (0, 0))
+        got[r.example_id] = (n + r.length, loss + r.loss_tokens)
+        by.setdefault(r.sequence_id, []).append(r)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] for k in got)
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)  # a token over the prompt's end is the prompt's; offsets leave out leading blanks
+    full = [(sum(r.length for r in p), len(p), sum(r.loss_tokens for r in p)) for p in by.values()]
+    assert all(a <= 1024 and b <= 16 and c <= 512 for a, b, c in full)
+    assert any(b == 16 for _, b, _ in full) or any(c > 480 for *_, c in full)
