@@ -1,6 +1,7 @@
 """Personal data: patterns, and terms that give protected entities away; in DataFrame functions only.
 
-The values the patterns find are the protected entities. Terms of the texts that hold them, wherever they stand there, are weighed by what the corpus says: with N texts,
+The values the patterns find are the protected entities, and so are the domains of addresses and the /24 networks of IP numbers: an
+entity of too few texts for an estimate backs off to what it belongs to. Terms of the texts that hold them, wherever they stand there, are weighed by what the corpus says: with N texts,
 the pointwise mutual information of term and entity, log2(c(t,e) N / (c(t) c(e))), as a share of what the entity's name itself
 would tell, log2(N / c(e)). Where a term of enough support reaches `remove_at` of that share it is removed from texts that
 hold the entity, from `generalise_at` on it is generalised to its first letters. Counts are of distinct texts, all of them.
@@ -70,6 +71,16 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def entities_of(spans: Column) -> Column:
+    """What a text's spans protect: each value, and the domain of an address or the first three parts of an IP number."""
+    value = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    wider = F.transform(
+        F.filter(spans, lambda s: s["kind"].isin("email", "ip")),
+        lambda s: F.when(s["kind"] == "email", F.concat(F.lit("domain:"), F.lower(F.substring_index(s["value"], "@", -1)))).otherwise(F.concat(F.lit("net:"), F.substring_index(s["value"], ".", 3))),
+    )
+    return F.array_distinct(F.concat(value, wider))
+
+
 def find_private(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_letters: int = 4, min_support: int = 3,
     generalise_at: float = 0.8, remove_at: float = 0.95,
@@ -90,8 +101,7 @@ def find_private(
     # one row for each distinct text, and the entities of enough texts: a term can't share more texts with an entity than there are
     first = held.groupBy("copy").agg(F.min("row").alias("row")).select("row").checkpoint()
     single = held.join(small(first), "row", "left_semi")
-    named = lambda spans: F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["value"])))
-    holds = single.select("copy", F.explode(named(F.col("spans"))).alias("entity"))
+    holds = single.select("copy", F.explode(entities_of(F.col("spans"))).alias("entity"))
     n = all_texts.agg(F.count_distinct("copy")).first()[0]
     entities = holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support)
     # A term in too many texts can't reach the threshold: c(t) <= c(t,e) (N / c(e)) ** (1 - generalise_at) must hold, and c(t,e) <= c(e).
@@ -127,7 +137,7 @@ def find_private(
     )
 
     # their places in the texts that hold the entity
-    own = held.select("row", F.explode(named(F.col("spans"))).alias("entity"))
+    own = held.select("row", F.explode(entities_of(F.col("spans"))).alias("entity"))
     marked = own.join(small(told), "entity").groupBy("row", "term").agg(F.max("remove").alias("remove"))
     marked = marked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("remove"), "remove").otherwise("generalise")))).alias("actions")).checkpoint()  # terms of one text
     whole_word = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("actions"), "|"), F.lit(r")(?!\p{L})"))

@@ -92,3 +92,18 @@ def test_terms_far_from_the_entity(spark):
     assert not any(got[i] for i in [*range(60), 68, 69]) and not any("clouds" in g for g in got.values())
     clean = sanitise(docs, find_private(docs)).where("doc_id between 60 and 63").collect()
     assert clean and not any("Zanzibarian" in r.text or "bob@" in r.text for r in clean)
+
+
+def test_rare_entities_back_off_to_domains_and_networks(spark):
+    """Terms planted with 20 domains and 20 networks, each address once: all are found, and nothing of the rest."""
+    texts = [f"The weather report number {i} speaks of clouds over hills and rivers" for i in range(400)]
+    planted = {}
+    for k in range(40):
+        name = "Term" + "".join(chr(97 + int(c)) for c in str(k))
+        for j in range(3 + k % 3):
+            who = f"p{j}@firm{k}.example.org" if k < 20 else f"10.7.{k}.{j + 1}"
+            planted[len(texts)] = name
+            texts.append(f"The {name} report number {j} of clouds went to {who} over hills")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {s.value for s in r.spans if s.kind == "term"} for r in find_private(docs).collect()}
+    assert all(got[i] == ({planted[i]} if i in planted else set()) for i in range(len(texts)))
