@@ -23,7 +23,8 @@ from .common import id_type, ids_and_texts, slices
 
 BITS = 16  # log2 of the number of hashed features
 MIX = np.uint32(0x9E3779B1)
-CHUNK_CHARS = 300_000  # a chunk's arrays take some fifty bytes a character
+CHUNK_CHARS = 300_000  # whose features are held at once, some fifty bytes a character
+STEP_CHARS = 3_000_000  # whose words go through the recursions in step, some ten bytes a character
 
 SAMPLE_DOCS = 800  # labelled rows a model is fitted on, whole texts
 
@@ -252,8 +253,13 @@ def _expected(emit, seq_of, model):
 
 def label_words(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each word, and each word's text number."""
-    chars, starts, text_of = words_of(texts)
-    return posteriors(emissions(model.weights, chars, starts), text_of, model), text_of
+    emit, text_of = [np.zeros((0, len(model.langs)), np.float32)], [np.zeros(0, np.int64)]
+    for part in slices(map(len, texts), CHUNK_CHARS):
+        chars, starts, of = words_of(texts[part])
+        emit.append(emissions(model.weights, chars, starts))
+        text_of.append(of + part.start)
+    text_of = np.concatenate(text_of)
+    return posteriors(np.concatenate(emit), text_of, model), text_of
 
 
 def training_sample(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
@@ -278,7 +284,7 @@ def score_texts(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray,
     """Per text: its words, each language's share of the posterior mass, and its words by most likely language."""
     k = max(1, len(model.langs))
     count, share, by_word = np.zeros(len(texts), np.int64), np.zeros((len(texts), k)), np.zeros((len(texts), k), np.int64)
-    for part in slices(map(len, texts), CHUNK_CHARS) if model.langs else ():
+    for part in slices(map(len, texts), STEP_CHARS) if model.langs else ():
         n = part.stop - part.start
         post, text_of = label_words(texts[part], model)
         count[part] = np.bincount(text_of, minlength=n)
@@ -328,7 +334,7 @@ def keep_known_languages(docs: DataFrame, model: Model, min_score: float = 0.4,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col))
-            for part in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist(), CHUNK_CHARS):
+            for part in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist(), STEP_CHARS):
                 rows = b.slice(part.start, part.stop - part.start)
                 count, share, _ = score_texts([t or "" for t in texts.slice(part.start, len(rows)).to_pylist()], model)
                 yield rows.filter(pa.array((count > 0) & (share.max(1, initial=0) >= min_score)))
