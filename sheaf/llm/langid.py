@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ids_and_texts, slices
+from .common import bounded_batches, id_type, ids_and_texts, slices
 
 BITS = 16  # log2 of the number of hashed features
 MIX = np.uint32(0x9E3779B1)
@@ -331,6 +331,7 @@ def keep_known_languages(docs: DataFrame, model: Model, min_score: float = 0.4,
     The prediction runs beside the row itself, so nothing is joined and repeated ids do no harm.
     """
 
+    bounded_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checkpoint_dir_set, id_type, join_counted, slices, unused
+from .common import Scratch, bounded_batches, checkpoint_dir_set, id_type, join_counted, slices, unused
 
 # What a blank line holds.
 BLANK = " \t\n\x0b\x0c\r"
@@ -62,6 +62,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Blank lines don't count and stay. Null and empty texts have no lines; rows that repeat an id are at the same place and
     don't delete each other's lines; rows without id are left alone; empty tables give no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     checkpoint_dir_set(docs.sparkSession)
     version = F.xxhash64(docs[text_col])
     own = docs.select(docs[id_col].alias("doc_id"), version.alias("version"), docs[text_col].cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")

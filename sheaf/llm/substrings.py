@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import Scratch, id_type, join_counted, slices
+from .common import Scratch, bounded_batches, id_type, join_counted, slices
 from .shingles import grams, mix, word_hashes
 
 GRAM = 5  # words of a fingerprint
@@ -192,6 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window <= GRAM:
         raise ValueError(f"a window needs over {GRAM} words")
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
