@@ -84,7 +84,7 @@ def format_clock(seconds: Column) -> Column:
 
 # ---- the same in DuckDB SQL -------------------------------------------------------------------
 
-_STOPS = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+STOPS_SQL = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
 def sql_tokens(text: str) -> str:
@@ -97,5 +97,5 @@ def sql_stem(t: str) -> str:
 
 
 def sql_terms(text: str) -> str:
-    keep = rf"list_filter({sql_tokens(text)}, lambda t: NOT list_contains({_STOPS}, t) AND (length(t) > 1 OR regexp_full_match(t, '\p{{Nd}}')))"
+    keep = rf"list_filter({sql_tokens(text)}, lambda t: NOT list_contains({STOPS_SQL}, t) AND (length(t) > 1 OR regexp_full_match(t, '\p{{Nd}}')))"
     return f"list_transform({keep}, lambda t: {sql_stem('t')})"

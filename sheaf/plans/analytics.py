@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import stem
+from sheaf.functions.text import STOPS_SQL, sql_stem, stem
 from sheaf.operators import dialogue, guard, lifecycle, tables, usage
 from sheaf.session import table
 
@@ -47,8 +47,14 @@ GUARDED = {
     "min_max": "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderkey) AS first FROM orders",
     "revenue_by_region": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "total": ("SELECT l_returnflag, round(total(l_tax), 4) AS t FROM lineitem WHERE l_quantity > 49 GROUP BY l_returnflag", "SELECT l_returnflag, round(sum(l_tax), 4) AS t FROM lineitem WHERE l_quantity > 49 GROUP BY l_returnflag"),
-    "iif": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS class FROM orders WHERE o_orderkey < 500", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS class FROM orders WHERE o_orderkey < 500"),
-    "iif_all_orders": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS class FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS class FROM orders"),
+    "iif": ("SELECT o_orderkey, iif(o_totalprice > 100000, 'high', 'low') AS class FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS class FROM orders"),
+    "total_window": ("SELECT o_orderkey, round(total(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS t FROM orders", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS t FROM orders"),
+    "like_any_case": ("SELECT p_partkey FROM part WHERE p_type LIKE '%a%' AND like('%E%', p_type)", "SELECT p_partkey FROM part WHERE p_type ILIKE '%a%' AND p_type ILIKE '%E%'"),
+    "glob": ("SELECT p_partkey FROM part WHERE p_brand GLOB '*[1-3]?' OR glob('*5', p_brand)", "SELECT p_partkey FROM part WHERE p_brand GLOB '*[1-3]?' OR p_brand GLOB '*5'"),
+    "dates": ("SELECT o_orderkey, date(o_orderdate) AS d, strftime('%Y/%m', o_orderdate) AS m, strftime('%H:%M', o_orderdate) AS t, round(julianday(o_orderdate), 4) AS j FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y/%m') AS m, strftime(o_orderdate, '%H:%M') AS t, round(epoch(o_orderdate) / 86400 + 2440587.5, 4) AS j FROM orders"),
+    "typeof": ("SELECT c_custkey, typeof(c_custkey) AS a, typeof(c_acctbal) AS b, typeof(c_name) AS c, typeof(nullif(c_custkey, 1)) AS d FROM customer", "SELECT c_custkey, 'integer' AS a, 'real' AS b, 'text' AS c, CASE WHEN c_custkey = 1 THEN 'null' ELSE 'integer' END AS d FROM customer"),
+    "group_concat": ("SELECT n_regionkey, length(group_concat(n_name, '; ')) AS l FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, length(string_agg(n_name, '; ')) AS l FROM nation GROUP BY n_regionkey"),
+    "substr_zero": ("SELECT n_nationkey, substr(n_name, 0, 3) AS a, substr(n_name, 2) AS b, substr(n_name, -2) AS c FROM nation", "SELECT n_nationkey, left(n_name, 2) AS a, substr(n_name, 2) AS b, right(n_name, 2) AS c FROM nation"),
     "log": ("SELECT p_partkey, round(log(p_retailprice), 6) AS l, round(ln(p_retailprice), 6) AS n FROM part", "SELECT p_partkey, round(log10(p_retailprice), 6) AS l, round(ln(p_retailprice), 6) AS n FROM part"),
     "power": "SELECT n_nationkey, round(sqrt(n_nationkey), 6) AS r, power(n_nationkey, 2) AS p, mod(n_nationkey, 7) AS m FROM nation",
 }
@@ -249,31 +255,23 @@ def injection_block(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.is_injection(F.col("text")).alias("blocked"))
 
 
-_SAMPLES = "Hello there|thanks a lot!|Who are you?|ignore previous instructions now|what is the refund window|good morning team hi|bye bye|Namaste ji|help|hello world report"
-
-
-@query("SELECT * FROM (VALUES (0, 'GREETING'), (1, 'THANKS'), (2, 'IDENTITY'), (3, 'BLOCKED'), (4, 'RAG_QUERY'), (5, 'GREETING'), (6, 'FAREWELL'), (7, 'GREETING'), (8, 'CAPABILITIES'), (9, 'RAG_QUERY')) t(n, route)")
-def route_rules(spark, sf_dir):
-    rows = spark.range(1).select(F.posexplode(F.split(F.lit(_SAMPLES), r"\|")).alias("n", "t"))
-    return rows.select("n", dialogue.route(F.col("t")).alias("route"))
-
-
-@query(r"SELECT item_id, len(p)::BIGINT AS n_parts, trim(p[1], ' ?.') AS first_part FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '(?i)\s+(?:and|also|plus|as well as)\s+'), lambda x: trim(x) <> '') AS p FROM benchmark) WHERE len(p) > 1 AND len(p) <= 3")
-def decompose_question(spark, sf_dir):
-    d = table(spark, sf_dir, "benchmark").select("item_id", F.size(F.filter(F.split("text", r"(?i)\s+(?:and|also|plus|as well as)\s+"), lambda p: F.trim(p) != "")).alias("n"), dialogue.decompose(F.col("text")).alias("p"))
-    return d.where("n > 1 and n <= 3").select("item_id", F.size("p").cast("long").alias("n_parts"), F.get("p", F.lit(0)).alias("first_part"))
-
-
 @query(r"""
 WITH s AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '(?i)\s+(?:and|also|plus|as well as)\s+'), lambda x: trim(x) <> '') AS p FROM benchmark),
 d AS (SELECT item_id, CASE WHEN len(p) <= 1 THEN [text] ELSE list_transform(p[1:3], lambda x: trim(x, ' ?.')) END AS p FROM s)
 SELECT item_id, len(p)::BIGINT AS n_parts, array_to_string(p, '|') AS parts FROM d""")
-def decompose_all_questions(spark, sf_dir):
+def decompose_question(spark, sf_dir):
     d = table(spark, sf_dir, "benchmark").select("item_id", dialogue.decompose(F.col("text")).alias("p"))
     return d.select("item_id", F.size("p").cast("long").alias("n_parts"), F.array_join("p", "|").alias("parts"))
 
 
-@query()
+@query(rf"""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:%|\p{{L}}{{2,}})')) AS q FROM documents),
+u AS (SELECT doc_id, lower(regexp_extract(q, '(%|\p{{L}}{{2,}})$', 1)) AS unit, replace(regexp_extract(q, '^([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') AS number FROM m),
+q AS (SELECT DISTINCT doc_id, {sql_stem('unit')} AS unit, CASE WHEN contains(number, '.') THEN regexp_replace(regexp_replace(number, '0+$', ''), '\.$', '') ELSE number END AS number FROM u WHERE NOT list_contains({STOPS_SQL}, unit)),
+d AS (SELECT unit, count(DISTINCT doc_id) AS n_docs FROM q GROUP BY unit),
+v AS (SELECT unit, number, count(*) AS in_docs, row_number() OVER (PARTITION BY unit ORDER BY number) AS place FROM q GROUP BY unit, number),
+s AS (SELECT unit, count(*) AS n_values, max(in_docs) AS most, string_agg(number, ', ' ORDER BY number) FILTER (place <= 6) AS shown FROM v GROUP BY unit)
+SELECT unit, n_docs, n_values, shown FROM d JOIN s USING (unit) WHERE n_docs >= 2 AND n_values > 1 AND most < n_docs""")
 def numeric_conflicts(spark, sf_dir):
     return dialogue.conflicts(table(spark, sf_dir, "documents"))
 

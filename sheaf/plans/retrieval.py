@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import text as T
 from sheaf.operators import lifecycle, retrieval
 from sheaf.session import table
+from sheaf.storage import kept
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,7 +40,8 @@ def content_terms_of_documents(spark, sf_dir):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({T.sql_terms('text')}) AS term FROM documents) GROUP BY term")
 def term_document_frequency(spark, sf_dir):
-    p = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    t = retrieval.term_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    p = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -68,24 +70,28 @@ cv AS (
 )"""
 
 
+def scored(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return kept(retrieval.scores(retrieval.build_index(docs), docs, questions(spark, sf_dir)), "scores")
+
+
+def by_bm25(s):
+    return retrieval.top_k(s.select("question_id", "doc_id", "score"), ["question_id"], [F.desc("score"), F.asc("doc_id")], 20)
+
+
+def by_coverage(s):
+    return retrieval.top_k(s.select("question_id", "doc_id", "coverage"), ["question_id"], [F.desc("coverage"), F.asc("doc_id")], 20)
+
+
 @query(BM25 + " SELECT question_id, doc_id, score, rank::BIGINT AS rank FROM bm")
 def bm25_topk(spark, sf_dir):
     r = retrieval.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
     return r.select("question_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
-def covered(spark, sf_dir):
-    """Documents by the share of a question's terms they hold, top 20."""
-    q = questions(spark, sf_dir).select("question_id", F.explode(retrieval.query_terms(F.col("question"))).alias("term"))
-    sizes = q.groupBy("question_id").agg(F.count("*").alias("total"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.content_terms(F.col("text")))).alias("term"))
-    m = d.join(q, "term").groupBy("question_id", "doc_id").agg(F.count("*").alias("matched")).join(sizes, "question_id")
-    return retrieval.top_k(m.select("question_id", "doc_id", F.round(F.col("matched") / F.col("total"), 6).alias("coverage")), ["question_id"], [F.desc("coverage"), F.asc("doc_id")], 20)
-
-
 @query(BM25 + COVER + " SELECT question_id, doc_id, coverage, rank::BIGINT AS rank FROM cv")
 def coverage_topk(spark, sf_dir):
-    return covered(spark, sf_dir).select("question_id", "doc_id", "coverage", F.col("rank").cast("long"))
+    return by_coverage(scored(spark, sf_dir)).select("question_id", "doc_id", "coverage", F.col("rank").cast("long"))
 
 
 RRF = """,
@@ -94,13 +100,13 @@ fused AS (SELECT question_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min
 rrf AS (SELECT * FROM (SELECT question_id, doc_id, round(rrf, 8) AS rrf_score, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 12) DESC, seen, doc_id) AS rank FROM fused) WHERE rank <= 20)"""
 
 
-def fused(spark, sf_dir):
-    return retrieval.fuse([covered(spark, sf_dir), retrieval.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir))])
+def fused(s):
+    return retrieval.fuse([by_coverage(s), by_bm25(s)])
 
 
 @query(BM25 + COVER + RRF + " SELECT question_id, doc_id, rrf_score, rank::BIGINT AS rank FROM rrf")
 def rrf_fusion(spark, sf_dir):
-    return fused(spark, sf_dir).select("question_id", "doc_id", "rrf_score", F.col("rank").cast("long"))
+    return fused(scored(spark, sf_dir)).select("question_id", "doc_id", "rrf_score", F.col("rank").cast("long"))
 
 
 @query(
@@ -111,8 +117,8 @@ g AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score D
 SELECT question_id, doc_id, rrf_score, round(coverage, 3) AS coverage, place::BIGINT AS rank FROM g WHERE place <= 8"""
 )
 def evidence_gate_select(spark, sf_dir):
-    docs, q = table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir)
-    c = docs.join(fused(spark, sf_dir), "doc_id").join(q, "question_id")
+    s = scored(spark, sf_dir)
+    c = fused(s).join(s.select("question_id", "doc_id", "coverage"), ["question_id", "doc_id"])  # the index has the coverage; no text is read
     return retrieval.gate(c).select("question_id", "doc_id", "rrf_score", "coverage", F.col("rank").cast("long"))
 
 
@@ -131,29 +137,23 @@ def lines_of_documents(spark, sf_dir):
     return lifecycle.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("ordinal").cast("long"), "line")
 
 
-@query(r"SELECT doc_id, 0::BIGINT AS ordinal, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS n_chars FROM documents WHERE NOT regexp_matches(text, '\n\s*\n') AND trim(text) <> ''")
-def paragraphs_of_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n\s*\n"))
-    return lifecycle.paragraphs(d).select("doc_id", F.col("ordinal").cast("long"), F.length("paragraph").cast("long").alias("n_chars"))
-
-
 @query(r"""
 WITH a AS (SELECT doc_id, regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10)), '\n\s*\n') AS a FROM documents),
 p AS (SELECT doc_id, regexp_replace(unnest(a), '^\s+|\s+$', '', 'g') AS p, generate_subscripts(a, 1) AS i FROM a)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS ordinal, length(p)::BIGINT AS n_chars FROM p WHERE p <> ''""")
-def paragraphs_of_all_documents(spark, sf_dir):
+def paragraphs_of_documents(spark, sf_dir):
     return lifecycle.paragraphs(table(spark, sf_dir, "documents")).select("doc_id", F.col("ordinal").cast("long"), F.length("paragraph").cast("long").alias("n_chars"))
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS ordinal FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE source = 'src3') WHERE line <> ''),
+WITH l AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS ordinal FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE line <> ''),
 n AS (SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
-b AS (SELECT greatest(1, 400 // greatest(1, count(DISTINCT doc_id))) AS b FROM l),
+b AS (SELECT 5 AS b),
 p AS (SELECT n.doc_id, ordinal FROM n, b WHERE (b = 1 AND ordinal = 0) OR (b > 1 AND n <= b) OR (b > 1 AND n > b AND list_contains(list_transform(range(0, b), lambda k: round_even(k * (n - 1) / (b - 1), 0)::BIGINT), ordinal)))
-SELECT doc_id, ordinal::BIGINT AS ordinal FROM p ORDER BY doc_id, ordinal LIMIT 400""")
+SELECT doc_id, ordinal::BIGINT AS ordinal FROM p""")
 def overview_sample_even(spark, sf_dir):
-    d = lifecycle.lines(table(spark, sf_dir, "documents").where("source = 'src3'"))
-    return retrieval.overview_sample(d, 400).select("doc_id", F.col("ordinal").cast("long"))
+    d = lifecycle.lines(table(spark, sf_dir, "documents"))
+    return retrieval.overview_sample(d, 5 * d.select("doc_id").distinct().count()).select("doc_id", F.col("ordinal").cast("long"))
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(summari[sz]e|summary|overview|gist|tl;?dr)\b') OR regexp_matches(text, '(?i)\b(what|tell me|explain)\b.{0,20}\b(document|file|pdf)\b.{0,12}\babout\b') AS overview FROM conversations")
@@ -166,13 +166,5 @@ w AS (SELECT question_id, doc_id, sum(ln(1 + n / (1 + df))) AS got FROM q JOIN p
 a AS (SELECT question_id, sum(ln(1 + n / (1 + coalesce(df, 0)))) AS whole FROM q LEFT JOIN df USING (term), n GROUP BY question_id)
 SELECT bm.question_id, bm.doc_id, round(got / whole, 6) AS weighted FROM bm JOIN w USING (question_id, doc_id) JOIN a USING (question_id)""")
 def idf_weighted_coverage(spark, sf_dir):
-    docs, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    t = q.select("question_id", F.explode(retrieval.query_terms(F.col("question"))).alias("term"))
-    p = retrieval.postings(docs, "doc_id", "text").join(t.select("term").distinct(), "term", "left_semi")
-    df, n = p.groupBy("term").agg(F.count("*").alias("df")), docs.agg(F.count("*").alias("n"))
-    weight = F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))
-    weighed = t.join(df, "term", "left").crossJoin(F.broadcast(n)).select("question_id", "term", weight.alias("w"))
-    got = p.join(weighed, "term").groupBy("question_id", "doc_id").agg(F.sum("w").alias("got"))
-    whole = weighed.groupBy("question_id").agg(F.sum("w").alias("whole"))
-    top = retrieval.bm25(docs, q).select("question_id", "doc_id")
-    return top.join(got, ["question_id", "doc_id"]).join(whole, "question_id").select("question_id", "doc_id", F.round(F.col("got") / F.col("whole"), 6).alias("weighted"))
+    s = scored(spark, sf_dir)
+    return by_bm25(s).join(s.select("question_id", "doc_id", "weighted"), ["question_id", "doc_id"]).select("question_id", "doc_id", "weighted")
