@@ -111,6 +111,9 @@ def without_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+without_lines = without_lines.asNondeterministic()  # or a filter on its result would run it once more, in workers of its own
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with the repeated lines deleted from its texts, and how many in a last column, `removed` (or unused(docs, "removed"))."""
     found = repeated_lines(docs, id_col, text_col, **options)
