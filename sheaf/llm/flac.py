@@ -564,10 +564,16 @@ def pcm_of(stream) -> tuple:
 
 def pcm_blocks(read: DataFrame, id_col: str = "doc_id", sample_bytes: int = 1) -> DataFrame:
     """One row per block: id, sample_offset, n_samples, block."""
-    total = F.floor(F.length("pcm") / sample_bytes)
     r = read.where("error is null").select(id_col, "pcm", "block_offsets", F.posexplode("block_offsets").alias("i", "sample_offset"))
-    stop = F.coalesce(F.get("block_offsets", F.col("i") + 1), total)
-    return r.select(id_col, "sample_offset", (stop - F.col("sample_offset")).alias("n_samples"), F.expr(f"substring(pcm, cast(sample_offset * {sample_bytes} + 1 as int), cast((coalesce(get(block_offsets, i + 1), floor(length(pcm) / {sample_bytes})) - sample_offset) * {sample_bytes} as int))").alias("block"))
+    stop = F.coalesce(F.get("block_offsets", F.col("i") + 1), F.floor(F.length("pcm") / sample_bytes))
+    r = r.select(id_col, "pcm", "sample_offset", (stop - F.col("sample_offset")).alias("n_samples"))
+    block = F.substr("pcm", (F.col("sample_offset") * sample_bytes + 1).cast("int"), (F.col("n_samples") * sample_bytes).cast("int"))
+    return r.select(id_col, "sample_offset", "n_samples", block.alias("block"))
+
+
+def block_report(docs: DataFrame, **options) -> DataFrame:
+    """Of each block of each text's media: where it begins, its samples, and its digest."""
+    return pcm_blocks(read_media(to_media(docs, **options))).select("doc_id", "sample_offset", "n_samples", F.sha2("block", 256).alias("block_sha256"))
 
 
 @F.pandas_udf(T.StringType())

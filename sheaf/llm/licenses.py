@@ -37,6 +37,39 @@ TEMPLATES = {
     "bsd-grant": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
         conditions are met: <<var;2>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
         following disclaimer.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next
+        paragraph)<<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<any;authors|author>> OR COPYRIGHT <<any;holders|holder>> BE LIABLE FOR ANY CLAIM,
+        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE <<any;author|authors>>
+        <<any;disclaims|disclaim>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL THE <<any;author|authors>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING
+        OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<var;2>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. <<var;2>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES""",
+    "bsd-3-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<var;2>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. <<var;2>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution. <<var;2>> Neither the <<any;name|names>>
+        of <<var;8>> <<any;nor|or>> the names of <<any;its|any|other>> contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+        by any means.""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, <<any;v. 2.0|version 2.0>>. If a copy of the MPL was not
+        distributed with this file, You can obtain one at <<any;http|https>> <<optional>>www.<<end>> mozilla.org/MPL/2.0/""",
+    "lgpl-notice": "<<any;released|licensed|distributed>> under <<optional>>the terms of<<end>> the <<optional>>GNU<<end>> <<any;lesser|library>> general public license <<optional>>, <<any;version|v>> <<any;2|2.1|3|2.0|3.0>><<end>>",
+    "cc0": "<<any;released|licensed|distributed|available|dedicated>> <<any;under|to>> <<optional>>the<<end>> <<any;CC0|creative commons zero|public domain under CC0>> <<optional>>1.0 <<optional>>universal<<end>><<end>>",
     "cc-by": "<<any;released|licensed|distributed|available>> under <<optional>>a<<end>> <<any;CC|creative commons>> <<any;BY|attribution>> <<any;4.0|3.0|2.5|2.0|4.0 international>>",
     "cc-by-sa": "<<any;released|licensed|distributed|available>> under <<optional>>a<<end>> <<any;CC|creative commons>> <<any;BY SA|attribution sharealike>> <<any;4.0|3.0|2.5|2.0>>",
     "cc-by-nc": "<<any;released|licensed|distributed|available>> under <<optional>>a<<end>> <<any;CC|creative commons>> <<any;BY NC|attribution noncommercial>> <<any;4.0|3.0|2.5|2.0>>",

@@ -15,6 +15,10 @@ def op2_flac_media(spark, sf_dir):
     return flac.media_report(table(spark, sf_dir, "documents"))
 
 
+def pcm_blocks_of_documents(spark, sf_dir):
+    return flac.block_report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_winnowing(spark, sf_dir):
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_private_terms": op8_private_terms,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_spaced_seed_overlaps": op10_spaced_seed_overlaps,
+    "pcm_blocks_of_documents": pcm_blocks_of_documents,
     "packed_conversations": packed_conversations,
 }
 ORACLES: dict[str, str] = {

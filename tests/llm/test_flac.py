@@ -71,3 +71,28 @@ def test_report(spark):
     blocks = flac.pcm_blocks(read).orderBy("sample_offset").collect()
     assert b"".join(bytes(b.block) for b in blocks) == flac.pad(TEXTS[8].encode())
     assert all(len(b.block) == b.n_samples for b in blocks) and [b.sample_offset for b in blocks] == list(range(0, len(flac.pad(TEXTS[8].encode())), 1152))
+
+
+def test_a_stream_made_elsewhere():
+    """The mono example of RFC 9639 (8 bits, a linear predictor, Rice residuals): its frame checksums and the MD5 of its samples hold."""
+    stream = bytes.fromhex(
+        "664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc28222280" "57a3"
+    )
+    (decoded,) = flac.decode_streams([stream])
+    info, frames = decoded
+    assert (info["rate"], info["bits"], info["samples"]) == (32000, 8, 24)
+    assert frames[0][1].tolist() == [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+    assert flac.pcm_of(decoded)[2] is None
+    (broken,) = flac.decode_streams([stream[:60] + b"\x00" + stream[61:]])
+    assert flac.pcm_of(broken)[2] is not None
+
+
+def test_blocks_join_to_the_samples(spark):
+    docs = spark.createDataFrame([(1, "some text " * 3000), (2, ""), (3, None)], "doc_id long, text string")
+    read = flac.read_media(flac.to_media(docs)).select("doc_id", "pcm", "block_offsets", "error")
+    whole = {r.doc_id: bytes(r.pcm) for r in read.collect()}
+    parts = {}
+    for r in flac.pcm_blocks(read).collect():
+        parts.setdefault(r.doc_id, []).append((r.sample_offset, bytes(r.block)))
+        assert len(r.block) == r.n_samples
+    assert {d: b"".join(b for _, b in sorted(p)) for d, p in parts.items()} == whole and len(parts[1]) > 1

@@ -71,3 +71,12 @@ def test_report(spark):
     assert got[3] == (30_006, 2, 1, 30_004, "apache,gpl", "apache,gpl", 0.5)
     assert got[4] == (5, 1, 3, 3, "mit", "mit,mit-notice", 1.0)
     assert license_report(docs.limit(0)).count() == 0
+
+
+def test_whole_texts():
+    mit = TEMPLATES["mit-text"].replace("<<optional>>", "").replace("<<end>>", "").replace("<<any;authors|author>>", "AUTHORS").replace("<<any;holders|holder>>", "HOLDERS")
+    assert set(labels("MIT License\n\nCopyright (c) 2020 X\n\n" + mit)) == {"mit-text", "mit-grant"}
+    assert labels(mit.replace("free of charge", "for a fee")) == []
+    assert labels("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.") == ["unlicense-text"]
+    assert labels("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.") == ["mpl-2.0-notice"]
+    assert labels("distributed under the terms of the GNU Lesser General Public License, version 2.1") == ["lgpl-notice"]

@@ -76,3 +76,19 @@ def test_near_duplicates_from_four_fifths_on_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, "").collect()}
     assert kept == {1} | {d for d, x in sim.items() if x < 0.8}
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone int, bad string, removed int"
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, long, "en", "s", 1, 1, "b", 1), (1, long, "en", "s", 1, 1, "b", 1), (None, long, None, None, None, None, None, None), (2, None, "en", "s", 1, 1, "b", 1), (3, "", "en", "s", 1, 1, "b", 1), (4, long, "en", "s", 1, 2, "c", 2)]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name, d: sorted((str(r.doc_id), r.text) for r in stages[name](spark, d, "/root/testdata/sf0.001").select("doc_id", "text").collect())
+    assert left("line_dedup", docs) == [("1", long), ("1", long), ("2", None), ("3", ""), ("None", long)]  # 4 repeats 1, and nothing is left of it
+    assert left("minhash_near_dedup", docs) == [("1", long), ("1", long), ("2", None), ("3", ""), ("None", long)]
+    assert len(left("benchmark_decontamination", docs)) == 6
+    for name in ("line_dedup", "minhash_near_dedup", "benchmark_decontamination"):
+        assert stages[name](spark, docs, "/root/testdata/sf0.001").columns == docs.columns and left(name, docs.limit(0)) == []
+    assert left("language_id", docs.limit(0)) == []
+    assert stages["packing"](spark, docs.limit(0), "").count() == 0 and stages["packing"](spark, docs, "").select("doc_id").count() >= 6
