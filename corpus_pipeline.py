@@ -3,16 +3,20 @@
 The stages, in order: language ID (documents without a known language go), line dedup (later repeated lines go, and documents
 of which nothing is left), near-duplicates (one document of each group stays), benchmark decontamination (documents that hold
 an item go), packing. All but the last return the columns of documents.
+
+Every stage takes any table with these columns, whatever others there are. Null, empty and blank texts have no language and go in
+the first stage; alone, the later stages keep them. Rows without doc_id have no later copy and no group: line dedup and
+near-duplicates leave them, decontamination keeps them. Rows that repeat a doc_id are one document where stages compare documents,
+and each keeps or loses its own text. Ties go to the smaller doc_id. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import decontam, langid, linededup, neardup, packing
+from sheaf.llm.common import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet to the shared folder and read again as the next one's documents."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sheaf").rstrip("/")
-    folder = f"{top}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = scratch.store(stage(spark, docs, sf_dir), name)
     return docs
