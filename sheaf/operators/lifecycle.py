@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def first_of_equal(docs: DataFrame, scope: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Each document with the first one of its scope that has the same bytes (duplicate_of null for that one)."""
-    h = docs.withColumn("_h", F.sha2(F.col(text_col).cast("binary"), 256))
+    """scope, id and duplicate_of of each document: the first one of its scope with the same bytes (null for that one itself). Digests
+    are made before the shuffle, so no text travels."""
+    h = docs.select(scope, id_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("_h"))
     firsts = h.groupBy(scope, "_h").agg(F.min(id_col).alias("_first"))
-    return h.join(firsts, [scope, "_h"]).withColumn("duplicate_of", F.when(F.col("_first") < F.col(id_col), F.col("_first"))).drop("_h", "_first")
+    return h.join(firsts, [scope, "_h"]).select(scope, id_col, F.when(F.col("_first") < F.col(id_col), F.col("_first")).alias("duplicate_of"))
 
 
 def cache_misses(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
