@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import is_overview
 from sheaf.functions.values import contains_all
+from sheaf.sources import extract
+from sheaf.sources.tablestore import TableStore
 
+from . import answers, chunking, detect, guard, retrieval
 from .dialogue import route
 
 CASES = """id string, category string, lang string, question string, expect string, must_contain array<string>, must_not_contain array<string>, sources array<string>,
@@ -81,3 +87,63 @@ def regressions(new: DataFrame, old: DataFrame, tolerance: float = WORSE) -> Dat
     """Metrics (metric, value) that are worse than before by more than the tolerance; latencies, totals and means don't count."""
     o = old.select("metric", F.col("value").alias("before")).where(~F.col("metric").rlike("^(latency|total_|mean_)"))
     return new.join(o, "metric").where(F.col("value") < F.col("before") - tolerance).select("metric", "before", "value")
+
+
+# ---- the offline run over a folder of files and its cases --------------------------------------
+
+CANDIDATES = 12
+ANSWERED, ROUTED = ("lookup", "table", "multilingual", "cross_lingual", "summary"), ("routing", "injection")
+
+
+def retrieved(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(id, question, doc_id, source, text, rank, rrf_score, overview) of the candidates for each question, by keywords; a request for
+    an overview gets an evenly spaced sample of all documents instead.
+
+    chunks: (doc_id, source, ordinal, text), questions: (id, question).
+    """
+    whole = is_overview(F.col("question"))
+    s = retrieval.scores(retrieval.build_index(chunks), chunks, questions.where(~whole), question_col="id")
+    ranked = retrieval.fuse([retrieval.top_k(s, ["id"], [F.desc("score"), F.asc("doc_id")], k)], limit=k, by="id").withColumn("overview", F.lit(False))
+    sample = retrieval.overview_sample(chunks, k, doc_col="source").select("doc_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source", "ordinal")).alias("rank"))  # at most k rows
+    parts = questions.where(whole).select("id").join(F.broadcast(sample), F.col("rank") <= k).select("id", "doc_id", (1.0 / (F.col("rank") + 1)).alias("rrf_score"), "rank", F.lit(True).alias("overview"))
+    return ranked.select("id", "doc_id", "rrf_score", "rank", "overview").unionByName(parts).join(chunks.select("doc_id", "source", "text"), "doc_id").join(questions, "id")
+
+
+def offline(spark: SparkSession, files: DataFrame, cases: DataFrame, folder: str) -> DataFrame:
+    """(id, category, status, rank, routed, sql_correct) of each case, without any model: files are extracted and chunked, sheets become
+    tables, questions are answered as far as retrieval, rules and the gold queries go. Cases that need vectors are skipped."""
+    name = F.element_at(F.split("path", "/"), -1)
+    chunks = chunking.chunk(extract.extract(files)).select(F.concat_ws("#", "path", "ordinal").alias("doc_id"), name.alias("source"), "ordinal", "text")
+    live = cases.where(~F.coalesce("requires_dense", F.lit(False)))
+    by = {"retrieval": ~F.col("category").isin(*ROUTED, "aggregation"), "routing": F.col("category").isin(*ROUTED), "analytics": F.col("category") == "aggregation"}
+    found = retrieved(chunks, live.where(by["retrieval"]).select("id", "question"))
+    selected = retrieval.gate(found, by="id")
+    none = {"rank": "int", "routed": "boolean", "sql_correct": "boolean"}
+    shape = lambda d: d.select("id", "status", *((F.col(c) if c in d.columns else F.lit(None)).cast(t).alias(c) for c, t in none.items()))
+    out = shape(judge_retrieval(live.where(by["retrieval"]), found, selected)).unionByName(shape(judge_routing(live.where(by["routing"]))))
+
+    store = TableStore(spark, folder)
+    store.load("evaluation", {r.path: files.where(F.col("path") == r.path) for r in files.where(name.rlike(r"(?i)\.(csv|tsv|xlsx|xlsm)$")).select("path").collect()})  # a row for each sheet file
+    views, got, want = store.views("evaluation"), [], []
+    for r in live.where(by["analytics"]).select("id", "gold_sql", "gold_result").collect():  # cases are written by hand: few
+        want += [(r.id, i, [None if v is None else str(v) for v in row]) for i, row in enumerate(json.loads(r.gold_result or "[]"))]
+        try:
+            got += [(r.id, i, [None if v is None else str(v) for v in row]) for i, row in enumerate(guard.fetch(spark, views, r.gold_sql, max_seconds=60).rows)]
+        except guard.Rejected:
+            pass
+    rows = lambda data: spark.createDataFrame(data, "id string, row int, cells array<string>")
+    detected = detect.analyze(live.where(by["analytics"]), answers.catalog_frame(spark, store.session_tables("evaluation")), True, question="id")
+    out = out.unionByName(shape(judge_analytics(live.where(by["analytics"]), detected, rows(got), rows(want))))
+    return cases.select("id", "category").join(out, "id", "left").withColumn("status", F.coalesce("status", F.lit("skipped")))
+
+
+def headline(outcomes: DataFrame) -> DataFrame:
+    """(metric, value) of an offline run."""
+    o = outcomes.where("status <> 'skipped'")
+    share = lambda where, what: F.round(F.avg(F.when(where, what.cast("double"))), 4)
+    passed, of = F.col("status") == "pass", lambda *c: F.col("category").isin(*c)
+    metrics = {
+        "retrieval_hit_rate": share(of(*ANSWERED), passed), "abstain_gate_rate": share(of("abstain"), passed), "sql_correct_rate": share(of("aggregation"), F.col("sql_correct")),
+        "sql_routed_rate": share(of("aggregation"), F.col("routed")), "routing_rate": share(of(*ROUTED), passed), "mrr": F.round(F.avg(F.when(of(*ANSWERED), F.coalesce(1 / F.col("rank"), F.lit(0.0)))), 4),
+    }
+    return o.agg(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items())).alias("m")).select(F.inline("m"))

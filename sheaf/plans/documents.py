@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.functions import values as V
-from sheaf.operators import detect, dialogue, documents, evaluation, lifecycle
+from sheaf.operators import detect, dialogue, documents, evaluation, figures, lifecycle
 from sheaf.session import table
 from sheaf.sources import tablestore
 
@@ -143,6 +143,23 @@ def largest_pages(spark, sf_dir):
     return documents.largest_figures(p, "host", "sha", "area").select("host", "sha", "area", F.col("rank").cast("long").alias("place"))
 
 
+BOXES = "SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page, l_partkey AS sha, l_partkey % 100 AS x0, l_suppkey AS y0, l_partkey % 100 + l_quantity AS x1, l_suppkey + 10 + l_linenumber AS y1, l_returnflag AS kind FROM lineitem"
+
+
+def boxes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), F.col("l_partkey").alias("sha"), (F.col("l_partkey") % 100).alias("x0"), F.col("l_suppkey").alias("y0"), (F.col("l_partkey") % 100 + F.col("l_quantity")).alias("x1"), (F.col("l_suppkey") + 10 + F.col("l_linenumber")).alias("y1"), F.col("l_returnflag").alias("kind"))
+
+
+@query(f"""
+WITH b AS ({BOXES})
+SELECT doc_id, page, sha FROM b f WHERE kind <> 'R' AND NOT EXISTS (SELECT 1 FROM b t WHERE t.kind = 'R' AND t.doc_id = f.doc_id AND t.page = f.page
+AND greatest(0, least(f.x1, t.x1) - greatest(f.x0, t.x0)) * greatest(0, least(f.y1, t.y1) - greatest(f.y0, t.y0)) > 0.7 * (f.x1 - f.x0) * (f.y1 - f.y0))""")
+def figures_outside_tables(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return figures.outside_tables(b.where("kind <> 'R'"), b.where("kind = 'R'")).select("doc_id", "page", "sha")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 500")
 def keyset_page(spark, sf_dir):
     return documents.page_after(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)

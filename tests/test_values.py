@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sheaf.functions import values as V
-from sheaf.operators import dialogue, grounding
+from sheaf.operators import dialogue, figures, grounding
 
 
 def test_point_ids_are_version_5_uuids(spark):
@@ -57,3 +57,16 @@ def test_answers_are_verified_and_trimmed(spark):
     assert rows[2].decision == "accept" and rows[2].cited == [1, 2]  # repaired: what it cites didn't say so
     assert rows[3].decision == "accept" and rows[3].cited == [2] and rows[3].checked == 1
     assert rows[4].decision == "trim" and rows[4].final == text[4].strip().rsplit("\n", 1)[0]
+
+
+def test_figures(spark):
+    schema = "doc_id int, page int, sha string, width int, height int, x0 double, y0 double, x1 double, y1 double"
+    rows = [
+        (1, 1, "big", 400, 400, 0.0, 0.0, 100.0, 100.0), (1, 1, "in_big", 200, 200, 10.0, 10.0, 60.0, 60.0), (1, 1, "beside", 200, 200, 90.0, 0.0, 140.0, 50.0), (1, 1, "tiny", 149, 900, 200.0, 0.0, 300.0, 100.0),
+        (1, 2, "in_table", 300, 300, 0.0, 0.0, 50.0, 50.0), (1, 3, "beside", 210, 200, 0.0, 0.0, 50.0, 50.0), (2, 1, "alone", 150, 150, 0.0, 0.0, 1.0, 1.0),
+    ]
+    tables = spark.createDataFrame([(1, 2, 0.0, 0.0, 50.0, 40.0), (1, 1, 200.0, 200.0, 210.0, 210.0)], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double")
+    got = [(r.doc_id, r.sha, r.area, r.rank) for r in figures.chosen(spark.createDataFrame(rows, schema), tables).orderBy("doc_id", "rank").collect()]
+    assert got == [(1, "big", 160000, 1), (1, "beside", 42000, 2), (2, "alone", 22500, 1)]
+    size = spark.range(1).select(figures.shown_size(F.lit(3136), F.lit(100)), figures.shown_size(F.lit(10), F.lit(20))).first()
+    assert tuple(size[0]) == (1568, 50) and tuple(size[1]) == (10, 20)
