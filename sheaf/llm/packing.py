@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ SCHEMA = "doc_id {id}, start bigint, length bigint, ids binary, loss_tokens bigi
 class WordIds(dict):
     """Token ids (little-endian bytes) of words, filled as they come; a pre-token never spans two of them."""
 
-    def __init__(self, encode, most: int = 300_000):
+    def __init__(self, encode, most: int = 100_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -64,7 +65,9 @@ class Encoder:
         self.added, self.library = [], None
         if added and os.path.exists(self.twin):  # a rank file alone has no added tokens
             with open(self.twin, encoding="utf-8") as f:
-                tokens = json.load(f)["added_tokens"]
+                whole = f.read()
+            # this list alone is decoded: the vocabulary beside it would take much more
+            tokens = json.JSONDecoder().raw_decode(whole, whole.index("[", whole.index('"added_tokens"')))[0]
             self.added = [t["content"] for t in tokens]
             self.lengths = np.pad(self.lengths, (0, max([0, *(t["id"] + 1 - len(self.lengths) for t in tokens)])))
             for t in tokens:
@@ -97,11 +100,17 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, lead))
 
 
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str | None) -> Encoder:
+    """One for all tasks of a process."""
+    return Encoder(vocabulary, added=True)
+
+
 def loss_counts(ids: bytes, lengths: np.ndarray, prompt_bytes: int) -> np.ndarray:
     """Cumulated loss-bearing tokens before each token and at the end: those that begin at or behind the prompt's last byte."""
     n = lengths[np.frombuffer(ids, "<u4")]
     bears = np.concatenate([np.cumsum(n) - n >= prompt_bytes, [True]])  # the closing id too
-    return np.concatenate([[0], np.cumsum(bears)])
+    return np.concatenate([[0], np.cumsum(bears)]).astype(np.int32)
 
 
 def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple[int, int, int], order: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -196,7 +205,7 @@ def pack(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, block = Encoder(vocabulary, added=True), []
+        encode, block = encoder(vocabulary), []
         next_id = TaskContext.get().partitionId() << 33
         for b in batches:
             starts = b["loss_from"] if loss_from_col else [None] * len(b)
