@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,15 @@ def slices(sizes: Iterable[int], most: int) -> Iterator[slice]:
         yield slice(begin, at)
 
 
+def release_unused() -> None:
+    """Gives the system back what earlier tasks of this process have freed; called where a task begins."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 HOT_SHARE, HOT_SALTS = 512, 64
 
 

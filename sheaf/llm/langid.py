@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_type, ids_and_texts, slices
+from .common import bounded_batches, id_type, ids_and_texts, release_unused, slices
 
 BITS = 16  # log2 of the number of hashed features
 MIX = np.uint32(0x9E3779B1)
 CHUNK_CHARS = 300_000  # whose features are held at once, some fifty bytes a character
-STEP_CHARS = 3_000_000  # whose words go through the recursions in step, some ten bytes a character
+STEP_CHARS = 1_500_000  # whose words go through the recursions in step, some ten bytes a character
 
 SAMPLE_DOCS = 800  # labelled rows a model is fitted on, whole texts
 
@@ -302,6 +302,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         for b in batches:
             count, share, by_word = score_texts(b["text"].tolist(), model)
             known = (count > 0) & bool(model.langs)
@@ -333,6 +334,7 @@ def keep_known_languages(docs: DataFrame, model: Model, min_score: float = 0.4,
 
     bounded_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_unused()
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col))
             for part in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist(), STEP_CHARS):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded_batches, checkpoint_dir_set, id_type, join_counted, slices, unused
+from .common import Scratch, bounded_batches, checkpoint_dir_set, id_type, join_counted, release_unused, slices, unused
 
 # What a blank line holds.
 BLANK = " \t\n\x0b\x0c\r"
@@ -68,6 +68,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(docs[id_col].alias("doc_id"), version.alias("version"), docs[text_col].cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         columns = ["doc_id", "version", "print", "numbers", "one", "two", "at", "minimum", "long"]
         for b in batches:
             for part in slices(b["text"].str.len(), CHUNK_CHARS):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpoint_dir_set, id_type, ids_and_texts, slices, unused
+from .common import Scratch, checkpoint_dir_set, id_type, ids_and_texts, release_unused, slices, unused
 from .shingles import grams, mix, word_hashes
 
 BANDS, ROWS = 24, 6  # a pair of similarity 0.85 misses all bands with probability 1.2e-5
@@ -71,6 +71,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str, n_bands: int
     """doc_id, n_shingles, a 128-bit key of the set, the hashes of its bands, its signature. Without words: 0 and nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         for b in batches:
             texts = b["text"].tolist()
             for part in slices(map(len, texts), CHUNK_CHARS):
@@ -122,6 +123,7 @@ def prune(pairs: DataFrame, percent: int, schema: str, long: bool, hashes: int =
     kind = np.uint8 if long else np.uint32
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         for b in batches:
             if len(b):
                 x, y = (np.frombuffer(b"".join(b[c]), kind).reshape(len(b), -1) for c in ("sig_a", "sig_b"))
@@ -158,6 +160,7 @@ class Linker:
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            release_unused()
             for b in batches:
                 texts = b["text"].tolist()
                 for part in slices(map(len, texts), CHUNK_CHARS):
@@ -170,6 +173,7 @@ class Linker:
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            release_unused()
             for b in batches:
                 texts = b["text"].tolist()
                 for part in slices(map(len, texts), CHUNK_CHARS):
@@ -183,6 +187,7 @@ class Linker:
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            release_unused()
             for b in batches:
                 texts = b["text"].tolist()
                 for part in slices(map(len, texts), CHUNK_CHARS):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ids_and_texts
+from .common import id_type, ids_and_texts, release_unused
 
 WHITE_PAIR = re.compile(r"\s\s|^\s|\s$")
 END = np.zeros(1, "<u4").tobytes()
@@ -203,6 +203,7 @@ def pack(
         raise ValueError("limits must be positive")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         from pyspark import TaskContext
 
         encode, block = encoder(vocabulary), []

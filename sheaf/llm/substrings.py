@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import Scratch, bounded_batches, id_type, join_counted, slices
+from .common import Scratch, bounded_batches, id_type, join_counted, release_unused, slices
 from .shingles import grams, mix, word_hashes
 
 GRAM = 5  # words of a fingerprint
@@ -63,6 +63,7 @@ def prints(docs: DataFrame, window: int) -> DataFrame:
     """g (fingerprint), doc_id, version and at (its word), of every window; one row where neighbouring windows share it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         for b in batches:
             texts, ids, versions = b["text"].tolist(), b["doc_id"].to_numpy(), b["version"].to_numpy()
             for part in slices(map(len, texts), CHUNK_CHARS):
@@ -104,6 +105,7 @@ def stretches(docs: DataFrame, window: int) -> DataFrame:
             yield int(k[a]), int(held[a]), int(held[z])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         for b in batches:
             texts = b["text"].tolist()
             for part in slices(map(len, texts), CHUNK_CHARS):
@@ -203,6 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = rows.join(small(gone, weight), ["doc_id", "version"], "left").select("doc_id", "text", "copy", "begins", "ends")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
         for b in batches:
             for part in slices(b["text"].str.len(), CHUNK_CHARS):
                 n, removed, kept = [], [], []
