@@ -10,7 +10,8 @@ know the smallest document of their run of words. The stretches are streamed thr
 13 words match, the state of the last 13 tells the first document that has them, and a document with a larger id loses them.
 
 Shards are bounded. A document's fingerprints keep together (so stretches stay long) unless they stand at more than GROUP_PLACES
-places; then each fingerprint is by itself, and one of more than GROUP_PLACES places is dealt out by whole windows.
+places; then each fingerprint is by itself. Where the different stretches of one key have over SHARD_WORDS words, they are dealt
+out window by window, after equal stretches have become one: a passage in a third of all documents is still a few stretches.
 
 Exact copies of a text skip all that: a window of theirs always starts in the first copy.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .common import Scratch, bounded_batches, id_type, join_counted, release_unused, slices
-from .shingles import grams, mix, word_hashes
+from .shingles import grams, word_hashes
 
 GRAM = 5  # words of a fingerprint
 GROUP_PLACES = 4_000  # places of fingerprints that share a key
@@ -76,31 +77,27 @@ def prints(docs: DataFrame, window: int) -> DataFrame:
 
 
 def keyed(p: DataFrame) -> DataFrame:
-    """Fingerprints of several documents: g, key (of its shard), single (is it dealt out by windows) and n (its places)."""
+    """Fingerprints of several documents: g, key (of its shard) and n (its places)."""
     several = p.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     together = F.sum("n").over(Window.partitionBy("lo"))  # at most the fingerprints of one document
-    key = F.when(together <= GROUP_PLACES, F.xxhash64("lo")).otherwise(F.xxhash64(F.lit(1), "g"))
-    return several.select("g", key.alias("key"), ((together > GROUP_PLACES) & (F.col("n") > GROUP_PLACES)).alias("single"), "n")
+    return several.select("g", F.when(together <= GROUP_PLACES, F.xxhash64("lo")).otherwise(F.xxhash64(F.lit(1), "g")).alias("key"), "n")
 
 
 def stretches(docs: DataFrame, window: int) -> DataFrame:
     """key, doc_id, version, start (word) and words (hashes) of the runs of windows whose fingerprints have one key.
 
-    `docs` has, of each document, at, keys and single: lists of the places, keys and kinds of its fingerprints.
+    `docs` has, of each document, at and keys: lists of the places and keys of its fingerprints.
     """
 
-    def cut(w: Windows, i: int, at, key, single) -> Iterator[tuple[int, int, int]]:
+    def cut(w: Windows, i: int, at, keys) -> Iterator[tuple[int, int, int]]:
         """(key, first window, last window) of one text."""
         own = w.place[w.w_starts[i] : w.w_starts[i + 1]] - w.g_starts[i]
         order = np.argsort(at)
-        at, key, single = np.asarray(at)[order], np.asarray(key, np.int64)[order], np.asarray(single, bool)[order]
+        at, keys = np.asarray(at)[order], np.asarray(keys, np.int64)[order]
         found = np.minimum(np.searchsorted(at, own), len(at) - 1)
         held = np.flatnonzero(at[found] == own)
-        k, alone = key[found[held]], single[found[held]]
-        if alone.any():  # the window itself is the key
-            h, _ = grams(w.words[w.starts[i] : w.starts[i + 1]], np.array([0, w.starts[i + 1] - w.starts[i]]), window, short=False)
-            k = np.where(alone, mix(h[held]).view(np.int64), k)
-        ends = np.flatnonzero((np.diff(held) > 1) | (k[1:] != k[:-1]) | alone[1:] | alone[:-1])
+        k = keys[found[held]]
+        ends = np.flatnonzero((np.diff(held) > 1) | (k[1:] != k[:-1]))
         for a, z in zip(np.r_[0, ends + 1].tolist(), np.r_[ends, len(held) - 1].tolist(), strict=True):
             yield int(k[a]), int(held[a]), int(held[z])
 
@@ -111,12 +108,29 @@ def stretches(docs: DataFrame, window: int) -> DataFrame:
             for part in slices(map(len, texts), CHUNK_CHARS):
                 w = Windows(texts[part], window)
                 rows, out = b.iloc[part], []
-                for i, (d, v, *places) in enumerate(zip(*(rows[c] for c in ("doc_id", "version", "at", "keys", "single")), strict=True)):
+                for i, (d, v, *places) in enumerate(zip(*(rows[c] for c in ("doc_id", "version", "at", "keys")), strict=True)):
                     words = w.words[w.starts[i] : w.starts[i + 1]]
                     out += [(k, d, v, a, words[a : z + window].tobytes()) for k, a, z in cut(w, i, *places)]
                 yield pd.DataFrame(out, columns=["key", "doc_id", "version", "start", "words"])
 
-    return docs.select("doc_id", "version", "text", "at", "keys", "single").mapInPandas(run, f"key bigint, doc_id {id_type(docs)}, version bigint, start int, words binary")
+    return docs.select("doc_id", "version", "text", "at", "keys").mapInPandas(run, f"key bigint, doc_id {id_type(docs)}, version bigint, start int, words binary")
+
+
+def single_windows(contents: DataFrame, window: int) -> DataFrame:
+    """Each window of some contents: k1 and k2 of the content, at (its first word there), key (the window's hash), words, first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_unused()
+        for b in batches:
+            for part in slices((len(x) for x in b["words"]), CHUNK_CHARS):
+                out = []
+                for k1, k2, words, first in zip(*(b[c].iloc[part] for c in ("k1", "k2", "words", "first")), strict=True):
+                    x = np.frombuffer(words, np.uint64)
+                    keys, _ = grams(x, np.array([0, len(x)]), window, short=False)
+                    out += [(k1, k2, a, int(k), words[8 * a : 8 * (a + window)], first) for a, k in enumerate(keys.view(np.int64))]
+                yield pd.DataFrame(out, columns=["k1", "k2", "at", "key", "words", "first"])
+
+    return contents.select("k1", "k2", "words", "first").mapInPandas(run, f"k1 bigint, k2 bigint, at int, key bigint, words binary, first {id_type(contents, 'first')}")
 
 
 def match(contents: DataFrame, window: int) -> DataFrame:
@@ -157,10 +171,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFr
 
     p = prints(own, window)
     told = scratch.store(keyed(p), "keyed")
-    place = F.struct("at", "key", "single").alias("place")
+    place = F.struct("at", "key").alias("place")
     held = join_counted(p, told, ["g"], "n", F.col("doc_id")).select("doc_id", "version", place)
     held = held.groupBy("doc_id", "version").agg(F.collect_set("place").alias("p"))  # of one document
-    held = held.select("doc_id", "version", F.col("p.at").alias("at"), F.col("p.key").alias("keys"), F.col("p.single").alias("single"))
+    held = held.select("doc_id", "version", F.col("p.at").alias("at"), F.col("p.key").alias("keys"))
     held = scratch.store(held, "places")
     weight = held.agg(F.coalesce(F.sum(F.size("at") + 10), F.lit(0))).first()[0]
     cut = scratch.store(stretches(own.join(small(held, weight), ["doc_id", "version"]), window), "stretches")
@@ -170,10 +184,18 @@ def find_repeats(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFr
     names = [F.xxhash64("key", "words").alias("k1"), F.xxhash64(F.lit(1), "words", "key").alias("k2")]
     contents = cut.groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("key", "words", "first", "n", *names)
     contents = scratch.store(contents, "contents")
-    total = contents.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0))).first()[0]
-    shards = int(total // SHARD_WORDS) + 1
-    found = match(contents.withColumn("shard", F.pmod("key", F.lit(shards))), window)
-    found = scratch.store(found.join(contents.select("k1", "k2", "n"), ["k1", "k2"]), "found")
+    n_words = F.sum(F.length("words") / 8)
+    total = contents.agg(F.coalesce(n_words, F.lit(0))).first()[0]
+    shard = F.pmod("key", F.lit(int(total // SHARD_WORDS) + 1)).alias("shard")
+    large = scratch.store(contents.groupBy("key").agg(n_words.alias("w")).where(F.col("w") > SHARD_WORDS).select("key"), "large")
+    large = small(large, large.count())
+    found = match(contents.join(large, "key", "left_anti").select(shard, "k1", "k2", "words", "first"), window)
+    apart = scratch.store(single_windows(contents.join(large, "key", "left_semi"), window), "apart")
+    again = apart.groupBy("key", "words").agg(F.min("first").alias("first")).select(shard, F.col("key").alias("k1"), F.xxhash64(F.lit(2), "words").alias("k2"), "words", "first")
+    told = match(again, window).select(F.col("k1").alias("key"), F.col("k2").alias("w2"), "spans")
+    moved = F.transform("spans", lambda x: F.struct((x["begin"] + F.col("at")).alias("begin"), (x["end"] + F.col("at")).alias("end"), x["first"].alias("first")))
+    parts = apart.withColumn("w2", F.xxhash64(F.lit(2), "words")).join(told, ["key", "w2"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("spans"))  # of one content
+    found = scratch.store(found.unionByName(parts).join(contents.select("k1", "k2", "n"), ["k1", "k2"]), "found")
     places = cut.select("doc_id", "version", "start", *names)
     gone = join_counted(places, found, ["k1", "k2"], "n", F.struct("doc_id", "start")).select("doc_id", "version", "start", F.filter("spans", lambda x: x["first"] < F.col("doc_id")).alias("spans"))
     gone = gone.where(F.size("spans") > 0).groupBy("doc_id", "version").agg(
@@ -181,7 +203,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFr
         F.flatten(F.collect_list(F.transform("spans", lambda x: x["end"] + F.col("start")))).alias("ends"),
     )  # spans of one document
     gone = scratch.store(gone, "spans")
-    scratch.drop("stretches", "contents", "found")
+    scratch.drop("stretches", "contents", "found", "large", "apart")
     return gone, copies
 
 
