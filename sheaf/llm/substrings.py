@@ -10,7 +10,7 @@ know the smallest document of their run of words. The stretches are streamed thr
 13 words match, the state of the last 13 tells the first document that has them, and a document with a larger id loses them.
 
 Shards are bounded. A document's fingerprints keep together (so stretches stay long) unless they stand at more than GROUP_PLACES
-places; then each fingerprint is by itself. Where the different stretches of one key have over SHARD_WORDS words, they are dealt
+places; then each fingerprint is by itself. Where the different stretches of one key have over KEY_WORDS words, they are dealt
 out window by window, after equal stretches have become one: a passage in a third of all documents is still a few stretches.
 
 Exact copies of a text skip all that: a window of theirs always starts in the first copy.
@@ -32,6 +32,7 @@ from .shingles import grams, word_hashes
 GRAM = 5  # words of a fingerprint
 GROUP_PLACES = 4_000  # places of fingerprints that share a key
 SHARD_WORDS = 40_000  # words of one automaton, besides its largest key
+KEY_WORDS = 150_000  # words of a key that still go into one automaton, some 100 MB; a larger key is dealt out by windows
 CHUNK_CHARS = 400_000
 BROADCAST_ROWS = 500_000
 
@@ -187,7 +188,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFr
     n_words = F.sum(F.length("words") / 8)
     total = contents.agg(F.coalesce(n_words, F.lit(0))).first()[0]
     shard = F.pmod("key", F.lit(int(total // SHARD_WORDS) + 1)).alias("shard")
-    large = scratch.store(contents.groupBy("key").agg(n_words.alias("w")).where(F.col("w") > SHARD_WORDS).select("key"), "large")
+    large = scratch.store(contents.groupBy("key").agg(n_words.alias("w")).where(F.col("w") > KEY_WORDS).select("key"), "large")
     large = small(large, large.count())
     found = match(contents.join(large, "key", "left_anti").select(shard, "k1", "k2", "words", "first"), window)
     apart = scratch.store(single_windows(contents.join(large, "key", "left_semi"), window), "apart")

@@ -75,7 +75,8 @@ def brute(rows, window):
 
 @pytest.mark.parametrize("window", [13, 6])
 def test_against_brute_force(spark, monkeypatch, window):
-    monkeypatch.setattr(substrings, "SHARD_WORDS", 120)  # all three kinds of keys
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 120)
+    monkeypatch.setattr(substrings, "KEY_WORDS", 120)  # all three kinds of keys
     monkeypatch.setattr(substrings, "GROUP_PLACES", 12)
     rng = random.Random(window)
     word = lambda: rng.choice("abcdefgh") + rng.choice(["", "", "é", "1"])
