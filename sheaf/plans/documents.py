@@ -288,10 +288,10 @@ def header_words(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT o_orderkey, round(o_totalprice / CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 1 END, 3) AS v FROM orders)
+WITH v AS (SELECT o_orderkey, o_totalprice / CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 1 END AS v FROM orders)
 SELECT o_orderkey, CASE WHEN v = floor(v) THEN CASE WHEN abs(v) >= 10000 THEN format('{:,}', v::BIGINT) ELSE v::BIGINT::VARCHAR END ELSE regexp_replace(regexp_replace(CASE WHEN abs(v) >= 10000 THEN format('{:,.4f}', v) ELSE format('{:.4f}', v) END, '0+$', ''), '\\.$', '') END AS shown FROM v""")
 def formatted_values(spark, sf_dir):
-    v = F.round(F.col("o_totalprice") / F.when(F.col("o_orderkey") % 2 == 0, 100).otherwise(1), 3)
+    v = F.col("o_totalprice") / F.when(F.col("o_orderkey") % 2 == 0, 100).otherwise(1)
     return table(spark, sf_dir, "orders").select("o_orderkey", V.format_value(v).alias("shown"))
 
 
