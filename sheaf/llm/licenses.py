@@ -69,7 +69,7 @@ TEMPLATES = {
     "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, <<any;v. 2.0|version 2.0>>. If a copy of the MPL was not
         distributed with this file, You can obtain one at <<any;http|https>> <<optional>>www.<<end>> mozilla.org/MPL/2.0/""",
     "lgpl-notice": "<<any;released|licensed|distributed>> under <<optional>>the terms of<<end>> the <<optional>>GNU<<end>> <<any;lesser|library>> general public license <<optional>>, <<any;version|v>> <<any;2|2.1|3|2.0|3.0>><<end>>",
-    "cc0": "<<any;released|licensed|distributed|available|dedicated>> <<any;under|to>> <<optional>>the<<end>> <<any;CC0|creative commons zero|public domain under CC0>> <<optional>>1.0 <<optional>>universal<<end>><<end>>",
+    "cc0": "<<any;released|licensed|distributed|available|dedicated>> <<any;under|to>> <<optional>>the<<end>> <<optional>>creative commons<<end>> <<optional>>public domain under<<end>> CC0 <<optional>>1.0 <<optional>>universal<<end>><<end>>",
     "cc-by": "<<any;released|licensed|distributed|available>> under <<optional>>a<<end>> <<any;CC|creative commons>> <<any;BY|attribution>> <<any;4.0|3.0|2.5|2.0|4.0 international>>",
     "cc-by-sa": "<<any;released|licensed|distributed|available>> under <<optional>>a<<end>> <<any;CC|creative commons>> <<any;BY SA|attribution sharealike>> <<any;4.0|3.0|2.5|2.0>>",
     "cc-by-nc": "<<any;released|licensed|distributed|available>> under <<optional>>a<<end>> <<any;CC|creative commons>> <<any;BY NC|attribution noncommercial>> <<any;4.0|3.0|2.5|2.0>>",
