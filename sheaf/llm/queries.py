@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheaf.session import table
 
-from . import decontam, flac, langid, licenses, linededup, neardup, packing, pii, secrets, substrings
+from . import binpack, decontam, flac, langid, licenses, linededup, neardup, packing, pii, prefixes, secrets, spelling, substrings
 
 
 def op1_secret_spans(spark, sf_dir):
@@ -55,6 +55,18 @@ def op10_spaced_seed_overlaps(spark, sf_dir):
     return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_heavy_paths(spark, sf_dir):
+    return prefixes.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
+def op13_configuration_lp(spark, sf_dir):
+    return binpack.best_fit_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_spans": op1_secret_spans,
     "op2_flac_media": op2_flac_media,
@@ -66,10 +78,14 @@ QUERIES = {
     "op8_private_terms": op8_private_terms,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_spaced_seed_overlaps": op10_spaced_seed_overlaps,
+    "op11_heavy_paths": op11_heavy_paths,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_configuration_lp": op13_configuration_lp,
     "pcm_blocks_of_documents": pcm_blocks_of_documents,
     "packed_conversations": packed_conversations,
 }
 ORACLES: dict[str, str] = {
     "op3_line_winnowing": linededup.LINE_SQL,
     "op9_suffix_automata": substrings.REPEAT_SQL,
+    "op11_heavy_paths": prefixes.TRIE_SQL,
 }
