@@ -2,8 +2,8 @@
 
 A configuration is a multiset of lengths that fits a bin. The program covers every length as often as it occurs with the least
 number of configurations; it has more columns than could be listed, so it is solved by multiplicative weights: a length's weight
-falls with the share of it that is covered by now, and an unbounded knapsack over the bin's capacity, solved by dynamic
-programming, prices the configurations by these weights. Everything here works on the histogram, which has at most as many
+grows with what covering it has cost, and an unbounded knapsack over the bin's capacity, solved by dynamic programming, prices
+the configurations by these weights. Everything here works on the histogram, which has at most as many
 entries as a bin has places, whatever the table's size.
 """
 
@@ -14,6 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 
 
+LONG_FIRST = 8  # odds of a length go with this power of it: what is hard to place goes first
+
+
 def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     """best[c]: the largest value of a multiset of `lengths` (ascending) of total at most c."""
     best = np.zeros(capacity + 1)
@@ -33,59 +36,76 @@ class Fractional:
 
 
 def solve(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: float = 4.0, tolerance: float = 0.005, part: float = 0.5, near: float = 0.02, rounds: int = 80, seed: int = 0,
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, passes: int = 4, eta: float = 1.0, tolerance: float = 0.005, part: float = 0.5, rounds: int = 60, seed: int = 0,
 ) -> Fractional:
     """Multiplicative weights. lengths: ascending and distinct; counts: how often each occurs.
 
-    A round prices once: a length is worth its tokens times exp(-eta * the covered share of its count). Of the configurations worth
-    at least 1 - tolerance of the best, several are traced back through the table of the dynamic program, a length at a time,
-    with odds by the stock left; each is raised by `part` of what its scarcest length allows, so nothing is covered twice. Covered
-    lengths drop out. It ends when `near` of all tokens are left, which rounding deals with. Any weights give a lower bound, the
-    total weight over the best configuration's; the largest one is kept. The draws are seeded: equal histograms, equal plans.
+    A length is worth its tokens times a weight. A round prices once by these worths; of the configurations worth at least
+    1 - tolerance of the best, several are traced back through the table of the dynamic program, a length at a time, with odds by
+    the stock left that favour long pieces, and each is raised by `part` of what its scarcest length allows, so nothing is
+    covered twice; covered lengths drop out. A pass ends when all is covered. Then a length's weight is multiplied by what it
+    has cost to the power eta: the mean of capacity over tokens of the configurations that took it. The next pass begins anew
+    with these weights. Any weights give a lower bound, the total worth over the best configuration's; the pass with the
+    fewest bins and the largest bound are kept. The draws are seeded: equal histograms, equal plans.
     """
     draw = np.random.default_rng(seed)
-    stock, shares, bound = counts.astype(float), {}, 0.0
-    most = near * float((lengths * counts).sum())
-    for _ in range(rounds):
-        left = stock > 1e-3 * counts
-        if (lengths * stock).sum() <= most or not left.any():
-            break
-        where = np.flatnonzero(left)
-        sizes, share = lengths[where], stock[where] / counts[where]
-        weight = np.exp(eta * (share - share.max()))
-        value = sizes * weight
-        best = knapsack(sizes, value, capacity)
-        bound = max(bound, float((value * counts[where]).sum() / best[capacity]))
-        rest, n_of, failed, found = stock[where], counts[where], 0, 0
-        for luck in draw.random((max(64, len(sizes) // 4), 16)).tolist():
-            room, slack, config = capacity, tolerance * best[capacity], []
-            while k := int(np.searchsorted(sizes, room, "right")):
-                loss = best[room] - (value[:k] + best[room - sizes[:k]])
-                good = np.flatnonzero((loss <= slack) & (rest[:k] > 1e-3 * n_of[:k]))
-                if not len(good):
-                    config = []
-                    break
-                odds = np.cumsum(rest[good])
-                i = int(good[min(int(np.searchsorted(odds, luck[len(config) % 16] * odds[-1], "right")), len(good) - 1)])
-                config.append(i)
-                slack -= max(0.0, float(loss[i]))
-                room -= int(sizes[i])
-            if not config:  # what would be worth enough has run out meanwhile: other prices are due
-                failed += 1
-                if failed > 8:
-                    break
-                continue
-            found += 1
-            at, n = np.unique(config, return_counts=True)
-            often = float((rest[at] / n).min())
-            often = often if often < 1 else part * often
-            rest[at] -= often * n
-            key = tuple(sizes[sorted(config, reverse=True)].tolist())
-            shares[key] = shares.get(key, 0.0) + often
-        stock[where] = rest
-        if not found:
+    place = {int(n): i for i, n in enumerate(lengths)}
+    weights, bound, kept = np.zeros(len(lengths)), 0.0, None
+    for _ in range(passes):
+        stock, shares = counts.astype(float), {}
+        for _ in range(rounds):
+            where = np.flatnonzero(stock > 1e-3 * counts)
+            if not len(where):
+                break
+            sizes, n_of, rest = lengths[where], counts[where], stock[where]
+            value = sizes * np.exp(weights[where] - weights[where].max())
+            best = knapsack(sizes, value, capacity)
+            bound = max(bound, float((value * n_of).sum() / best[capacity]))
+            failed = 0
+            for luck in draw.random((max(64, len(sizes) // 4), 16)).tolist():
+                config = traced(sizes, value, best, rest > 1e-3 * n_of, rest, (tolerance + 1e-9) * best[capacity], luck)
+                if config is None:  # what would be worth enough has run out meanwhile: other prices are due
+                    failed += 1
+                    if failed > 8:
+                        break
+                    continue
+                at, n = np.unique(config, return_counts=True)
+                often = float((rest[at] / n).min())
+                often = often if often < 1 else part * often
+                rest[at] -= often * n
+                key = tuple(sizes[sorted(config, reverse=True)].tolist())
+                shares[key] = shares.get(key, 0.0) + often
+            stock[where] = rest
+        if (stock > 1e-3 * counts).any():  # rounds ran out: what is left, alone
+            for i in np.flatnonzero(stock > 1e-3 * counts):
+                key = (int(lengths[i]),) * (capacity // int(lengths[i]))
+                shares[key] = shares.get(key, 0.0) + float(stock[i]) / len(key)
+        if kept is None or sum(shares.values()) < sum(kept.values()):
+            kept = shares
+        cost = np.zeros(len(lengths))
+        for c, x in shares.items():
+            for n in c:
+                cost[place[n]] += x * capacity / sum(c)
+        weights += eta * np.log(np.maximum(cost / counts, 1e-9))
+        if sum(kept.values()) <= 1.002 * bound:
             break
-    return Fractional(shares, bound)
+    return Fractional(kept, bound)
+
+
+def traced(sizes: np.ndarray, value: np.ndarray, best: np.ndarray, there: np.ndarray, stock: np.ndarray, slack: float, luck: list[float]) -> list[int] | None:
+    """Places of the lengths of one configuration that loses at most `slack` of the best value, of lengths that are there; None if the draw fails."""
+    room, config = len(best) - 1, []
+    while k := int(np.searchsorted(sizes, room, "right")):
+        loss = best[room] - (value[:k] + best[room - sizes[:k]])
+        good = np.flatnonzero((loss <= slack) & there[:k])
+        if not len(good):
+            return config if config and best[room] <= slack else None
+        odds = np.cumsum(stock[good] * (sizes[good] / sizes[-1]) ** LONG_FIRST)
+        i = int(good[min(int(np.searchsorted(odds, luck[len(config) % len(luck)] * odds[-1], "right")), len(good) - 1)])
+        config.append(i)
+        slack -= max(0.0, float(loss[i]))
+        room -= int(sizes[i])
+    return config
 
 
 @dataclass
