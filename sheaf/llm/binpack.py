@@ -8,6 +8,7 @@ pieces of its length: ranks come from counts by task, so no length is ever gathe
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,60 +20,106 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_type, ids_and_texts, release_unused
+from .common import Scratch, id_type, ids_and_texts, release_unused, slices
 from .configlp import Plan, plan
 
 BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
+# Blanks and characters that the normaliser at most lower-cases, one by one, and the vocabulary's pre-tokens of them.
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\t-\r a-zà-öø-ÿß0-9]+")
 PIECE = "doc_id {id}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, task bigint, nth bigint"
 PLACED = "doc_id {id}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
-class ChunkEncoder:
-    """Ids by a `tokenizers` file whose pre-tokens never hold a blank and whose normaliser treats what blanks part on its own:
-    stretches between blanks are encoded once and kept, in two generations of `most` each, so that memory is bounded."""
+class WordEncoder:
+    """Ids by a `tokenizers` file whose pre-tokens never hold a blank, whose normaliser treats what blanks part on its own, and whose
+    last token of each pre-token ends with a suffix. Texts of plain Latin letters are cut into pre-tokens here, and these are
+    encoded once and kept, in two generations of `most` each, so that memory is bounded; many are encoded as one text and told
+    apart by the suffix. Other stretches between blanks, and those that may hold an added token, go to the library as they are."""
 
-    LONGEST = 48
+    LONGEST, AT_ONCE, AS_IT_IS = 48, 1000, "\0"
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def apart(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens."""
+        out = []
+        for i in range(0, len(words), self.AT_ONCE):
+            some = words[i : i + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(some) else self.apart(some)  # noqa: B905
+        return out
 
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in batch]
+    def keys(self, text: str) -> list[str]:
+        """Pre-tokens of a text, and marked stretches that the library must see as they are."""
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return WORDS.findall(text.lower())
+        out = []
+        for c in BLANKS.split(text):
+            if PLAIN.fullmatch(c) and "<|" not in c:
+                out += WORDS.findall(c.lower())
+            else:
+                out.append(self.AS_IT_IS + c)
+        return out
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        chunks = [c for c in BLANKS.split(text) if c]
-        young, old = self.young, self.old
-        missing = [c for c in dict.fromkeys(chunks) if c not in young]
+    def learn(self, keys: list[str]) -> None:
+        """Puts the ids of keys that the young generation lacks there."""
+        new = []
+        for k in keys:
+            ids = self.old.get(k)
+            if ids is None:
+                new.append(k)
+            else:
+                self.young[k] = ids
+        words = [k for k in new if k[0] != self.AS_IT_IS]
+        others = [k for k in new if k[0] == self.AS_IT_IS]
+        self.young.update(zip(words, self.together(words), strict=True))
+        self.young.update(zip(others, self.apart([k[1:] for k in others]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit numbers."""
+        split, young = [self.keys(t) for t in texts], self.young
+        missing = [k for k in set().union(*split) if k not in young]
         if missing:
-            again = [c for c in missing if c in old]
-            young.update((c, old[c]) for c in again)
-            new = [c for c in missing if c not in old] if again else missing
-            if new:
-                young.update(zip(new, self.ids(new), strict=True))
-        out = b"".join([young[c] for c in chunks])
-        for c in missing:
-            if len(c) > self.LONGEST:
-                del young[c]
+            self.learn(missing)
+        out = [b"".join(map(young.__getitem__, ks)) for ks in split]
+        for k in missing:
+            if len(k) > self.LONGEST:
+                del young[k]
         if len(young) > self.most:
-            self.old, self.young = young, {}
+            self.young, self.old = {}, young
         return out
 
 
 @lru_cache(maxsize=1)
-def chunk_encoder(path: str | None) -> ChunkEncoder:
+def word_encoder(path: str | None) -> WordEncoder:
     """One for all tasks of a process; without a path, the public word-end vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return ChunkEncoder(path)
+    return WordEncoder(path)
+
+
+def encoded(batches: Iterator[pd.DataFrame], encode: WordEncoder, most_chars: int = 1 << 19) -> Iterator[tuple[object, bytes]]:
+    """(doc_id, ids) of all rows, some texts at a time."""
+    for b in batches:
+        for part in slices(map(len, b["text"]), most_chars):
+            yield from zip(b["doc_id"][part], encode(b["text"][part].tolist()), strict=True)
 
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1, keep_ids: bool = True, tokenizer: str | None = None) -> DataFrame:
@@ -84,21 +131,20 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         release_unused()
         from pyspark import TaskContext
 
-        encode, task, seen, rows = chunk_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (max_tokens + 1), []
+        encode, task, seen, rows = word_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (max_tokens + 1), []
         size = 0
-        for b in batches:
-            for d, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = encode(text) + end
-                n = len(ids) // 4
-                for piece, at in enumerate(range(0, n, max_tokens)):
-                    k = min(max_tokens, n - at)
-                    own = ids[4 * at : 4 * (at + k)]
-                    rows.append((d, piece, at, k, own if keep_ids else None, zlib.crc32(own), task, seen[k]))
-                    seen[k] += 1
-                    size += k
-                if size > 1 << 20:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, size = [], 0
+        for d, ids in encoded(batches, encode):
+            ids += end
+            n = len(ids) // 4
+            for piece, at in enumerate(range(0, n, max_tokens)):
+                k = min(max_tokens, n - at)
+                own = ids[4 * at : 4 * (at + k)]
+                rows.append((d, piece, at, k, own if keep_ids else None, zlib.crc32(own), task, seen[k]))
+                seen[k] += 1
+                size += k
+            if size > 1 << 20:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
