@@ -66,8 +66,27 @@ def test_computed_answers(spark, store):
     assert rows.citations[0]["rows"].startswith("rows ") and rows.citations[0]["columns"] == ["Units"]
     assert ask("Sum of the revenue?", '{"sql": "DROP TABLE sales_q1"}').status == "abstained" and ask("Sum of the revenue?", '{"sql": null}') is None
     assert ask("Sum of the revenue?", '{"sql": null}', other=False).status == "abstained" and ask("Who wrote this?", "") is None
-    assert answers.ranges({3, 4, 5, 9, 10, 1}) == "1, 3-5, 9-10" and answers.shown(12345.5) == "12,345.5" and answers.shown(7.0) == "7"
-    assert answers.verified_label("about 7.3 of 50", "top 50?", [(7.3001,)]) == "about 7.3 of 50" and answers.verified_label("8 things", "", [(7,)]) == ""
+    assert answers.ranges({3, 4, 5, 9, 10, 1}) == "1, 3-5, 9-10"
+
+
+def test_small_results_as_text():
+    t = answers.Table(["name", "total_x", "share", "ok", "n"], ["string", "bigint", "double", "boolean", "decimal(10,2)"], [("a", 12345, 12345.5, True, 7), ("b 41", 12345, 7.0, None, None), ("c", 9999, 0.123456, False, 1)])
+    assert [t.printed(i) for i in range(5)] == [["a", "b 41", "c"], ["12,345", "12,345", "9999"], ["12,345.5", "7", "0.1235"], ["1", "", "0"], ["7", "", "1"]]
+    assert answers.lead("highest", "x", t) == "a and b 41 are tied for the highest total x: 12,345." and answers.lead("lowest", "x", t) == "x" and answers.lead(None, "x", t) == "x"
+    assert answers.grid(t, True).endswith("c | 9999 | 0.1235 | 0 | 1\n(showing the first 3 of more than 3 result rows)")
+    for label, question, kept in (("0.12 of 50", "top 50?", True), ("41 and 3 rows", "", True), ("8 things", "", False), ("", "", True)):
+        assert (answers.verified_label(label, question, t) == label) is kept
+    one = answers.Table(["total_revenue"], ["double"], [(1234567.0,)])
+    assert answers.lead(None, "", one) == "Total revenue: 1,234,567" and answers.lead(None, "", answers.Table(["x"], ["int"], [])) == answers.lead("highest", "", answers.Table(["x"], ["int"], [(None,)])) == "No matching rows were found."
+
+
+def test_what_a_query_writer_is_told(spark, store):
+    columns = answers.catalog_frame(spark, store.session_tables("chat"))
+    told = answers.describe_tables(columns, {"sales_q1"}, {"sales_q1": [2, "ORD-001"]})
+    first, second = told.split("\n\n")
+    assert first.startswith('TABLE "sales_q1"  -- file sales_q1.xlsx, sheet Q1; 60 data rows (sheet rows 2-61)\n  "_row" INTEGER  -- the row number in the original sheet\n  "Order_ID" TEXT')
+    assert '"Region" TEXT  -- values: North, South, East, West' in first and first.endswith("example row: 2 | ORD-001") and second.startswith('TABLE "campaign_results"')
+    assert '"Returned" INTEGER  -- flag: 1 = yes/true, 0 = no/false' in first and '"Date" TEXT  -- ' in first and "ISO date text" in first
 
 
 def test_a_tables_replacement_and_removal(spark, tmp_path):

@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import uuid
+from pathlib import PurePosixPath
 
 import duckdb
 import pytest
@@ -59,7 +60,7 @@ PLAIN = {
     "split_text_pieces": lambda spark: sorted(((r.doc_id, i, p) for r in rows_of(spark, "documents") for i, p in enumerate(chunking.split_text(r.text or ""))), key=repr),
     "rate_limit_admissions": plain_admissions,
     "vector_point_ids": lambda spark: sorted(((r.doc_id, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.source}:{r.doc_id}"))) for r in rows_of(spark, "documents")), key=repr),
-    "clean_file_names": lambda spark: sorted(((r.page_id, r.url.rsplit("/", 1)[-1][:120]) for r in rows_of(spark, "pages")), key=repr),
+    "clean_file_names": lambda spark: sorted(((r.page_id, PurePosixPath(r.url).name) for r in rows_of(spark, "pages")), key=repr),
 }
 
 

@@ -44,7 +44,8 @@ def test_iif_over_all_orders(spark):
 def test_a_sheet_keeps_all_rows():
     raw = "name,amount\n" + "".join(f"row{i},{i}\n" for i in range(100_005))
     out = read_csv(raw.encode())
-    assert sum(len(e["rows"]) - 1 for e in out if e.get("rows")) == 100_005 and any("100005 rows" in e["text"] for e in out)
+    assert sum(len(e["rows"]) - 1 for e in out if e.get("rows")) == 100_005
+    assert any("100005" in e["text"].replace(",", "") for e in out if not e.get("rows"))  # its summary says so
 
 
 def test_p95_ranks_one_range(spark):
