@@ -39,7 +39,7 @@ class WordEncoder:
 
     LONGEST, AT_ONCE, AS_IT_IS = 48, 1000, "\0"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -93,7 +93,7 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian 32-bit numbers."""
         split, young = [self.keys(t) for t in texts], self.young
-        missing = [k for k in set().union(*split) if k not in young]
+        missing = set().union(*split).difference(young)
         if missing:
             self.learn(missing)
         out = [b"".join(map(young.__getitem__, ks)) for ks in split]
