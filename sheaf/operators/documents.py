@@ -163,6 +163,21 @@ def segments(pages: DataFrame, document: str, page: str, boundary: Column) -> Da
     return pages.withColumn("segment", F.sum(mark).over(Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def logical_segments(pages: DataFrame, document: str, page: str, starts: Column) -> DataFrame:
+    """Logical documents in a bundle, from 1: `segment` grows at pages that look like a first page (`starts`), but each has two pages
+    at least before it may end; pages are numbered from 1 without gaps.
+
+    Of pages in a row that look so, every second one opens a segment, beginning with the first (page 1 always does). So it is
+    told by a page's place in its run, and nothing has to be carried from page to page but two counts.
+    """
+    w = Window.partitionBy(document).orderBy(page)
+    looks = F.coalesce(starts, F.lit(False)) | (F.col(page) == 1)
+    runs = pages.withColumn("looks__", looks).withColumn("run__", F.col(page) - F.sum(F.when(F.col("looks__"), 1).otherwise(0)).over(w))
+    place = F.row_number().over(Window.partitionBy(document, "looks__", "run__").orderBy(page))
+    opens = F.when(F.col("looks__") & (place % 2 == 1), 1).otherwise(0)
+    return runs.withColumn("opens__", opens).withColumn("segment", F.sum("opens__").over(w)).drop("looks__", "run__", "opens__")
+
+
 def swept_jobs(jobs: DataFrame, now: Column, status: str, owner: str, until: str, attempts: str, most: int = 3) -> DataFrame:
     """Jobs to take up again: queued ones without an owner and running ones whose lease is over; `action` is retry, or fail from `most` attempts on."""
     free = (F.col(status) == "queued") & F.col(owner).isNull()

@@ -17,12 +17,12 @@ def page_files(spark, sf_dir):
 
 @query()
 def html_elements(spark, sf_dir):
-    return extract.extract(page_files(spark, sf_dir)).select("path", "ordinal", "kind", "level", "text")
+    return extract.extract(page_files(spark, sf_dir), layouts=False).select("path", "ordinal", "kind", "level", "text")
 
 
 @query()
 def html_chunks(spark, sf_dir):
-    return chunking.chunk(extract.extract(page_files(spark, sf_dir))).select("path", "ordinal", "kind", "section", "text")
+    return chunking.chunk(extract.extract(page_files(spark, sf_dir), layouts=False)).select("path", "ordinal", "kind", "section", "text")
 
 
 @query()

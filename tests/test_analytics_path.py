@@ -189,12 +189,11 @@ def pdf(lines):
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"%%EOF"
 
 
-def test_simple_pdf_and_dates_in_sheets():
-    got = extract.read_pdf(pdf([(20, "Price list"), (12, "The Pro plan costs \\(now\\) 29 dollars"), (12, "per user."), (15, "Terms"), (12, "None.")]))
-    assert [(e["kind"], e.get("level"), e["text"]) for e in got] == [
+def test_simple_pdf_and_dates_in_sheets(spark):
+    raw = pdf([(20, "Price list"), (12, "The Pro plan costs \\(now\\) 29 dollars"), (12, "per user."), (15, "Terms"), (12, "None.")])
+    got = extract.extract(spark.createDataFrame([("a.PDF", bytearray(raw))], "path string, content binary")).orderBy("ordinal").collect()
+    assert [(e.kind, e.level, e.text) for e in got] == [
         ("heading", 1, "Price list"), ("paragraph", None, "The Pro plan costs (now) 29 dollars per user."), ("heading", 2, "Terms"), ("paragraph", None, "None.")]
-    with pytest.raises(ValueError):
-        extract.read_pdf(b"%PDF-1.4 nothing")
     assert extract.date_text("45658") == "2025-01-01" and extract.date_text("45658.5") == "2025-01-01 12:00:00"
     style = b'<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0.00&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
     assert extract.dated_styles(style) == {1, 2}
