@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .documents import largest_figures
+from .retrieval import top_k
 
 LEAST_PIXELS, MOST_OVERLAP, MOST_FIGURES, MOST_SIDE = 150, 0.7, 8, 1568
 BOX = ("x0", "y0", "x1", "y1")
@@ -51,13 +52,30 @@ def not_covered(figures: DataFrame, document: str = "doc_id", page: str = "page"
     return figures.groupBy(document, page).applyInPandas(run, figures.schema)
 
 
+def large_enough(figures: DataFrame) -> DataFrame:
+    """Those with a side of LEAST_PIXELS at least: smaller ones are icons or bullets."""
+    return figures.where(F.greatest("width", "height") >= LEAST_PIXELS)
+
+
 def chosen(figures: DataFrame, tables: DataFrame, document: str = "doc_id", page: str = "page", most: int = MOST_FIGURES) -> DataFrame:
     """(document, sha, area, rank): large enough pictures outside tables, the larger of those that overlap, each sha once, the largest first."""
-    large = figures.where((F.col("width") >= LEAST_PIXELS) & (F.col("height") >= LEAST_PIXELS))
-    kept = not_covered(outside_tables(large, tables, document, page), document, page)
+    kept = not_covered(outside_tables(large_enough(figures), tables, document, page), document, page)
     return largest_figures(kept.withColumn("area", F.col("width") * F.col("height")), document, "sha", "area", most)
 
 
+def collected(pictures: DataFrame, facts: DataFrame, most: int = MOST_FIGURES) -> DataFrame:
+    """The figures of files, of `sources.pictures.cut_out` and the pages' facts of `layout.elements`: path, key, locator, sha, area, rank.
+
+    Scanned pages have none: they are read by ocr. Of pictures that lie over each other on a page the larger stays; of equal ones
+    in a file the first; the largest come first, `most` of a file.
+    """
+    scans = facts.where("scanned").select("path", "page")
+    seen = large_enough(pictures.where("error IS NULL")).join(scans, ["path", "page"], "left_anti").drop("content")
+    apart = not_covered(seen.where("page IS NOT NULL"), "path", "page").unionByName(seen.where("page IS NULL"))
+    first = apart.groupBy("path", "sha").agg(F.min(F.struct("place", "key", "locator", (F.col("width") * F.col("height")).alias("area"))).alias("f"))
+    return top_k(first.select("path", "f.key", "f.locator", "sha", F.col("f.area").cast("bigint").alias("area"), "f.place"), ["path"], [F.desc("area"), F.asc("place")], most).drop("place")
+
+
 def shown_size(width: Column, height: Column) -> Column:
     """(width, height) after scaling down so that neither side is over MOST_SIDE."""
     scale = F.least(F.lit(1.0), MOST_SIDE / F.greatest(width, height))

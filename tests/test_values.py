@@ -62,7 +62,7 @@ def test_answers_are_verified_and_trimmed(spark):
 def test_figures(spark):
     schema = "doc_id int, page int, sha string, width int, height int, x0 double, y0 double, x1 double, y1 double"
     rows = [
-        (1, 1, "big", 400, 400, 0.0, 0.0, 100.0, 100.0), (1, 1, "in_big", 200, 200, 10.0, 10.0, 60.0, 60.0), (1, 1, "beside", 200, 200, 90.0, 0.0, 140.0, 50.0), (1, 1, "tiny", 149, 900, 200.0, 0.0, 300.0, 100.0),
+        (1, 1, "big", 400, 400, 0.0, 0.0, 100.0, 100.0), (1, 1, "in_big", 200, 200, 10.0, 10.0, 60.0, 60.0), (1, 1, "beside", 200, 200, 90.0, 0.0, 140.0, 50.0), (1, 1, "tiny", 149, 90, 200.0, 0.0, 300.0, 100.0),
         (1, 2, "in_table", 300, 300, 0.0, 0.0, 50.0, 50.0), (1, 3, "beside", 210, 200, 0.0, 0.0, 50.0, 50.0), (2, 1, "alone", 150, 150, 0.0, 0.0, 1.0, 1.0),
     ]
     tables = spark.createDataFrame([(1, 2, 0.0, 0.0, 50.0, 40.0), (1, 1, 200.0, 200.0, 210.0, 210.0)], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double")
