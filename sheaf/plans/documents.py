@@ -242,13 +242,13 @@ FIRST_LINE = """CASE WHEN l_returnflag = 'R' THEN 'Invoice ' WHEN l_suppkey % 3
 
 
 @query(rf"""
-WITH RECURSIVE p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS page, regexp_matches({FIRST_LINE}, '(?i)^(document|agreement|invoice|statement|passport|visa|application|form)\b') AS looks FROM lineitem),
+WITH RECURSIVE p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS page, regexp_matches({FIRST_LINE}, '(?i)^(document|agreement|invoice|statement|passport|visa|application|form)\b') AS looks FROM lineitem),
 r AS (SELECT l_orderkey, page, 1 AS segment, 1 AS held FROM p WHERE page = 1
 UNION ALL SELECT p.l_orderkey, p.page, CASE WHEN p.looks AND r.held > 1 THEN r.segment + 1 ELSE r.segment END, CASE WHEN p.looks AND r.held > 1 THEN 1 ELSE r.held + 1 END FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.page = r.page + 1)
 SELECT l_orderkey, page::BIGINT AS page, segment::BIGINT AS segment FROM r""")
 def bundle_segments(spark, sf_dir):
     """Orders as bundles: a line is a page; where its text begins like a first page a logical document may begin."""
-    page = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    page = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     pages = table(spark, sf_dir, "lineitem").select("l_orderkey", page.alias("page"), F.expr(FIRST_LINE).alias("text"))
     found = documents.logical_segments(pages, "l_orderkey", "page", F.col("text").rlike(layout.FIRST_PAGE))
     return found.select("l_orderkey", F.col("page").cast("long"), F.col("segment").cast("long"))

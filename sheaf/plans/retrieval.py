@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.operators import lifecycle, retrieval
+from sheaf.operators.vectorindex import VectorIndex
+from sheaf.operators.versioned import VersionedTable
 from sheaf.session import table
-from sheaf.storage import kept
+from sheaf.storage import kept, shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -168,3 +172,34 @@ SELECT bm.question_id, bm.doc_id, round(got / whole, 6) AS weighted FROM bm JOIN
 def idf_weighted_coverage(spark, sf_dir):
     s = scored(spark, sf_dir)
     return by_bm25(s).join(s.select("question_id", "doc_id", "weighted"), ["question_id", "doc_id"]).select("question_id", "doc_id", "weighted")
+
+
+def scratch_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 6 <> 0")
+def replaced_documents(spark, sf_dir):
+    """All documents written, a quarter replaced, a sixth deleted, and the first batch run once more, which changes nothing."""
+    d, t = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), VersionedTable(spark, scratch_folder(spark, "documents"), ["doc_id"])
+    t.replace(d, "first")
+    t.replace(d.where("doc_id % 4 = 0").withColumn("n_chars", F.col("n_chars") + 1), "second")
+    t.delete(d.where("doc_id % 6 = 0"))
+    t.replace(d, "first")
+    return t.live()
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 7 <> 0),
+q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, w), 6) AS score FROM e, q)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def maintained_vector_topk(spark, sf_dir):
+    """All vectors indexed, a third put in again after wrong ones, a seventh deleted; of each query 400 candidates by code are ranked exactly."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex(spark, scratch_folder(spark, "vectors")).create(v)
+    index.upsert(v.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    index.upsert(v.where("vec_id % 3 = 0"))
+    index.delete(v.where("vec_id % 7 = 0"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
+    return index.search(q, candidates=400).select("query_id", "vec_id", "score", F.col("rank").cast("long"))
