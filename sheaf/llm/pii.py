@@ -32,12 +32,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def matches(text: Column, pattern: Column | str, kind: str) -> Column:
-    """Spans of a pattern's matches; positions come from the lengths of matches and of what lies between them."""
+def bound(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used in there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def matches(text: Column, pattern: Column | str, kind: str, block: int = 256) -> Column:
+    """Spans of a pattern's matches; positions come from the lengths of matches and of what lies between them, summed up within
+    blocks and then over blocks, so that the work grows with the matches and not with their square."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).cast("bigint").alias("gap")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    zero = F.lit(0).cast("bigint")
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -45,7 +49,20 @@ def matches(text: Column, pattern: Column | str, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("value")).cast(SPAN)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def over(acc, x):
+        moved = F.transform(x["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")).cast(SPAN))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def spans(pairs):
+        firsts = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        none = F.struct(zero.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(pairs, i, F.lit(block)), none, step))
+        return F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")), over, lambda acc: F.flatten(acc["out"]))
+
+    def paired(found):
+        return F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).cast("bigint").alias("gap")))
+
+    return bound(bound(F.regexp_extract_all(text, pattern, F.lit(0)), paired), spans)
 
 
 def luhn(value: Column) -> Column:

@@ -1,7 +1,11 @@
 import hashlib
 import math
 import re
+import time
 
+from pyspark.sql import functions as F
+
+from sheaf.llm import pii
 from sheaf.llm.pii import find_private, private_report, sanitise
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -107,3 +111,14 @@ def test_rare_entities_back_off_to_domains_and_networks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: {s.value for s in r.spans if s.kind == "term"} for r in find_private(docs).collect()}
     assert all(got[i] == ({planted[i]} if i in planted else set()) for i in range(len(texts)))
+
+
+def test_spans_of_many_matches_in_one_text(spark):
+    n = 32_000
+    text = " ".join(f"é user{i}@d{i % 7}.example.com" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "a@b.c")], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r.s for r in df.select("doc_id", pii.matches(F.col("text"), pii.EMAIL, "email").alias("s")).collect()}
+    assert time.perf_counter() - began < 30  # not minutes
+    assert len(rows[1]) == n and rows[2] == [] and all(text[s.start : s.end] == s.value for s in rows[1][:: 997])
+    assert [(s.start, s.end) for s in rows[1]] == [m.span() for m in re.finditer(r"\S+@\S+", text)] and (rows[3][0].start, rows[3][0].end) == (0, 5)
