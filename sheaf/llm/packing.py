@@ -3,7 +3,7 @@
 Each document becomes its token ids and a closing id 0. Whole multiples of the sequence length are cut off as sequences of
 their own; what remains is packed under three limits at once: tokens, segments and loss-bearing tokens. The next piece for
 an open sequence is the one with the largest dot product of its demand and the room left, each dimension as a share of its
-limit. When none fits any more, the best piece is cut to the room left and its rest goes back. Blocks of `block_items`
+limit. When none fits any more, the piece of which most fits is cut to the room left and its rest goes back. Blocks of `block_items`
 documents are packed on their own, so a task holds a block, whatever the table's size.
 """
 
@@ -146,6 +146,8 @@ def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple
     live = np.lexsort((start, order[doc], -length))  # largest first
     doc, start, length, loss = doc[live], start[live], length[live], loss[live]
     share = np.stack([length / tokens, np.full(len(length), 1 / segments), loss / max(1, most_loss)])
+    behind = [0 if losses[d] is None else int(np.searchsorted(losses[d], losses[d][0], "right")) - 1 for d in doc.tolist()]  # where a document's loss-bearing tokens begin
+    prompt = np.maximum(np.array(behind, np.int64) - start, 0)  # tokens of a piece before that
     open_ = np.ones(len(length), bool)
     left = len(length)
     first = 0
@@ -161,12 +163,12 @@ def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple
                 score = share[0, tail] * room[0] + share[1, tail] * room[1] + share[2, tail] * room[2]
                 i = first + int(np.argmax(np.where(fit, score, -1.0)))
                 take = int(length[i])
-            else:  # cut the largest piece to the room left
-                i = first + int(np.argmax(open_[tail]))
-                take = min(room_t, int(length[i]))
-                d, a = int(doc[i]), int(start[i])
-                while take and loss_of(d, a, a + take) > room_l:
-                    take = take - 1 if losses[d] is not None else room_l
+            else:  # cut the piece of which the room left holds most: where loss is the limit, one with a long prompt
+                takes = np.where(open_[tail], np.minimum(np.minimum(length[tail], room_t), prompt[tail] + room_l), 0)
+                i = first + int(np.argmax(takes))
+                take = int(takes[i - first])
+                while take and loss_of(int(doc[i]), int(start[i]), int(start[i]) + take) > room_l:
+                    take -= 1  # only where loss doesn't simply begin behind a prompt
                 if not take:
                     break
             d, a, used = int(doc[i]), int(start[i]), int(take)
@@ -180,6 +182,7 @@ def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple
                 start[i] += used
                 length[i] -= used
                 loss[i] -= used_loss
+                prompt[i] = max(0, prompt[i] - used)
                 share[0, i], share[2, i] = length[i] / tokens, loss[i] / max(1, most_loss)
             while first < len(open_) and not open_[first]:
                 first += 1
@@ -239,11 +242,11 @@ def pack(
     return rows.mapInPandas(run, SCHEMA.format(id=id_type(docs, id_col)))
 
 
-def packing_report(docs: DataFrame, max_segments: int = 8, **options) -> DataFrame:
+def packing_report(docs: DataFrame, max_segments: int = 4, max_loss_tokens: int = 960, **options) -> DataFrame:
     """The pieces with a checksum in place of their ids. A text's first line, its heading, is prompt: it bears no loss."""
     text = F.col("text").cast("string")
     own = docs.select("doc_id", text.alias("text"), F.instr(text, "\n").alias("loss_from"))  # behind the first line break; 0 without one
-    r = pack(own, loss_from_col="loss_from", max_segments=max_segments, **options)
+    r = pack(own, loss_from_col="loss_from", max_segments=max_segments, max_loss_tokens=max_loss_tokens, **options)
     return r.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
@@ -261,7 +264,7 @@ def instruction_examples(turns: DataFrame) -> DataFrame:
     return both.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(prompt, "reply").alias("text"), F.length(prompt).alias("loss_from"))
 
 
-def conversation_report(turns: DataFrame, max_loss_tokens: int = 512, max_segments: int = 16, **options) -> DataFrame:
-    """Packs instruction examples under three limits that all bind: of a full sequence at most half may bear loss."""
+def conversation_report(turns: DataFrame, max_loss_tokens: int = 880, max_segments: int = 4, **options) -> DataFrame:
+    """Packs instruction examples under three limits that all bind: of a full sequence at most 880 tokens may bear loss."""
     r = pack(instruction_examples(turns), id_col="id", loss_from_col="loss_from", max_loss_tokens=max_loss_tokens, max_segments=max_segments, **options)
     return r.select(F.col("doc_id").alias("example_id"), "start", "length", "loss_tokens", "doc_tokens", "sequence_id", "offset")
