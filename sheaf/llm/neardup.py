@@ -8,8 +8,9 @@ Buckets can hold a third of all rows, so pairs within one are never all made. Te
 round every member of a bucket is paired with the bucket's smallest; their links give components. In the second round only
 members outside a bucket's largest component are paired, and only with members of other components: what is connected
 already needs no further link. Of two linked sets, most shingles stand in both; a member too many of whose shingles stand in
-no other open text is linked with none, and makes no pairs. Those left are close to the threshold more often, so they are
-compared by longer signatures.
+no other open text is linked with none, and makes no pairs. The others meet by their rarest shingles only: of two linked sets
+one stands among both's (an exact prefix filter), so texts that share boilerplate and little else don't meet. Those left are
+close to the threshold more often, so they are compared by longer signatures.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpoint_dir_set, id_type, ids_and_texts, release_unused, slices, unused
+from .common import HOT_SALTS, HOT_SHARE, Scratch, checkpoint_dir_set, id_type, ids_and_texts, join_counted, release_unused, slices, unused
 from .shingles import grams, mix, word_hashes
 
 BANDS, ROWS = 24, 6  # a pair of similarity 0.85 misses all bands with probability 1.2e-5
@@ -182,8 +183,8 @@ class Linker:
 
         return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, sig binary")
 
-    def shared(self, ids: DataFrame) -> DataFrame:
-        """doc_id, n (size of its set) and n_shared (shingles that another of the documents named has too)."""
+    def exploded(self, ids: DataFrame) -> DataFrame:
+        """doc_id and shingle of the documents named."""
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,19 +196,61 @@ class Linker:
                     x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                     yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].iloc[part].to_numpy(), [len(s) for s in sets]), "shingle": x.view(np.int64)})
 
-        rows = self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, shingle bigint")
-        one = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+        return self.docs.join(small(ids), "doc_id", "left_semi").mapInPandas(run, f"doc_id {id_type(self.docs)}, shingle bigint")
+
+    def shared(self, ids: DataFrame) -> DataFrame:
+        """doc_id, n (size of its set) and n_shared (shingles that another of the documents named has too)."""
+        one = self.exploded(ids).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
         lonely = one.groupBy("doc_id").agg(F.count("*").alias("lonely"))
         n = self.nodes.join(small(ids), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"))
         return n.join(lonely, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("n_shared"))
 
-    def able(self, open_: DataFrame, step: int) -> DataFrame:
+    def prefixes(self, open_: DataFrame) -> DataFrame:
+        """doc_id, part, n, n_shared and shingle: of each document (doc_id, part, n) its rarest shingles, one more than it may lack of a link's.
+
+        Rare is what few of these documents have (ties by hash). Two linked texts share one of these: what comes behind is at most
+        percent of either's shingles less one, too few for a link. Shingles that no other document has come first and are left
+        out, so a text with enough of them has none at all.
+        """
+        rows = self.scratch.store(self.exploded(open_.select("doc_id")), "shingles")
+        counted = self.scratch.store(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "held")
+        own = join_counted(rows, counted, ["shingle"], "held", F.col("doc_id"))
+        ranked = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))  # of one document's shingles
+        lacks = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1
+        take = F.greatest(lacks - (F.col("n") - F.size("s")), F.lit(0)).cast("int")
+        whole = ranked.join(open_, "doc_id").select("doc_id", "part", "n", F.size("s").alias("n_shared"), F.explode(F.slice("s", 1, take)).alias("x"))
+        out = whole.select("doc_id", "part", "n", "n_shared", "x.shingle")
+        out = self.scratch.store(out, "prefixes")
+        self.scratch.drop("shingles", "held")
+        return out
+
+    def meeting(self, prefixes: DataFrame, bands: DataFrame) -> DataFrame:
+        """Pairs (a, b), a > b, of texts in different parts whose prefixes meet, whose sizes allow a link, and who share a band.
+
+        Shingles of over 1 / HOT_SHARE of all rows (at most HOT_SHARE of them) are dealt to HOT_SALTS tasks each.
+        """
+        counts = prefixes.groupBy("shingle").agg(F.count("*").alias("rows"))
+        total = prefixes.count()
+        hot = F.broadcast(counts.where(F.col("rows") * HOT_SHARE > total).select("shingle", F.lit(True).alias("hot")))
+        marked = prefixes.join(hot, "shingle", "left")
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        side = lambda x: ["shingle", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "n_shared"))]
+        left = marked.withColumn("salt", salt).select(*side("a"))
+        right = marked.withColumn("salt", F.explode(salts)).select(*side("b"))
+        near = F.least("n_shared_a", "n_shared_b") * (100 + self.percent) >= self.percent * (F.col("n_a") + F.col("n_b"))
+        met = left.join(right, ["shingle", "salt"]).where(near & (F.col("part_a") != F.col("part_b")) & (F.col("doc_id_a") > F.col("doc_id_b")))
+        pairs = met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        of = lambda x: bands.select(F.col("doc_id").alias(x), F.col("bands").alias(f"bands_{x}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
+
+    def able(self, open_: DataFrame) -> DataFrame:
         """Rows (band, doc_id, part, main) of `open_`, with n and n_shared, whose text can be linked within its bucket.
 
         A link needs percent / (100 + percent) of both sizes' sum in common: who can't reach that with the bucket's smallest goes.
         """
-        ids = self.scratch.store(open_.select("doc_id").distinct(), f"open_ids{step}")
-        with_n = open_.select("band", "doc_id", "part", "main").join(self.scratch.store(self.shared(ids), f"shared{step}"), "doc_id")
+        ids = self.scratch.store(open_.select("doc_id").distinct(), "open_ids")
+        with_n = open_.select("band", "doc_id", "part", "main").join(self.scratch.store(self.shared(ids), "shared"), "doc_id")
         least = with_n.groupBy("band").agg(F.min("n").alias("least"))
         need = self.percent * (F.col("n") + F.greatest("least", F.col("n") * (self.percent / 100) - 1e-6))
         return with_n.join(least, "band").where(F.col("n_shared") * (100 + self.percent) >= need).drop("least")
@@ -278,16 +321,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     main = parts.groupBy("band").agg(F.count("*").alias("n_parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("n_parts > 1").select("band", "main")
     main = scratch.store(main, "main")
     open_ = scratch.store(placed.join(main, "band"), "open")
-    for step in (1, 2):  # the second time, what only those that went have counts as shared no more
-        open_ = scratch.store(linker.able(open_, step), f"able{step}")
-    # texts may meet in many bands; the pair is made in the least of them
-    bands = open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))  # at most one entry for each band
-    able = open_.join(bands, "doc_id")
-    side = lambda x: ["band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "n_shared", "bands"))]
-    met = able.where("part <> main").select(side("a")).join(able.select(*side("b"), "main"), "band")
-    met = met.where("part_a <> part_b and (part_b = main or doc_id_a > doc_id_b)").where(F.least("n_shared_a", "n_shared_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    met = met.where(F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))
-    cross = met.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).join(first, ["a", "b"], "left_anti")
+    open_ = scratch.store(linker.able(open_), "able")
+    # at most one entry for each band
+    able = scratch.store(open_.groupBy("doc_id").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.collect_list("band").alias("bands")), "by_doc")
+    cross = linker.meeting(linker.prefixes(able.select("doc_id", "part", "n")), able.select("doc_id", "bands")).join(first, ["a", "b"], "left_anti")
     cross = scratch.store(cross, "cross")
     ids = cross.select(F.col("a").alias("doc_id")).union(cross.select("b")).distinct()
     long = scratch.store(linker.long_signatures(scratch.store(ids, "cross_ids")), "long")
