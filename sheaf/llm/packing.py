@@ -13,6 +13,7 @@ import base64
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,33 +24,44 @@ from pyspark.sql import functions as F
 
 from .common import id_type, ids_and_texts, release_unused
 
-WHITE_PAIR = re.compile(r"\s\s|^\s|\s$")
+# Plain Latin text, and what the vocabulary's pattern makes of it: a contraction, or a run of letters, digits or other
+# signs with the blank before it, or white space up to the last one before a word.
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+WORD = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9À-ÖØ-öø-ÿ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 END = np.zeros(1, "<u4").tobytes()
 
-SCHEMA = "doc_id {id}, start bigint, length bigint, ids binary, loss_tokens bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+SCHEMA = "doc_id {id}, start bigint, length bigint, ids binary, ids_crc32 bigint, loss_tokens bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds(dict):
-    """Token ids (little-endian bytes) of words, filled as they come; a pre-token never spans two of them."""
+    """Token ids (little-endian bytes) of words, filled as they come; a pre-token never spans two of them. Two generations of at most
+    `most` each (and a text's words): what is looked up again in the older one comes into the younger."""
 
-    def __init__(self, encode, most: int = 100_000):
+    def __init__(self, encode, most: int = 60_000):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
+        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
         return ids
 
+    def unknown(self, words: set[str]) -> list[str]:
+        """Words that neither generation has; those of the older one are moved."""
+        missing = [w for w in words if w not in self]
+        if len(self) + len(missing) > self.most:
+            self.old = dict(self)
+            self.clear()
+            missing = list(words)
+        known = [w for w in missing if w in self.old]
+        self.update((w, self.old[w]) for w in known)
+        return [w for w in missing if w not in self.old] if known else missing
+
 
 class Encoder:
-    """The ids that the `tokenizers` file gives, by its rank-file twin; texts are split at single blanks first, where the
-    pattern always splits, so that frequent words are looked up. Texts with other white space are encoded whole. With `added`,
-    texts that hold the string of an added token, which that library takes for the token, are encoded by the library itself."""
+    """The ids that the `tokenizers` file gives, by its rank-file twin; plain Latin texts are cut as the vocabulary's pattern cuts
+    them, so that frequent words are looked up. Texts with other characters are encoded whole. With `added`, texts that hold the string of an added token, which that library takes for the token, are encoded by the library itself."""
 
-    def __init__(self, vocabulary: str | None = None, added: bool = False):
+    def __init__(self, vocabulary: str | None = None, added: bool = False, word_cache: int = 60_000):
         import public_tokenizers
         import tiktoken
 
@@ -60,7 +72,7 @@ class Encoder:
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
         for token, i in ranks.items():
             self.lengths[i] = len(token)
-        self.words = WordIds(self.plain)
+        self.words = WordIds(self.plain, word_cache)
         self.twin = public_tokenizers.path("byte_bpe_50k.json") if vocabulary is None else re.sub(r"(\.tiktoken)?$", ".json", vocabulary, count=1)
         self.added, self.library = [], None
         if added and os.path.exists(self.twin):  # a rank file alone has no added tokens
@@ -86,18 +98,10 @@ class Encoder:
             return b""
         if any(t in text for t in self.added):
             return self.whole(text)
-        if WHITE_PAIR.search(text):
+        if not PLAIN.fullmatch(text):
             return np.array(self.plain(text), "<u4").tobytes()
-        words = text.replace("\n", " \n ").split(" ")
-        # a word behind a blank carries it; one behind a line break, and the break, don't
-        lead = [" " + w for w in words]
-        if "\n" in text:
-            for i, w in enumerate(words):
-                if w == "\n":
-                    lead[i] = "\n"
-                    lead[i + 1] = words[i + 1]
-        lead[0] = words[0]
-        self.learn([w for w in set(lead) if w not in self.words])
+        lead = WORD.findall(text)
+        self.learn(self.words.unknown(set(lead)))
         return b"".join(map(self.words.__getitem__, lead))
 
     def learn(self, words: list[str]) -> None:
@@ -111,16 +115,14 @@ class Encoder:
         stops = np.searchsorted(ends, wanted) + 1
         if stops[-1] != len(ids) or (ends[stops - 1] != wanted).any():
             return
-        if len(self.words) + len(some) > self.words.most:
-            self.words.clear()
         raw, stops = ids.tobytes(), (4 * stops).tolist()
         self.words.update({w: raw[a:b] for w, a, b in zip(some, [0, *stops], stops)})  # noqa: B905
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str | None) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str | None, word_cache: int) -> Encoder:
     """One for all tasks of a process."""
-    return Encoder(vocabulary, added=True)
+    return Encoder(vocabulary, added=True, word_cache=word_cache)
 
 
 def loss_counts(ids: bytes, lengths: np.ndarray, prompt_bytes: int) -> np.ndarray:
@@ -169,6 +171,8 @@ def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple
     left = len(length)
     first = 0
     while left:
+        if 2 * left < len(open_):  # what is placed is dropped now and then
+            doc, start, length, loss, prompt, share, open_, first = doc[open_], start[open_], length[open_], loss[open_], prompt[open_], share[:, open_], np.ones(left, bool), 0
         room_t, room_s, room_l, offset = tokens, segments, most_loss, 0
         while first < len(open_) and not open_[first]:
             first += 1
@@ -209,13 +213,14 @@ def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, max_tokens: int = 1024,
-    max_segments: int = 256, max_loss_tokens: int | None = None, block_items: int = 4096, vocabulary: str | None = None,
+    max_segments: int = 256, max_loss_tokens: int | None = None, block_items: int = 4096, vocabulary: str | None = None, word_cache: int = 120_000, keep_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), loss_tokens, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian 32-bit; null without keep_ids), ids_crc32, loss_tokens, doc_tokens, sequence_id, offset.
 
     loss_from_col names a column with the code point at which a row's loss-bearing text begins (a prompt stands before it): tokens
     that begin there or later bear loss. Without it every token does. Null text counts as empty and gives one piece with the closing id; repeated rows are
-    packed each; an empty table gives no pieces; other columns are ignored. Map-only: sequence ids hold the task's number
+    packed each; an empty table gives no pieces; other columns are ignored. word_cache bounds the words a Python worker keeps with
+    their ids, in each of two generations (200 bytes each or so). Map-only: sequence ids hold the task's number
     above 2**33, so they are unique, and the same again if a lost task is repeated.
     """
     limits = (max_tokens, max_segments, max_tokens if max_loss_tokens is None else max_loss_tokens)
@@ -226,7 +231,7 @@ def pack(
         release_unused()
         from pyspark import TaskContext
 
-        encode, block = encoder(vocabulary), []
+        encode, block = encoder(vocabulary, word_cache), []
         next_id = TaskContext.get().partitionId() << 33
         for b in batches:
             starts = b["loss_from"] if loss_from_col else [None] * len(b)
@@ -247,11 +252,12 @@ def pack(
         losses = [loss for *_, loss in block]
         pieces = pack_block(sizes, losses, limits, np.arange(len(block)))
         rows = [
-            (block[d][0], a, n, block[d][1][4 * a : 4 * (a + n)], n if losses[d] is None else int(losses[d][a + n] - losses[d][a]), int(sizes[d]), next_id + s, o)
+            (block[d][0], a, n, own if keep_ids else None, zlib.crc32(own), n if losses[d] is None else int(losses[d][a + n] - losses[d][a]), int(sizes[d]), next_id + s, o)
             for d, a, n, s, o in pieces
+            for own in (block[d][1][4 * a : 4 * (a + n)],)
         ]
         last = max(s for *_, s, _ in pieces)
-        return next_id + last + 1, pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "loss_tokens", "doc_tokens", "sequence_id", "offset"])
+        return next_id + last + 1, pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "loss_tokens", "doc_tokens", "sequence_id", "offset"])
 
     rows = ids_and_texts(docs, id_col, text_col)
     if loss_from_col:
@@ -263,8 +269,8 @@ def packing_report(docs: DataFrame, max_segments: int = 4, max_loss_tokens: int
     """The pieces with a checksum in place of their ids. A text's first line, its heading, is prompt: it bears no loss."""
     text = F.col("text").cast("string")
     own = docs.select("doc_id", text.alias("text"), F.instr(text, "\n").alias("loss_from"))  # behind the first line break; 0 without one
-    r = pack(own, loss_from_col="loss_from", max_segments=max_segments, max_loss_tokens=max_loss_tokens, **options)
-    return r.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+    r = pack(own, loss_from_col="loss_from", max_segments=max_segments, max_loss_tokens=max_loss_tokens, keep_ids=False, **options)
+    return r.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def instruction_examples(turns: DataFrame) -> DataFrame:
