@@ -206,7 +206,8 @@ class Linker:
         return n.join(lonely, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("n_shared"))
 
     def prefixes(self, open_: DataFrame) -> DataFrame:
-        """doc_id, part, n, n_shared and shingle: of each document (doc_id, part, n) its rarest shingles, one more than it may lack of a link's.
+        """doc_id, part, n, shingle and rest: of each document (doc_id, part, n) its rarest shingles, one more than it may lack of a link's;
+        rest counts the shingle and those behind it.
 
         Rare is what few of these documents have (ties by hash). Two linked texts share one of these: what comes behind is at most
         percent of either's shingles less one, too few for a link. Shingles that no other document has come first and are left
@@ -218,15 +219,17 @@ class Linker:
         ranked = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))  # of one document's shingles
         lacks = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1
         take = F.greatest(lacks - (F.col("n") - F.size("s")), F.lit(0)).cast("int")
-        whole = ranked.join(open_, "doc_id").select("doc_id", "part", "n", F.size("s").alias("n_shared"), F.explode(F.slice("s", 1, take)).alias("x"))
-        out = whole.select("doc_id", "part", "n", "n_shared", "x.shingle")
+        whole = ranked.join(open_, "doc_id").select("doc_id", "part", "n", (F.col("n") - F.size("s")).alias("lonely"), F.posexplode(F.slice("s", 1, take)).alias("i", "x"))
+        out = whole.select("doc_id", "part", (F.col("n") - F.col("lonely") - F.col("i")).alias("rest"), "n", "x.shingle")
         out = self.scratch.store(out, "prefixes")
         self.scratch.drop("shingles", "held")
         return out
 
     def meeting(self, prefixes: DataFrame, bands: DataFrame) -> DataFrame:
-        """Pairs (a, b), a > b, of texts in different parts whose prefixes meet, whose sizes allow a link, and who share a band.
+        """Pairs (a, b), a > b, of texts in different parts whose prefixes meet and who share a band.
 
+        All that two texts have in common stands from the rarest common shingle on in both; where one has less left than a link
+        takes, that shingle isn't it, or there is no link. So a pair is made in few places.
         Shingles of over 1 / HOT_SHARE of all rows (at most HOT_SHARE of them) are dealt to HOT_SALTS tasks each.
         """
         counts = prefixes.groupBy("shingle").agg(F.count("*").alias("rows"))
@@ -235,10 +238,10 @@ class Linker:
         marked = prefixes.join(hot, "shingle", "left")
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))
         salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        side = lambda x: ["shingle", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "n_shared"))]
+        side = lambda x: ["shingle", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "rest"))]
         left = marked.withColumn("salt", salt).select(*side("a"))
         right = marked.withColumn("salt", F.explode(salts)).select(*side("b"))
-        near = F.least("n_shared_a", "n_shared_b") * (100 + self.percent) >= self.percent * (F.col("n_a") + F.col("n_b"))
+        near = F.least("rest_a", "rest_b") * (100 + self.percent) >= self.percent * (F.col("n_a") + F.col("n_b"))
         met = left.join(right, ["shingle", "salt"]).where(near & (F.col("part_a") != F.col("part_b")) & (F.col("doc_id_a") > F.col("doc_id_b")))
         pairs = met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
         of = lambda x: bands.select(F.col("doc_id").alias(x), F.col("bands").alias(f"bands_{x}"))

@@ -167,5 +167,4 @@ def test_shared_boilerplate_makes_few_pairs(spark, monkeypatch, n):
     got = {r.doc_id: r.component_id for r in neardup.duplicate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert len(set(got.values())) > n / 20  # many stay apart
-    assert made["cross"] < 0.1 * n * (n - 1) / 2, made
-    print(n, made, len(set(got.values())))
+    assert made["cross"] < 0.05 * n * (n - 1) / 2, made
