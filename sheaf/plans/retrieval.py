@@ -203,3 +203,22 @@ def maintained_vector_topk(spark, sf_dir):
     index.delete(v.where("vec_id % 7 = 0"))
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
     return index.search(q, candidates=400).select("query_id", "vec_id", "score", F.col("rank").cast("long"))
+
+
+@query(BM25 + """,
+kw AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE doc_id % 4 = question_id % 4 QUALIFY rank <= 20),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+near AS (SELECT b.item_id AS question_id, d.doc_id, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM benchmark b JOIN e x ON x.vec_id = b.item_id, e y JOIN documents d ON d.doc_id = y.vec_id WHERE d.doc_id % 4 = b.item_id % 4),
+dn AS (SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 20),
+tagged AS (SELECT question_id, doc_id, 0 AS list, rank, score FROM dn WHERE doc_id % 9 <> 0 UNION ALL SELECT question_id, doc_id, 1, rank, NULL FROM kw WHERE doc_id % 9 <> 0),
+fused AS (SELECT question_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min((list, rank)) AS seen, max(score) AS dense_score FROM tagged GROUP BY question_id, doc_id)
+SELECT question_id, doc_id, round(rrf, 8) AS rrf_score, dense_score, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 12) DESC, seen, doc_id) AS rank FROM fused QUALIFY rank <= 20""")
+def hybrid_retrieval(spark, sf_dir):
+    """Vectors of documents and questions are those of their numbers; four scopes by number; every ninth document has failed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("scope"))
+    asked, e = questions(spark, sf_dir).withColumn("scope", F.col("question_id") % 4), table(spark, sf_dir, "embeddings")
+    found = retrieval.hybrid(
+        docs, asked, e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query")),
+        failed=docs.where("doc_id % 9 = 0"), scope_col="scope", index=retrieval.build_index(docs),
+    )
+    return found.select("question_id", "doc_id", "rrf_score", "dense_score", F.col("rank").cast("long"))
