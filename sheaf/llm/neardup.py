@@ -230,14 +230,15 @@ class Linker:
 
         All that two texts have in common stands from the rarest common shingle on in both; where one has less left than a link
         takes, that shingle isn't it, or there is no link. So a pair is made in few places.
-        Shingles of over 1 / HOT_SHARE of all rows (at most HOT_SHARE of them) are dealt to HOT_SALTS tasks each.
+        Shingles of over 1 / HOT_SHARE of all rows (at most HOT_SHARE of them) are dealt out in parts of that size, HOT_SALTS at most.
         """
         counts = prefixes.groupBy("shingle").agg(F.count("*").alias("rows"))
         total = prefixes.count()
-        hot = F.broadcast(counts.where(F.col("rows") * HOT_SHARE > total).select("shingle", F.lit(True).alias("hot")))
-        marked = prefixes.join(hot, "shingle", "left")
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))
-        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        parts = F.least(F.lit(HOT_SALTS), F.expr(f"(rows * {HOT_SHARE} + {total} - 1) div {max(1, total)}")).cast("int")
+        hot = F.broadcast(counts.where(F.col("rows") * HOT_SHARE > total).select("shingle", parts.alias("parts")))
+        marked = prefixes.join(hot, "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        salt = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+        salts = F.sequence(F.lit(0), F.col("parts") - 1)
         side = lambda x: ["shingle", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "rest"))]
         left = marked.withColumn("salt", salt).select(*side("a"))
         right = marked.withColumn("salt", F.explode(salts)).select(*side("b"))
