@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, ids_and_texts, release_unused
+from .common import id_type, ids_and_texts, release_unused, slices
 
 # Plain Latin text, and what the vocabulary's pattern makes of it: a contraction, or a run of letters, digits or other
 # signs with the blank before it, or white space up to the last one before a word.
@@ -33,28 +33,21 @@ END = np.zeros(1, "<u4").tobytes()
 SCHEMA = "doc_id {id}, start bigint, length bigint, ids binary, ids_crc32 bigint, loss_tokens bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids (little-endian bytes) of words, filled as they come; a pre-token never spans two of them. Two generations of at most
-    `most` each (and a text's words): what is looked up again in the older one comes into the younger."""
+    `most` each (and a batch's words): what is looked up again in the older one comes into the younger."""
 
-    def __init__(self, encode, most: int = 60_000):
-        super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
-        return ids
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
 
     def unknown(self, words: set[str]) -> list[str]:
         """Words that neither generation has; those of the older one are moved."""
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > self.most:
-            self.old = dict(self)
-            self.clear()
-            missing = list(words)
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        missing = words.difference(self.young)
         known = [w for w in missing if w in self.old]
-        self.update((w, self.old[w]) for w in known)
-        return [w for w in missing if w not in self.old] if known else missing
+        self.young.update((w, self.old[w]) for w in known)
+        return list(missing.difference(known)) if known else list(missing)
 
 
 class Encoder:
@@ -72,7 +65,7 @@ class Encoder:
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
         for token, i in ranks.items():
             self.lengths[i] = len(token)
-        self.words = WordIds(self.plain, word_cache)
+        self.words = WordIds(word_cache)
         self.twin = public_tokenizers.path("byte_bpe_50k.json") if vocabulary is None else re.sub(r"(\.tiktoken)?$", ".json", vocabulary, count=1)
         self.added, self.library = [], None
         if added and os.path.exists(self.twin):  # a rank file alone has no added tokens
@@ -94,29 +87,31 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        if any(t in text for t in self.added):
-            return self.whole(text)
-        if not PLAIN.fullmatch(text):
-            return np.array(self.plain(text), "<u4").tobytes()
-        lead = WORD.findall(text)
-        self.learn(self.words.unknown(set(lead)))
-        return b"".join(map(self.words.__getitem__, lead))
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The same of several texts."""
+        cut = [WORD.findall(t) if PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
+        self.learn(self.words.unknown(set().union(*(c for c in cut if c))))
+        ids = self.words.young.__getitem__
+        return [b"".join(map(ids, c)) if c is not None else self.odd(t) for t, c in zip(texts, cut, strict=True)]
+
+    def odd(self, text: str) -> bytes:
+        return self.whole(text) if any(t in text for t in self.added) else np.array(self.plain(text), "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Encodes new words that begin with their blank as one text: the pattern splits before each, so that a word ends where as
         many bytes of tokens do. Others, and a batch for which that fails, are left to be encoded one by one."""
         some = [w for w in words if w[0] == " " and len(w) > 1]
-        if len(some) < 8:
-            return
-        ids = np.array(self.plain("".join(some)), "<u4")
-        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in some])
-        stops = np.searchsorted(ends, wanted) + 1
-        if stops[-1] != len(ids) or (ends[stops - 1] != wanted).any():
-            return
-        raw, stops = ids.tobytes(), (4 * stops).tolist()
-        self.words.update({w: raw[a:b] for w, a, b in zip(some, [0, *stops], stops)})  # noqa: B905
+        young = self.words.young
+        if len(some) > 8:
+            ids = np.array(self.plain("".join(some)), "<u4")
+            ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in some])
+            stops = np.searchsorted(ends, wanted) + 1
+            if stops[-1] == len(ids) and (ends[stops - 1] == wanted).all():
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                young.update({w: raw[a:b] for w, a, b in zip(some, [0, *stops], stops)})  # noqa: B905
+        young.update({w: np.array(self.plain(w), "<u4").tobytes() for w in words if w not in young})
 
 
 @lru_cache(maxsize=1)
@@ -235,8 +230,10 @@ def pack(
         next_id = TaskContext.get().partitionId() << 33
         for b in batches:
             starts = b["loss_from"] if loss_from_col else [None] * len(b)
-            for d, text, at in zip(b["doc_id"], b["text"], starts, strict=True):
-                ids, loss = encode(text), None
+            texts = b["text"].tolist()
+            encoded = (i for part in slices(map(len, texts), 1 << 19) for i in encode.all(texts[part]))
+            for d, text, at, ids in zip(b["doc_id"], texts, starts, encoded, strict=True):
+                loss = None
                 if loss_from_col and at is not None and at == at and at > 0:
                     loss = loss_counts(ids, encode.lengths, len(text[: int(at)].encode("utf-8", "surrogatepass")))
                 block.append((d, ids + END, loss))
