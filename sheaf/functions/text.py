@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,9 +68,14 @@ def is_overview(question: Column) -> Column:
     return (q != "") & found
 
 
+#: Every character that stands for a digit, in any script, and the plain digit at the same place.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
+PLAIN_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
+
+
 def numbers(text: Column) -> Column:
-    """Numbers without thousands separators or needless zeros."""
-    raw = F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0))
+    """Numbers without thousands separators or needless zeros; digits of all scripts count."""
+    raw = F.regexp_extract_all(F.translate(text, DIGITS, PLAIN_DIGITS), F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0))
     return F.array_distinct(F.transform(raw, plain_number))
 
 
@@ -99,3 +107,10 @@ def sql_stem(t: str) -> str:
 def sql_terms(text: str) -> str:
     keep = rf"list_filter({sql_tokens(text)}, lambda t: NOT list_contains({STOPS_SQL}, t) AND (length(t) > 1 OR regexp_full_match(t, '\p{{Nd}}')))"
     return f"list_transform({keep}, lambda t: {sql_stem('t')})"
+
+
+def sql_numbers(text: str) -> str:
+    plain = "replace(x, ',', '')"
+    trimmed = f"regexp_replace(regexp_replace({plain}, '0+$', ''), '\\.$', '')"
+    found = rf"regexp_extract_all(translate({text}, '{DIGITS}', '{PLAIN_DIGITS}'), '[0-9][0-9,]*(?:\.[0-9]+)?')"
+    return f"list_transform({found}, lambda x: CASE WHEN contains({plain}, '.') THEN {trimmed} ELSE {plain} END)"

@@ -131,6 +131,16 @@ def body_size(spans: DataFrame, document: str, size: str, chars: str) -> DataFra
     return per.groupBy(document).agg(F.max(F.struct("chars", size)).alias("m")).select(document, F.col("m")[size].alias("body"))
 
 
+def mean_confidence(words: DataFrame, page: list[str], confidence: str) -> DataFrame:
+    """page columns and `confidence`, the mean over a page's words that have one (a zero says that none was told)."""
+    return words.groupBy(*page).agg(F.round(F.avg(F.nullif(confidence, F.lit(0.0))), 6).alias("confidence"))
+
+
+def latest_first(rows: DataFrame, by: str, at: str) -> DataFrame:
+    """by, updated_at and n of each group of rows, the one last active first (ties by `by`)."""
+    return rows.groupBy(by).agg(F.max(at).alias("updated_at"), F.count("*").alias("n")).orderBy(F.desc("updated_at"), by)
+
+
 def heading_levels(spans: DataFrame, document: str, size: str, chars: str, ratio: float = 1.15, deepest: int = 4) -> DataFrame:
     """(document, size, level): sizes of at least `ratio` times the body's, the largest is level 1, none is deeper than `deepest`."""
     sizes = spans.select(document, size).distinct().join(body_size(spans, document, size, chars), document).where(F.col(size) >= ratio * F.col("body"))

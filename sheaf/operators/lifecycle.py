@@ -36,6 +36,18 @@ def top_owners(docs: DataFrame, owner: str, size: str, k: int = 5) -> DataFrame:
     return storage_report(docs, owner, size).orderBy(F.desc("total_size"), owner).limit(k)
 
 
+def owner_report(users: DataFrame, sessions: DataFrame, documents: DataFrame, user: str = "user_id", session: str = "session_id", active: str = "updated_at", size: str = "size", chunks: str = "chunks") -> DataFrame:
+    """user, n_sessions, n_documents, n_chunks, total_size, last_active of every user, zeros and null for those without any.
+
+    Documents are summed up by session before they meet their owners, sessions by user; a user's sessions need no document.
+    """
+    per_session = documents.groupBy(session).agg(F.count("*").alias("d"), F.sum(chunks).alias("c"), F.sum(size).alias("s"))
+    met = sessions.select(user, session, active).join(per_session, session, "left")
+    per_user = met.groupBy(user).agg(F.count("*").alias("n"), F.sum("d").alias("d"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(active).alias("last_active"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return users.select(user).join(per_user, user, "left").select(user, zero("n").alias("n_sessions"), zero("d").alias("n_documents"), zero("c").alias("n_chunks"), zero("s").alias("total_size"), "last_active")
+
+
 def over_cap(docs: DataFrame, owner: str, most_docs: int) -> DataFrame:
     return docs.groupBy(owner).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most_docs)
 

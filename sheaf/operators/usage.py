@@ -103,8 +103,8 @@ def rates(outcomes: DataFrame, by: str | None = None) -> DataFrame:
     return g.agg(F.count("*").alias("n"), p.alias("passed"), f.alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.when(p + f > 0, F.round(p / (p + f), 4)).alias("rate"))
 
 
-def p95(outcomes: DataFrame, seconds: str = "seconds") -> DataFrame:
-    """The value at place int(0.95 n) of the sorted values, by counts per value, so no list is collected.
+def percentile(outcomes: DataFrame, share: float, seconds: str = "seconds", name: str = "value") -> DataFrame:
+    """The value at place int(share * n) of the sorted values, by counts per value, so no list is collected.
 
     Counts are summed by ranges of values; only the range that holds the place is ranked, so no task takes all values.
     """
@@ -113,11 +113,19 @@ def p95(outcomes: DataFrame, seconds: str = "seconds") -> DataFrame:
     counts = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("v"))))
     parts = counts.groupBy("part").agg(F.sum("c").alias("c")).orderBy("part").collect()  # at most RANGES rows
     n = sum(r.c for r in parts)
-    place, before, part = min(n - 1, int(0.95 * n)), 0, None
+    place, before, part = min(n - 1, int(share * n)), 0, None
     for r in parts:
         if before + r.c > place:
             part = r.part
             break
         before += r.c
     ranked = counts.where(F.col("part") == F.lit(part)).withColumn("upto", F.lit(before) + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
-    return ranked.where(F.col("upto") > place).agg(F.min("v").alias("p95"))
+    return ranked.where(F.col("upto") > place).agg(F.min("v").alias(name))
+
+
+def p95(outcomes: DataFrame, seconds: str = "seconds") -> DataFrame:
+    return percentile(outcomes, 0.95, seconds, "p95")
+
+
+def p50(outcomes: DataFrame, seconds: str = "seconds") -> DataFrame:
+    return percentile(outcomes, 0.5, seconds, "p50")

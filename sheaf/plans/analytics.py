@@ -239,6 +239,11 @@ def eval_latency_p95(spark, sf_dir):
     return usage.p95(table(spark, sf_dir, "events"), "value")
 
 
+@query("SELECT list_sort(list(value))[least(count(*), 1 + floor(0.5 * count(*))::BIGINT)] AS p50 FROM events")
+def eval_latency_p50(spark, sf_dir):
+    return usage.p50(table(spark, sf_dir, "events"), "value")
+
+
 @query("SELECT conv_id, turn, CASE WHEN trim(lower(text)) IN ('why', 'why?') AND p IS NOT NULL THEN text || chr(10) || 'Previous document question: ' || p ELSE text END AS effective, p AS previous FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role = 'user')")
 def previous_user_turn(spark, sf_dir):
     from pyspark.sql import Window

@@ -7,10 +7,6 @@ from . import documents  # noqa: F401
 from . import sources  # noqa: F401
 from .retrieval import ORACLES, QUERIES
 
-# earlier names of queries that now take their whole tables
-for _new, _old in (("paragraphs_of_documents", "paragraphs_of_all_documents"), ("decompose_question", "decompose_all_questions"), ("guarded_iif", "guarded_iif_all_orders")):
-    QUERIES[_old], ORACLES[_old] = QUERIES[_new], ORACLES[_new]
-
 FLAGSHIP = "evidence_gate_select"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -168,7 +168,7 @@ def keyset_page(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) AS updated_at, count(*) AS n FROM events GROUP BY user_id")
 def sessions_latest_first(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at"), F.count("*").alias("n")).orderBy(F.desc("updated_at"), "user_id")
+    return documents.latest_first(table(spark, sf_dir, "events"), "user_id", "ts")
 
 
 SPANS = "SELECT l_orderkey, (l_quantity / 5)::BIGINT + 8 AS size, l_partkey AS chars FROM lineitem"
@@ -222,7 +222,7 @@ def overview_named_documents(spark, sf_dir):
 
 @query("SELECT l_orderkey, round(avg(nullif(l_discount, 0)), 6) AS confidence FROM lineitem GROUP BY l_orderkey")
 def mean_confidence(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(F.nullif("l_discount", F.lit(0.0))), 6).alias("confidence"))
+    return documents.mean_confidence(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_discount")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 5 >= 3 THEN 'fail' ELSE 'retry' END AS action FROM orders WHERE (o_orderstatus = 'O' AND o_custkey % 2 = 0) OR (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1996-01-01')")
@@ -421,18 +421,18 @@ def questions_about_tables(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT i + 2 AS _row, 'ORD-' || 1001 + i AS Order_ID, (DATE '2025-01-01' + i::INTEGER)::VARCHAR AS Date, (['North', 'South', 'East', 'West'])[i % 4 + 1] AS Region, (['Widget', 'Gadget', 'Gizmo'])[i % 3 + 1] AS Product, 5 + (7 * i) % 23 AS Units, ([20, 35, 50])[i % 3 + 1] AS price, (i % 9 = 0)::BIGINT AS Returned FROM range(60) r(i))
+WITH s AS (SELECT i + 2 AS _row, 'ORD-' || 1001 + i AS Order_ID, (DATE '2025-01-01' + i::INTEGER)::VARCHAR AS Date, (['North', 'South', 'East', 'West'])[i % 4 + 1] AS Region, (['Widget', 'Gadget', 'Gizmo'])[i % 3 + 1] AS Product, 5 + (7 * i) % 23 AS Units, ([20, 35, 50])[i % 3 + 1] AS price, (i % 9 = 0)::BIGINT AS Returned FROM (SELECT o_orderkey AS i FROM orders))
 SELECT Region, sum(Units * price)::BIGINT AS revenue, sum(Returned)::BIGINT AS returned, count(*) AS n, min(Order_ID) AS first_order, max(Date) AS last_date FROM s GROUP BY Region""")
 def synthetic_sales_by_region(spark, sf_dir):
-    s = tablestore.synthetic_sales(spark)
+    s = tablestore.synthetic_sales(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i")))
     return s.groupBy("Region").agg(F.sum("Revenue").alias("revenue"), F.sum("Returned").alias("returned"), F.count("*").alias("n"), F.min("Order_ID").alias("first_order"), F.max("Date").alias("last_date"))
 
 
 @query("""
-WITH s AS (SELECT (['Email', 'Search', 'Social', 'Display'])[3 * i % 4 + 1] AS Channel, 50 + 37 * i % 400 + 0.5::DOUBLE AS Spend, 20 + 11 * i % 180 AS Clicks, (5 * i % 7 < 3)::BIGINT AS Converted FROM range(40) r(i))
+WITH s AS (SELECT (['Email', 'Search', 'Social', 'Display'])[3 * i % 4 + 1] AS Channel, 50 + 37 * i % 400 + 0.5::DOUBLE AS Spend, 20 + 11 * i % 180 AS Clicks, (5 * i % 7 < 3)::BIGINT AS Converted FROM (SELECT c_custkey AS i FROM customer))
 SELECT Channel, sum(Converted)::BIGINT AS converted, avg(Clicks) AS clicks, sum(Spend) AS spend FROM s GROUP BY Channel""")
 def synthetic_campaigns_by_channel(spark, sf_dir):
-    s = tablestore.synthetic_campaigns(spark)
+    s = tablestore.synthetic_campaigns(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i")))
     return s.groupBy("Channel").agg(F.sum("Converted").alias("converted"), F.avg("Clicks").alias("clicks"), F.sum("Spend").alias("spend"))
 
 
@@ -471,3 +471,24 @@ def eval_same_rows(spark, sf_dir):
     got = li.select("id", "row", F.array(text(F.col("l_extendedprice")), F.col("l_returnflag")).alias("cells"))
     want = li.where("NOT (id % 11 = 0 AND row = 1)").select("id", "row", F.array(text(F.col("l_extendedprice") + off), F.when(F.col("id") % 7 == 0, "R").otherwise(F.col("l_returnflag"))).alias("cells"))
     return evaluation.same_rows(got, want)
+
+
+@query("""
+SELECT c_custkey AS user_id, count(DISTINCT o_orderkey) AS n_sessions, count(l_orderkey) AS n_documents, coalesce(sum(l_linenumber), 0)::BIGINT AS n_chunks, coalesce(sum(l_partkey), 0)::BIGINT AS total_size, max(o_orderdate) AS last_active
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey""")
+def owner_reports(spark, sf_dir):
+    """Customers as users, their orders as sessions, an order's lines as documents with chunks and a size."""
+    users, sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), table(spark, sf_dir, "orders")
+    sessions = sessions.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("updated_at"))
+    docs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("size"), F.col("l_linenumber").alias("chunks"))
+    return lifecycle.owner_report(users, sessions, docs)
+
+
+HINDI = "translate(text, '0123456789', '०१२३४५६७८९')"
+
+
+@query(f"SELECT doc_id, len(list_distinct(n))::BIGINT AS n_numbers, (SELECT string_agg(x, ' ' ORDER BY x) FROM (SELECT DISTINCT unnest(n) AS x)) AS numbers FROM (SELECT doc_id, {T.sql_numbers(HINDI)} AS n FROM documents)")
+def numbers_of_other_scripts(spark, sf_dir):
+    """All documents with their digits in another script: the numbers are the same."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.numbers(F.expr(HINDI)).alias("n"))
+    return d.select("doc_id", F.size("n").cast("long").alias("n_numbers"), F.when(F.size("n") > 0, F.array_join(F.array_sort("n"), " ")).alias("numbers"))

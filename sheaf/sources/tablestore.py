@@ -46,10 +46,10 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
-def synthetic_sales(spark: SparkSession) -> DataFrame:
-    """Sixty orders made by formulas: _row, Order_ID, Date, Region, Product, Units, Revenue, Returned."""
+def synthetic_sales(numbers: DataFrame) -> DataFrame:
+    """An order made by formulas for each number (column i): _row, Order_ID, Date, Region, Product, Units, Revenue, Returned."""
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("i") % len(names) + 1).cast("int"))
-    r = spark.range(60).withColumnRenamed("id", "i").withColumn("Units", 5 + (7 * F.col("i")) % 23)
+    r = numbers.select(F.col("i").cast("bigint").alias("i")).withColumn("Units", 5 + (7 * F.col("i")) % 23)
     return r.select(
         (F.col("i") + 2).alias("_row"), F.concat(F.lit("ORD-"), (1001 + F.col("i")).cast("string")).alias("Order_ID"), F.date_add(F.lit("2025-01-01").cast("date"), F.col("i").cast("int")).cast("string").alias("Date"),
         pick(("North", "South", "East", "West")).alias("Region"), pick(("Widget", "Gadget", "Gizmo")).alias("Product"), "Units",
@@ -57,11 +57,11 @@ def synthetic_sales(spark: SparkSession) -> DataFrame:
     )
 
 
-def synthetic_campaigns(spark: SparkSession) -> DataFrame:
-    """Forty campaigns made by formulas: Campaign, Channel, Spend, Clicks, Converted."""
-    i = F.col("id")
+def synthetic_campaigns(numbers: DataFrame) -> DataFrame:
+    """A campaign made by formulas for each number (column i): Campaign, Channel, Spend, Clicks, Converted."""
+    i = F.col("i").cast("bigint")
     channel = F.element_at(F.array(*map(F.lit, ("Email", "Search", "Social", "Display"))), ((3 * i) % 4 + 1).cast("int"))
-    return spark.range(40).select(
+    return numbers.select(
         F.concat(F.lit("CMP-"), F.lpad((i + 1).cast("string"), 3, "0")).alias("Campaign"), channel.alias("Channel"), (50 + (37 * i) % 400 + 0.5).cast("double").alias("Spend"),
         (20 + (11 * i) % 180).alias("Clicks"), ((5 * i) % 7 < 3).cast("long").alias("Converted"),
     )

@@ -30,7 +30,7 @@ def csv_of(df, names, order):
 
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
-    sales, campaigns = tablestore.synthetic_sales(spark), tablestore.synthetic_campaigns(spark)
+    sales, campaigns = tablestore.synthetic_sales(spark.range(60).toDF("i")), tablestore.synthetic_campaigns(spark.range(40).toDF("i"))
     rows = [tuple(map(str, r)) for r in sales.orderBy("_row").drop("_row").collect()]
     book = xlsx([(1, ["Order ID", "Date", "Region", "Product", "Units", "Revenue", "Returned"]), *((i + 2, list(r)) for i, r in enumerate(rows))])
     s = tablestore.TableStore(spark, str(tmp_path_factory.mktemp("store")))

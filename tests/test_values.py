@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sheaf.functions import values as V
+from sheaf.functions import text
 from sheaf.operators import dialogue, figures, grounding
 
 
@@ -70,3 +71,9 @@ def test_figures(spark):
     assert got == [(1, "big", 160000, 1), (1, "beside", 42000, 2), (2, "alone", 22500, 1)]
     size = spark.range(1).select(figures.shown_size(F.lit(3136), F.lit(100)), figures.shown_size(F.lit(10), F.lit(20))).first()
     assert tuple(size[0]) == (1568, 50) and tuple(size[1]) == (10, 20)
+
+
+def test_numbers_in_any_script(spark):
+    rows = ["costs १,२३४.५० or 𝟏𝟐", "٣ and ²", "1,000 007.10", "none", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    assert [r.n for r in df.select("i", text.numbers(F.col("t")).alias("n")).orderBy("i").collect()] == [["1234.5", "12"], ["3", "2"], ["1000", "007.1"], [], []]

@@ -28,17 +28,17 @@ def both(spark, path, name):
 
 
 def test_documents_of_several_paragraphs(spark, tmp_path):
-    assert both(spark, tmp_path, "paragraphs_of_all_documents") == [(1, 0, 3), (1, 1, 3), (1, 2, 5), (2, 0, 5), (2, 1, 6), (3, 0, 21)]
+    assert both(spark, tmp_path, "paragraphs_of_documents") == [(1, 0, 3), (1, 1, 3), (1, 2, 5), (2, 0, 5), (2, 1, 6), (3, 0, 21)]
 
 
 def test_questions_of_more_than_three_parts(spark, tmp_path):
-    got = both(spark, tmp_path, "decompose_all_questions")
+    got = both(spark, tmp_path, "decompose_question")
     assert got == [(1, 3, "What is a|what is b|c"), (2, 1, "Plain question?"), (3, 2, "x|y"), (4, 3, "a|b|c")]
 
 
 def test_iif_over_all_orders(spark):
     sf = "/root/testdata/sf0.001"
-    assert catalog.QUERIES["guarded_iif_all_orders"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count() > 500
+    assert catalog.QUERIES["guarded_iif"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count() > 500
 
 
 def test_a_sheet_keeps_all_rows():
