@@ -121,10 +121,11 @@ def encoder(vocabulary: str | None, word_cache: int) -> Encoder:
 
 
 def loss_counts(ids: bytes, lengths: np.ndarray, prompt_bytes: int) -> np.ndarray:
-    """Cumulated loss-bearing tokens before each token and at the end: those that begin at or behind the prompt's last byte."""
-    n = lengths[np.frombuffer(ids, "<u4")]
-    bears = np.concatenate([np.cumsum(n) - n >= prompt_bytes, [True]])  # the closing id too
-    return np.concatenate([[0], np.cumsum(bears)]).astype(np.int32)
+    """Cumulated loss-bearing tokens before each token and at the end: those that begin at or behind the prompt's last byte, and the
+    closing id. A token has a byte at least, so the prompt's are among the first `prompt_bytes`."""
+    n = lengths[np.frombuffer(ids[: 4 * prompt_bytes], "<u4")]
+    prompt = int(np.searchsorted(np.cumsum(n) - n, prompt_bytes))
+    return np.maximum(np.arange(len(ids) // 4 + 2, dtype=np.int32) - prompt, 0, dtype=np.int32)
 
 
 def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple[int, int, int], order: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -208,7 +209,7 @@ def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None, max_tokens: int = 1024,
-    max_segments: int = 256, max_loss_tokens: int | None = None, block_items: int = 4096, vocabulary: str | None = None, word_cache: int = 120_000, keep_ids: bool = True,
+    max_segments: int = 256, max_loss_tokens: int | None = None, block_items: int = 2048, vocabulary: str | None = None, word_cache: int = 400_000, keep_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit; null without keep_ids), ids_crc32, loss_tokens, doc_tokens, sequence_id, offset.
 
