@@ -37,7 +37,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packing_report(docs)
+    return packing.packing_report(docs, word_cache=120_000)  # workers also hold what the stages before have left
 
 
 STAGES = [
