@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from sheaf.operators import figures, layout
-from sheaf.sources import pdf, pictures
+from sheaf.sources import extract, pdf, pictures
 
 from .test_layout import document, paragraph
 
@@ -123,3 +123,25 @@ def test_figures_of_files(spark):
     # of the PDF: the gray picture lies in the other on page 1 but stands alone on page 2; page 3 is a scan
     assert got == {"a.docx": [("fig3", 160000), ("fig2", 60000), ("fig1", 3020)], "b.pptx": [("s2:fig0", 160000), ("s2:fig1", 60000)], "c.pdf": [("p1:fig0", 160000), ("p2:fig0", 27200)]}
     assert figures.collected(cut, facts, 1).count() == 3
+
+
+def chart(kind, series, more="", title=""):
+    c = 'xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    told = lambda tag, values: f"<c:{tag}><c:cache>" + "".join(f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>' for i, v in enumerate(values) if v is not None) + f"</c:cache></c:{tag}>"
+    made = "".join("<c:ser>" + (f'<c:tx><c:strRef><c:strCache><c:pt idx="0"><c:v>{n}</c:v></c:pt></c:strCache></c:strRef></c:tx>' if n else "") + told("cat", cats) + told("val", vals) + "</c:ser>" for n, cats, vals in series)
+    head = f"<c:title><c:tx><c:rich><a:p><a:r><a:t>{title}</a:t></a:r></a:p></c:rich></c:tx></c:title>" if title else ""
+    return f"<c:chartSpace {c}><c:chart>{head}<c:plotArea><c:layout/><c:{kind}>{more}{made}</c:{kind}></c:plotArea></c:chart></c:chartSpace>"
+
+
+def test_charts_of_slides_say_their_series():
+    bars = chart("barChart", [("2024", ["North", "South"], ["1.5", "2"]), (None, ["North", "South"], ["3", None])], '<c:barDir val="col"/><c:grouping val="clustered"/>', "Sales")
+    line = chart("lineChart", [("x", ["a"], ["7"])], '<c:grouping val="standard"/><c:marker><c:symbol val="circle"/></c:marker>')
+    slide = f"<p:sld {NS}><p:txBody><a:p><a:r><a:t>Title</a:t></a:r></a:p></p:txBody></p:sld>"
+    deck = package({
+        "ppt/slides/slide1.xml": slide, "ppt/slides/_rels/slide1.xml.rels": relations(("chart", "../charts/c1.xml"), ("chart", "/ppt/charts/c2.xml"), ("chart", "../charts/gone.xml"), ("chart", "../charts/c3.xml")),
+        "ppt/charts/c1.xml": bars, "ppt/charts/c2.xml": line, "ppt/charts/c3.xml": chart("pieChart", []),
+    })
+    got = [(e["kind"], e["locator"], e["text"]) for e in extract.read_pptx(deck)]
+    assert got == [
+        ("figure", "slide 1, chart", "Chart (column clustered): Sales\ncategory | 2024 | series 2\nNorth | 1.5 | 3\nSouth | 2 | "), ("figure", "slide 1, chart", "Chart (line markers)\ncategory | x\na | 7"), ("slide", "slide 1", "Title"),
+    ]
