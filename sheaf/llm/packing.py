@@ -120,12 +120,11 @@ def encoder(vocabulary: str | None, word_cache: int) -> Encoder:
     return Encoder(vocabulary, added=True, word_cache=word_cache)
 
 
-def loss_counts(ids: bytes, lengths: np.ndarray, prompt_bytes: int) -> np.ndarray:
-    """Cumulated loss-bearing tokens before each token and at the end: those that begin at or behind the prompt's last byte, and the
-    closing id. A token has a byte at least, so the prompt's are among the first `prompt_bytes`."""
+def prompt_tokens(ids: bytes, lengths: np.ndarray, prompt_bytes: int) -> int:
+    """How many tokens begin before the prompt's last byte; they bear no loss. A token has a byte at least, so they are among the
+    first `prompt_bytes`."""
     n = lengths[np.frombuffer(ids[: 4 * prompt_bytes], "<u4")]
-    prompt = int(np.searchsorted(np.cumsum(n) - n, prompt_bytes))
-    return np.maximum(np.arange(len(ids) // 4 + 2, dtype=np.int32) - prompt, 0, dtype=np.int32)
+    return int(np.searchsorted(np.cumsum(n) - n, prompt_bytes))
 
 
 def pack_block(sizes: np.ndarray, losses: list[np.ndarray | None], limits: tuple[int, int, int], order: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -234,10 +233,10 @@ def pack(
             texts = b["text"].tolist()
             encoded = (i for part in slices(map(len, texts), 1 << 19) for i in encode.all(texts[part]))
             for d, text, at, ids in zip(b["doc_id"], texts, starts, encoded, strict=True):
-                loss = None
+                prompt = 0
                 if loss_from_col and at is not None and at == at and at > 0:
-                    loss = loss_counts(ids, encode.lengths, len(text[: int(at)].encode("utf-8", "surrogatepass")))
-                block.append((d, ids + END, loss))
+                    prompt = prompt_tokens(ids, encode.lengths, len(text[: int(at)].encode("utf-8", "surrogatepass")))
+                block.append((d, ids + END, prompt))
                 if len(block) == block_items:
                     next_id, frame = emit(block, next_id)
                     yield frame
@@ -246,16 +245,17 @@ def pack(
             yield emit(block, next_id)[1]
 
     def emit(block, next_id):
-        sizes = np.array([len(i) // 4 for _, i, _ in block])
-        losses = [loss for *_, loss in block]
+        sizes, prompts = np.array([len(i) // 4 for _, i, _ in block]), np.array([p for *_, p in block])
+        losses = [np.maximum(np.arange(n + 1, dtype=np.int32) - p, 0, dtype=np.int32) if p else None for n, p in zip(sizes.tolist(), prompts.tolist(), strict=True)]
         pieces = pack_block(sizes, losses, limits, np.arange(len(block)))
-        rows = [
-            (block[d][0], a, n, own if keep_ids else None, zlib.crc32(own), n if losses[d] is None else int(losses[d][a + n] - losses[d][a]), int(sizes[d]), next_id + s, o)
-            for d, a, n, s, o in pieces
-            for own in (block[d][1][4 * a : 4 * (a + n)],)
-        ]
-        last = max(s for *_, s, _ in pieces)
-        return next_id + last + 1, pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "loss_tokens", "doc_tokens", "sequence_id", "offset"])
+        doc, start, length, sequence, offset = np.array(pieces, np.int64).T
+        own = [block[d][1][4 * a : 4 * (a + n)] for d, a, n, *_ in pieces]
+        bears = np.maximum(start + length - prompts[doc], 0) - np.maximum(start - prompts[doc], 0)
+        out = {
+            "doc_id": pd.Series([d for d, *_ in block]).to_numpy()[doc], "start": start, "length": length, "ids": own if keep_ids else None, "ids_crc32": [zlib.crc32(i) for i in own],
+            "loss_tokens": bears, "doc_tokens": sizes[doc], "sequence_id": next_id + sequence, "offset": offset,
+        }
+        return next_id + int(sequence.max()) + 1, pd.DataFrame(out)
 
     rows = ids_and_texts(docs, id_col, text_col)
     if loss_from_col:
