@@ -70,8 +70,14 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, F.posexplode(clean).alias("ordinal", "paragraph"))
 
 
+#: Every blank of Unicode (its class Zs).
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    clean = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\n"), F.trim), lambda p: p != "")
+    """Lines without the blanks around them, with their number from 0 among those of which something is left."""
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\n")
+    clean = F.filter(F.transform(parts, lambda p: F.trim(p, F.lit(BLANKS))), lambda p: p != "")  # F.trim itself would take the place as what to trim
     return docs.select(id_col, F.posexplode(clean).alias("ordinal", "line"))
 
 

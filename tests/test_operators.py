@@ -22,6 +22,11 @@ def test_text(spark):
     assert one(spark, ["1,200.50 and 007 or 3.0"], text.numbers) == [["1200.5", "007", "3"]]
 
 
+def test_lines_lose_blanks_and_no_digits(spark):
+    docs = spark.createDataFrame([(1, "0 zero 0\n \n 1 one 1\u00a0\n\u3000\n\ttab 2 \n3"), (2, None)], "doc_id int, text string")
+    assert [tuple(r) for r in lifecycle.lines(docs).collect()] == [(1, 0, "0 zero 0"), (1, 1, "1 one 1"), (1, 2, "\ttab 2"), (1, 3, "3")]
+
+
 def test_typing(spark):
     columns = {
         "a": ["1", "0", "", None], "b": ["1.5", "2", "3", "4"], "c": ["2025-01-01", "2025-01-02 10:00", "", "n/a"], "d": ["TRUE", "false", "", "-"],
