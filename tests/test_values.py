@@ -35,6 +35,11 @@ def test_waits_and_values(spark):
     assert [r[0] for r in v] == ["", "7", "12,345", "0.1235" if v[3][0] == "0.1235" else "0.1234", "12,345.678", "-3.5"]
 
 
+def test_long_and_unknown_waits(spark):
+    w = spark.createDataFrame([(3_599_820.0,), (6_299_993.0,), (None,)], "s double").select(V.format_wait(F.col("s"))).collect()
+    assert [r[0] for r in w] == ["1000.0 h", "1750.0 h", None]
+
+
 def test_routes(spark):
     said = {
         "good morning": "GREETING", "good evening everyone": "GREETING", "good morning team hi": "RAG_QUERY", "Hello there": "GREETING", "what time is it": "TIME", "what time did it start": "RAG_QUERY", "thanks a lot!": "THANKS",
