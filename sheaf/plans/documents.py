@@ -331,7 +331,7 @@ def cleaned_lines(spark, sf_dir):
 
 @query("SELECT vec_id, list_max(embedding) >= 0.35::FLOAT AS ok FROM embeddings")
 def sufficient_scores(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.sufficient(F.col("embedding"), 0.35).alias("ok"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.sufficient(F.col("embedding"), F.lit(0.35).cast("float")).alias("ok"))
 
 
 @query("SELECT item_id, item_id % 5 + 1 <= 3 AS ok, '2,' || item_id % 5 + 1 AS cited FROM benchmark")

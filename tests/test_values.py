@@ -40,6 +40,12 @@ def test_long_and_unknown_waits(spark):
     assert [r[0] for r in w] == ["1000.0 h", "1750.0 h", None]
 
 
+def test_single_precision_scores(spark):
+    rows = [([0.1, 0.35],), ([0.34999996],), ([None, 0.4],), ([],), (None,)]
+    ok = spark.createDataFrame(rows, "s array<float>").select(V.sufficient(F.col("s"), F.lit(0.35).cast("float"))).collect()
+    assert [r[0] for r in ok] == [True, False, True, None, None]
+
+
 def test_routes(spark):
     said = {
         "good morning": "GREETING", "good evening everyone": "GREETING", "good morning team hi": "RAG_QUERY", "Hello there": "GREETING", "what time is it": "TIME", "what time did it start": "RAG_QUERY", "thanks a lot!": "THANKS",
