@@ -74,10 +74,13 @@ def sliding(events: DataFrame, width: str, slide: str, keys: list[str], ts: str
 
 
 def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Runs of consecutive numbers: keys, first, last."""
-    d = rows.select(*keys, number).distinct()
-    g = d.withColumn("_g", F.col(number) - F.row_number().over(Window.partitionBy(*keys).orderBy(number)))
-    return g.groupBy(*keys, "_g").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_g")
+    """Runs of consecutive numbers: keys, first, last. Told by each number's neighbours in one sort by key and number; no table of
+    distinct numbers or of runs is held."""
+    w, n = Window.partitionBy(*keys).orderBy(number), F.col(number)
+    starts, ends = F.coalesce(n > F.lag(number).over(w) + 1, F.lit(True)), F.coalesce(F.lead(number).over(w) > n + 1, F.lit(True))
+    edges = rows.where(n.isNotNull()).select(*keys, number).withColumns({"_starts": starts, "_ends": ends}).where("_starts or _ends")
+    first = F.max(F.when(F.col("_starts"), n)).over(w)  # the last start up to here, equal numbers included
+    return edges.withColumn("first", first).where("_ends").select(*keys, "first", n.alias("last"))
 
 
 def compressed(rows: DataFrame, keys: list[str], number: str) -> DataFrame:

@@ -16,3 +16,15 @@ def plan(df):
 def test_a_message_is_cut_into_tokens_once(spark):
     routed = spark.range(3).select(dialogue.route(F.concat(F.lit("what time is it "), F.col("id").cast("string"))).alias("r"))
     assert plan(routed).count("regexp_extract_all") == 1
+
+
+def test_runs_of_numbers_with_repeats_and_no_aggregation(spark):
+    r = random.Random(1)
+    rows = [(k, r.randrange(60)) for k in range(4) for _ in range(50)] + [(9, 5), (9, 5), (9, 5), (9, 7), (9, 8), (9, 8)]
+    got = usage.islands(spark.createDataFrame(rows, "k int, n int"), ["k"], "n")
+    want = set()
+    for k in {k for k, _ in rows}:
+        own = sorted({n for x, n in rows if x == k})
+        firsts, lasts = [n for n in own if n - 1 not in own], [n for n in own if n + 1 not in own]
+        want |= {(k, *x) for x in zip(firsts, lasts, strict=True)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "Aggregate" not in plan(got)
