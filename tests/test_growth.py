@@ -28,3 +28,12 @@ def test_runs_of_numbers_with_repeats_and_no_aggregation(spark):
         firsts, lasts = [n for n in own if n - 1 not in own], [n for n in own if n + 1 not in own]
         want |= {(k, *x) for x in zip(firsts, lasts, strict=True)}
     assert sorted(map(tuple, got.collect())) == sorted(want) and "Aggregate" not in plan(got)
+
+
+def test_elements_leave_a_task_in_slices(monkeypatch):
+    monkeypatch.setattr(extract, "SLICE_BYTES", 100)
+    files = pd.DataFrame({"path": [f"{i}.html" for i in range(40)] + ["x.none"], "content": [b"<h1>a</h1><p>some text</p>"] * 40 + [None]})
+    out = list(extract.parsed_files(iter([files[:15], files[15:]])))
+    assert len(out) == 11 and max(map(len, out)) == 8
+    rows = pd.concat(out)
+    assert list(rows["path"]) == [p for p in files["path"][:40] for _ in range(2)] + ["x.none"] and list(rows["ordinal"][:80]) == [0, 1] * 40
