@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import bounded_batches
+
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id, text) under these names, null text as empty; other columns can't clash any more. They go to Python in bounded batches."""
@@ -47,16 +49,6 @@ def shared_folder(spark: SparkSession) -> str:
     return (top or "/tmp/checkpoints/sheaf").rstrip("/")
 
 
-BATCH_BYTES = "4m"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts are bounded by bytes for the rest of the session, unless the user has set a bound: Spark's default of
-    64 MB is held by the JVM and by Python at once, for each task."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def checkpoint_dir_set(spark: SparkSession) -> None:
     """Reliable checkpoints go to the shared folder."""
     sc = spark.sparkContext
