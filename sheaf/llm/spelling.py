@@ -60,7 +60,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(total) > 200_000:
                     yield pd.DataFrame({"word": list(total), "n": list(total.values())})
                     total.clear()
-        yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+        if total:  # a column without values would not be one of strings
+            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
 
     rows = ids_and_texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return rows.mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)

@@ -89,3 +89,8 @@ def test_candidates_hash_like_words():
             table[p >> np.uint64(3)] |= np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)
     alphabet = np.array(sorted({*alphabet.tolist(), ord("d"), ord("ü")}), np.uint32)
     assert set(spelling.neighbours(words, alphabet, table, 20)) == {(0, "schon"), (1, "grunde")}
+
+
+def test_tasks_without_words(spark):
+    docs = spark.createDataFrame([(1, "colour colour colour"), (2, None), (3, "1 2 3"), (4, "")], "doc_id bigint, text string").repartitionByRange(8, "doc_id")
+    assert found(spelling.variant_groups(docs, typo_modulus=None)) == {"colour": (None, "colour", 3, 0, None)}
