@@ -77,6 +77,13 @@ def release_unused() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Lets go of what the steps so far have left on the driver: frames without a name and their plans, then what Spark's cleaner
+    drops as the JVM collects (broadcasts, checkpoints). Else an operator of many steps lets the driver's heap grow to its limit."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 HOT_SHARE, HOT_SALTS = 512, 64
 
 
@@ -123,7 +130,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing will read any more."""
+        """Deletes tables that nothing will read any more, and what their steps have left on the driver."""
         for n in names:
             path, files = self._path(n)
             files.delete(path, True)
+        release_driver(self.spark)

@@ -277,7 +277,10 @@ def training_sample(docs: DataFrame, most: int, id_col: str = "doc_id", text_col
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, **cols) -> Model:
     """Trains on a bounded sample of labelled rows; sample_docs is the bound."""
     sample = training_sample(docs, sample_docs, **cols)
-    return train([t for t, _ in sample], [v for _, v in sample])
+    model = train([t for t, _ in sample], [v for _, v in sample])
+    del sample
+    release_unused()  # training takes some seventy bytes a character, which the driver would hold on to
+    return model
 
 
 def score_texts(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SALTS, HOT_SHARE, Scratch, checkpoint_dir_set, id_type, ids_and_texts, join_counted, release_unused, slices, unused
+from .common import HOT_SALTS, HOT_SHARE, Scratch, checkpoint_dir_set, id_type, ids_and_texts, join_counted, release_driver, release_unused, slices, unused
 from .shingles import grams, mix, word_hashes
 
 BANDS, ROWS = 24, 6  # a pair of similarity 0.85 misses all bands with probability 1.2e-5
@@ -32,6 +32,7 @@ LONG, LONG_BATCH = 512, 64  # one-byte hashes of texts in buckets that the first
 MISS = 1e-6  # posterior below which a pair is dropped
 CHUNK_CHARS = 400_000
 BROADCAST_ROWS = 500_000
+PARTITION_EDGES = 100_000
 
 _RNG = np.random.default_rng(2024)
 MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -275,22 +276,31 @@ class Linker:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (smallest node reachable) of every node with an edge (a, b), by alternating large-star and small-star steps."""
+    """node and label (smallest node reachable) of every node with an edge (a, b), by alternating large-star and small-star steps.
+
+    No step has more edges than the one before, so the first count tells how many partitions the later ones need: a few edges dealt
+    over all shuffle partitions would be mostly tasks, which the driver keeps account of.
+    """
+    pairs = lambda *ps: F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ps)))
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(e)
+    few = max(edges.sparkSession.sparkContext.defaultParallelism, -(-before[0] // PARTITION_EDGES))
+    e = e.coalesce(few)
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(pairs("uv", "vu"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
-        nxt = star.select("u", F.col("m").alias("v")).union(star.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+        # where v is m already, both pairs are the same
+        nxt = star.select(F.col("u"), F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), "m").select(pairs("um", "vm")).distinct().coalesce(few).checkpoint()
         after = mark(nxt)
         if after == before:
             break
         e, before = nxt, after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    release_driver(edges.sparkSession)
+    return e.select(F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("label")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:

@@ -1,5 +1,8 @@
 import itertools
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,3 +63,23 @@ def test_sample_is_bounded(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a = langid.training_sample(docs, 20)
     assert len(a) == 20 and a == langid.training_sample(docs.repartition(5, F.col("lang")), 20)
+
+
+def test_training_leaves_nothing_on_the_driver():
+    code = """
+import random, re
+from sheaf.llm import langid
+anon = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+def sample(docs, most, **cols):
+    rng = random.Random(3)
+    return [(" ".join("".join(rng.choices("abcdefghij" if i % 2 else "klmnopqrst", k=6)) for _ in range(300)), "en" if i % 2 else "de") for i in range(most)]
+langid.training_sample = sample
+langid.letter_table()
+before = anon()
+model = langid.fit(None)
+assert model.langs == ["de", "en"]
+print(anon() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert run.returncode == 0, run.stderr
+    assert float(run.stdout) < 25

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sheaf.llm import neardup
+from sheaf.llm.common import checkpoint_dir_set
 from sheaf.llm.shingles import grams, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,3 +170,25 @@ def test_shared_boilerplate_makes_few_pairs(spark, monkeypatch, n):
     assert got == brute(rows)
     assert len(set(got.values())) > n / 20  # many stay apart
     assert made["cross"] < 0.05 * n * (n - 1) / 2, made
+
+
+def test_rounds_over_few_edges_take_few_tasks(spark):
+    """The driver keeps account of every task: a round over a few edges must not deal them to all shuffle partitions again and again."""
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    checkpoint_dir_set(spark)
+    edges = [(k + 1, k) for k in range(1, 12)] + [(k, 100) for k in range(101, 160)]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    last = max(sc.statusTracker().getJobIdsForGroup(), default=-1)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r.node, r.label) for r in neardup.components(df).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    time.sleep(1)  # the tracker follows a little later
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup() if j > last]
+    stages = [sc.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+    assert got == {(k, 1) for k in range(1, 13)} | {(k, 100) for k in range(100, 160)}
+    assert sum(s.numCompletedTasks for s in stages if s) < 2500
