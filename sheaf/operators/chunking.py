@@ -52,7 +52,9 @@ def split_text(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[
 
 
 def split_rows(rows: list, target: int = TARGET) -> Iterator[tuple[int, int, list]]:
-    """(first, last, rows with header): body rows from 1 in groups whose text stays within the target; a long row stays whole."""
+    """(first, last, rows with header): body rows from 1 in groups whose text stays within the target; a long row stays whole, a lone header too."""
+    if len(rows) == 1:
+        yield 1, 1, rows
     header, group, first, size = rows[0], [], 1, 0
     base = len(" | ".join(header)) + 1
     for i, r in enumerate(rows[1:], 1):
